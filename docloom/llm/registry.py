@@ -1,7 +1,8 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from docloom.llm.bpe import op1_byte_bpe
 from docloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from docloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op9_url_filter": op9_url_filter, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op9_url_filter": op9_url_filter, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL}
