@@ -2,7 +2,15 @@
 
 from docloom.llm.bpe import op1_byte_bpe
 from docloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from docloom.llm.language_id import op8_language_id
+from docloom.llm.packing import op5_packing
 from docloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op9_url_filter": op9_url_filter, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op5_packing": op5_packing,
+    "op8_language_id": op8_language_id,
+    "op9_url_filter": op9_url_filter,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 ORACLES = {"op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL}
