@@ -1,5 +1,6 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from docloom.llm.ann import op2_nearest
 from docloom.llm.bpe import op1_byte_bpe
 from docloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from docloom.llm.language_id import op8_language_id
@@ -8,6 +9,7 @@ from docloom.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_nearest": op2_nearest,
     "op5_packing": op5_packing,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
