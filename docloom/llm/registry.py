@@ -6,10 +6,12 @@ from docloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from docloom.llm.language_id import op8_language_id
 from docloom.llm.packing import op5_packing
 from docloom.llm.url_filter import OP9_SQL, op9_url_filter
+from docloom.llm.warc import op3_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_nearest": op2_nearest,
+    "op3_warc": op3_warc,
     "op5_packing": op5_packing,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
