@@ -3,6 +3,7 @@
 from docloom.llm.ann import op2_nearest
 from docloom.llm.bpe import op1_byte_bpe
 from docloom.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from docloom.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from docloom.llm.language_id import op8_language_id
 from docloom.llm.packing import op5_packing
 from docloom.llm.url_filter import OP9_SQL, op9_url_filter
@@ -13,8 +14,9 @@ QUERIES = {
     "op2_nearest": op2_nearest,
     "op3_warc": op3_warc,
     "op5_packing": op5_packing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES = {"op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op7_jaccard_join": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL}
