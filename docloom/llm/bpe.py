@@ -26,7 +26,7 @@ import regex
 
 from docloom.llm.common import small_batches, table
 
-MAX_STATES, MAX_MEMO = 200_000, 400_000
+MAX_STATES, MAX_MEMO = 200_000, 1_000_000
 #: Ids that one step of the streaming decoder takes.
 DECODE_STEP = 1 << 16
 
@@ -41,6 +41,7 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
         # Trie over the tokens: node -> {byte: node}; an id at nodes where a token ends.
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
@@ -57,12 +58,12 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[frozenset, int] = {}
-        self.configs: list[frozenset] = []
+        self.states: dict[tuple, int] = {}
+        self.configs: list[tuple] = []
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._state(frozenset({((), -1, 0)}))
+        self.start = self._state((((), -1, 0),))
 
-    def _state(self, configs: frozenset) -> int:
+    def _state(self, configs: tuple) -> int:
         at = self.states.get(configs)
         if at is None:
             at = self.states[configs] = len(self.configs)
@@ -70,40 +71,73 @@ class Transducer:
             self.moves.append({})
         return at
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Merges by rank, the lowest first, the leftmost of equals: the definition that the transducer compiles."""
+    def merged(self, piece: bytes, below: int = sys.maxsize) -> list[bytes]:
+        """Merges by rank (only ranks below a limit), the lowest first, the leftmost of equals: what is compiled."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             rank, i = min((self.ranks.get(parts[i] + parts[i + 1], sys.maxsize), i) for i in range(len(parts) - 1))
-            if rank == sys.maxsize:
+            if rank >= below:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _halves(self, token: int) -> tuple[int, int]:
+        """The two tokens that merge into this one; of a single byte, itself twice."""
+        known = self.halves.get(token)
+        if known is None:
+            parts = [self.ranks[p] for p in self.merged(self.bytes_of[token], token)]
+            known = self.halves[token] = (parts[0], parts[-1])
+        return known
 
     def _apart(self, left: int, right: int) -> bool:
+        """Whether two neighbours stay as they are. Undo their merges, the later one first: they would have joined
+        if, at some moment, the parts that meet at the border merge by a rank that comes before either's next merge."""
         key = (left, right)
         known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) > 4 * MAX_STATES:
-                self.apart.clear()
-            known = self.apart[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        if known is not None:
+            return known
+        if len(self.apart) > 4 * MAX_STATES:
+            self.apart.clear()
+        ranks, bytes_of, limit, known = self.ranks, self.bytes_of, sys.maxsize, True
+        while True:
+            if ranks.get(bytes_of[left] + bytes_of[right], sys.maxsize) < limit:
+                known = False
+                break
+            # A tie of ranks is one of equal tokens, of which the left merges first.
+            inner, outer = self._halves(left)[1], self._halves(right)[0]
+            if inner == left and outer == right:
+                break
+            if outer == right or inner != left and left > right:
+                limit, left = left, inner
+            else:
+                limit, right = right + 1, outer
+        self.apart[key] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one step: (next state, ids that are now certain)."""
-        after = []
+        """Determinise one step: (next state, ids that are now certain). Guesses stand in the order of their starts."""
+        after, ended, children, ends, sure = [], None, self.children, self.ends, 0
         for pending, last, node in self.configs[state]:
-            node = self.children[node].get(byte)
-            if node is None:
-                continue
-            after.append((pending, last, node))
-            token = self.ends[node]
-            if token >= 0 and (last < 0 or self._apart(last, token)):
-                after.append((pending + (token,), token, 0))
-        first, sure = after[0][0], 0
-        while sure < len(first) and all(len(p) > sure and p[sure] == first[sure] for p, _, _ in after):
-            sure += 1
-        out = self._state(frozenset((p[sure:], last, node) for p, last, node in after)), first[:sure]
+            node = children[node].get(byte)
+            if node is not None:
+                if children[node]:  # else no longer token begins like this
+                    after.append((pending, last, node))
+                token = ends[node]
+                # At most one encoding ends here.
+                if token >= 0 and ended is None and (last < 0 or self._apart(last, token)):
+                    ended = (pending + (token,), token, 0)
+        if ended is not None:
+            after.append(ended)
+        first = after[0][0]
+        if len(after) == 1:
+            sure = len(first)
+        elif first:
+            least = min(len(p) for p, _, _ in after)
+            while sure < least and all(p[sure] == first[sure] for p, _, _ in after):
+                sure += 1
+        if sure:
+            after = [(p[sure:], last, node) for p, last, node in after]
+        out = self._state(tuple(after)), first[:sure]
         self.moves[state][byte] = out
         return out
 
@@ -131,11 +165,11 @@ class Encoder:
         machine = Transducer(ranks)
 
         class Memo(dict):
-            def __missing__(self, piece: str) -> array:
+            def __missing__(self, piece: str) -> bytes:
                 if len(self) >= MAX_MEMO:
                     self.clear()
                 raw = piece.encode("utf-8", "surrogatepass")
-                ids = array("I", [ranks[raw]] if raw in ranks else machine.encode(raw))
+                ids = array("I", [ranks[raw]] if raw in ranks else machine.encode(raw)).tobytes()
                 if len(raw) <= 64:
                     self[piece] = ids
                 return ids
