@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from docloom.llm.common import small_batches, table
 MAX_TOKENS, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 CHUNK_TOKENS, MAX_MEMO = 1 << 21, 500_000
+_TAIL = ".,;:!?*#%&$)"
 _ODD, _PLAIN = "\x1c\x1d\x1e\x1f", re.compile(r"[ \t\n\r]+")
 
 
@@ -36,12 +38,22 @@ class Tokens:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
+        model, letters = library.model, re.compile("[a-z]+").fullmatch
 
         class Memo(dict):
             def __missing__(self, word: str) -> bytes:
                 if len(self) >= MAX_MEMO:
                     self.clear()
-                ids = np.array(library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                core = word.rstrip(_TAIL)
+                if len(word) > 64 or not core or core == word or not core[-1].isalpha():
+                    small = word.lower() if word.isascii() and "<" not in word else word
+                    if small != word:
+                        ids = self[small]
+                    else:  # plain letters are one piece, which the other steps leave alone
+                        found = [t.id for t in model.tokenize(word)] if letters(word) else library.encode(word, add_special_tokens=False).ids
+                        ids = array("I", found).tobytes()
+                else:  # letters and the punctuation after them are encoded apart
+                    ids = self[core] + self[word[len(core) :]]
                 if len(word) <= 64:
                     self[word] = ids
                 return ids
