@@ -84,7 +84,8 @@ def slide_list(spec: Column, total: Column) -> Column:
 def resized(spec: Column, width: Column, height: Column) -> Column:
     """struct(width, height) after ``50%``, ``800x600`` or ``800``; whole pixels, at least 1; null where the spec is bad."""
     percent = F.regexp_extract(spec, r"\A(.*)%\z", 1).try_cast("double") / 100.0
-    w, h = F.regexp_extract(spec, r"\A\s*(-?[0-9]+)\s*x", 1).try_cast("int"), F.regexp_extract(spec, r"x\s*(-?[0-9]+)\s*\z", 1).try_cast("int")
+    both = r"\A\s*([+-]?[0-9]+)\s*x\s*([+-]?[0-9]+)\s*\z"
+    w, h = F.regexp_extract(spec, both, 1).try_cast("int"), F.regexp_extract(spec, both, 2).try_cast("int")
     alone = strip(spec).try_cast("int")
     whole = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("int")
     size = F.when(spec.endswith("%"), F.struct(whole(width * percent).alias("width"), whole(height * percent).alias("height"))).when(

@@ -51,7 +51,7 @@ class File:
         """The first characters, as UTF-8 with replacement; empty without content."""
         if self.content is None:
             return F.lit("")
-        return F.coalesce(F.left(F.decode(F.substring(self.content, 1, 4 * n), "UTF-8"), F.lit(n)), F.lit(""))
+        return F.coalesce(F.left(F.make_valid_utf8(F.substring(self.content, 1, 4 * n).cast("string")), F.lit(n)), F.lit(""))
 
 
 def url(f: File) -> Column:

@@ -33,7 +33,7 @@ def file_size(n: Column) -> Column:
     out = said(n / 1024.0**4, "TB")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
         out = F.when(n / 1024.0**power < 1024, said(n / 1024.0**power, unit)).otherwise(out)
-    return out
+    return F.when(n.isNotNull(), out)
 
 
 #: Language names by file extension.

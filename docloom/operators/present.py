@@ -41,13 +41,10 @@ def _fold(rows: DataFrame, line: Column) -> DataFrame:
 
 
 def table_text(df: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Right-aligned columns under their names, with title and shape; numbers have room for a sign."""
-    numeric = set(_numeric(df))
-    sign = lambda c, v: F.concat(F.when(v.startswith("-"), F.lit("")).otherwise(F.lit(" ")), v) if c in numeric else v
-    order = df.select(F.struct(*keys).alias("o"), *[sign(c, F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None"))).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    """Right-aligned columns under their names, with title and shape; names of numbers are led by a space."""
+    numeric, order = set(_numeric(df)), _ordered(df, keys, "None")
     names = [" " + c if c in numeric else c for c in df.columns]
-    widths = order.agg(*[F.max(F.length(f"c{i}")).alias(f"c{i}") for i in range(len(names))]).first()
-    pad = [max(len(n), w or 0) for n, w in zip(names, widths)]
+    pad = [max(len(n), w) for n, w in zip(names, _widths(df, "None"))]
     line = F.concat_ws(" ", *[F.lpad(f"c{i}", p, " ") for i, p in enumerate(pad)])
     title = f"Data from {path}"
     top = F.lit(f"{title}\n{'=' * len(title)}\n\n{' '.join(n.rjust(p) for n, p in zip(names, pad))}")

@@ -385,8 +385,8 @@ def adapt_dspy(spark, sf):
 
 # --- presenters of tables ----------------------------------------------------------------------------------------
 
-@query(r"""SELECT 'Data from nation' || chr(10) || repeat('=', 16) || chr(10) || chr(10) || lpad(' n_nationkey', 12, ' ') || ' ' || lpad('n_name', (SELECT greatest(6, max(length(n_name)))::INT FROM nation), ' ') || '  n_regionkey'
-  || string_agg(chr(10) || lpad(' ' || n_nationkey, 12, ' ') || ' ' || lpad(n_name, (SELECT greatest(6, max(length(n_name)))::INT FROM nation), ' ') || ' ' || lpad(' ' || n_regionkey, 12, ' '), '' ORDER BY n_nationkey) || chr(10) || chr(10) || 'Shape: (' || count(*) || ', 3)' || chr(10) || chr(10) AS text FROM nation""")
+@query(r"""SELECT 'Data from nation' || chr(10) || repeat('=', 16) || chr(10) || chr(10) || ' n_nationkey' || ' ' || lpad('n_name', (SELECT greatest(6, max(length(n_name)))::INT FROM nation), ' ') || '  n_regionkey'
+  || string_agg(chr(10) || lpad(n_nationkey::VARCHAR, 12, ' ') || ' ' || lpad(n_name, (SELECT greatest(6, max(length(n_name)))::INT FROM nation), ' ') || ' ' || lpad(n_regionkey::VARCHAR, 12, ' '), '' ORDER BY n_nationkey) || chr(10) || chr(10) || 'Shape: (' || count(*) || ', 3)' || chr(10) || chr(10) AS text FROM nation""")
 def present_text(spark, sf):
     return present.table_text(t(spark, sf, "nation"), ["n_nationkey"], "nation")
 

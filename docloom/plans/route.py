@@ -74,7 +74,7 @@ def image_to_llm(df: DataFrame) -> DataFrame:
 @verbs.processor
 def webpage_to_llm(df: DataFrame) -> DataFrame:
     """Pages with their html at hand (fetched or stored)."""
-    page = df if "html" in df.columns else df.withColumn("html", F.decode("content", "UTF-8"))
+    page = df if "html" in df.columns else df.withColumn("html", F.make_valid_utf8(F.col("content").cast("string")))
     fmt = dsl.format_presenter(dsl.command("format"))
     out = None
     for name, render in (("text", present.page_text), ("html", present.page_html), ("markdown", present.page_markdown)):
