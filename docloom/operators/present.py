@@ -234,6 +234,44 @@ def images(df: DataFrame) -> DataFrame:
     })
 
 
+def unrendered(df: DataFrame, kind: str) -> DataFrame:
+    """Documents whose pages need a renderer that is not here: no images, and ``<kind>_images_error`` in the metadata."""
+    said = F.create_map(F.lit(f"{kind}_images_error"), F.lit("no renderer for this format is registered"))
+    return df.withColumns({"images": F.expr("cast(array() as array<string>)"), "metadata": F.map_concat("metadata", said)})
+
+
+def office_xml(parts: DataFrame, kind: str = "PPTX") -> DataFrame:
+    """Rows of pretty-printed members (path, part, member, members, text) -> one text per path."""
+    part = F.concat(F.lit("<!-- "), "member", F.lit(" -->\n"), "text", F.lit("\n\n"))
+    g = parts.groupBy("path").agg(ordered_join(F.struct("part"), part, "").alias("body"), F.max("members").alias("members"))
+    return g.select("path", F.concat(F.lit(f"# {kind} XML Content: "), "path", F.lit(f"\n\n```xml\n<!-- {kind} Structure Overview -->\n<!-- XML Files: "), "members", F.lit(" -->\n\n"), "body", F.lit("```\n\n")).alias("text"))
+
+
+def pdf_metadata(info: DataFrame) -> DataFrame:
+    """Rows of (path, key, value) -> one text per path."""
+    line = F.when(F.col("key").isNotNull(), F.concat(F.lit("- **"), "key", F.lit("**: "), "value", F.lit("\n")))
+    g = info.groupBy("path").agg(ordered_join(F.struct("key"), line, "").alias("body"))
+    return g.select("path", F.concat(F.lit("\n## Document Metadata\n\n"), F.when(F.col("body") == "", F.lit("*No metadata available*\n")).otherwise(F.col("body")), F.lit("\n")).alias("text"))
+
+
+def object_summary(df: DataFrame, obj: str = "content_text") -> DataFrame:
+    said = F.concat(F.lit("\n## Object Summary\n\n- **Type**: str\n- **Length**: "), F.length(obj).cast("string"), F.lit("\n- **String representation**: "), F.left(obj, F.lit(100)), F.lit("...\n\n"))
+    none = F.lit("\n## Object Summary\n\n- **Type**: NoneType\n- **String representation**: None...\n\n")
+    return df.withColumn("text", F.concat("text", F.coalesce(said, none)))
+
+
+def object_preview(df: DataFrame, obj: str = "content_text") -> DataFrame:
+    return df.withColumn("text", F.concat("text", F.lit("\n## Preview\n\n"), F.left(F.coalesce(F.col(obj), F.lit("None")), F.lit(200)), F.lit("\n\n")))
+
+
+def filtered(df: DataFrame) -> DataFrame:
+    """What the notation switches off: ``[text:off|false|no|0]`` leaves no text, ``[images:false]`` no images."""
+    out = {"text": F.when(F.lower(dsl.command("text")).isin("off", "false", "no", "0"), F.lit("")).otherwise(F.col("text"))}
+    if "images" in df.columns:
+        out["images"] = F.when(F.lower(dsl.command("images")) == "false", F.expr("cast(array() as array<string>)")).otherwise(F.col("images"))
+    return df.withColumns(out)
+
+
 def thumbnails(df: DataFrame, total: str = "total_pages", most: int = 3) -> DataFrame:
     n = F.least(F.col(total), F.lit(most))
     made = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("thumbnail_page_"), i.cast("string"), F.lit("_placeholder")))

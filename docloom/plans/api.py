@@ -12,7 +12,7 @@ from docloom.functions import dsl
 from docloom.operators import adapt, fold
 from docloom.plans import route, verbs
 from docloom.schema import attachments
-from docloom.sources import files
+from docloom.sources import directories, files
 
 #: How a prompt may name a file or a page.
 REFERENCES = (
@@ -36,9 +36,42 @@ class Attachments:
     def df(self) -> DataFrame:
         if self._df is None:
             parsed = attachments(files.attached(self.spark, self.references))
-            self._df = route.split_as_asked(route.processed(verbs.load.content(parsed)))
+            described, plain = self._expanded(parsed.select("ord", "attachy", "path", "commands").collect())
+            rows = attachments(self.spark.createDataFrame(plain, "ord long, attachy string, path string, commands map<string,string>"))
+            done = route.processed(verbs.load.content(rows)) if plain else None
+            if described:
+                more = attachments(self.spark.createDataFrame(described, "ord long, attachy string, path string, commands map<string,string>, kind string, text string")).withColumn("processor", F.lit("directory")).select(*route.RENDERED)
+                done = more if done is None else done.unionByName(more)
+            self._df = route.split_as_asked(done if done is not None else rows.withColumn("processor", F.lit("universal")).select(*route.RENDERED))
         return self._df
 
+    def _expanded(self, rows) -> tuple[list[tuple], list[tuple]]:
+        """Directories and path patterns: a text that describes each, and with ``[files:true]`` (repositories: unless
+        ``[files:false]``) their files too. Places are spread out so that files follow their directory."""
+        described, plain = [], []
+        for r in rows:
+            at, c = r["ord"] << 20, r["commands"]
+            folder, pattern = directories.is_directory(r["path"]), bool(re.search(r"[*?\[\]]", r["path"])) and not re.match("https?://", r["path"])
+            if not folder and not pattern:
+                plain.append((at, r["attachy"], r["path"], c))
+                continue
+            git = folder and directories.is_repository(r["path"])
+            most = int(c.get("max_files", 1000))
+            if folder:
+                listed = directories.listing(self.spark, r["path"], c.get("ignore", "standard"), c.get("glob", ""), c.get("recursive", "true") == "true", most, True)
+                guard = directories.size_guard(listed).first()
+                text = guard["text"] if guard["too_large"] and c.get("force", "false") != "true" else directories.repository_text(listed, r["path"]) if git else directories.structure(listed, r["path"])
+                wanted = c.get("files", "true" if git and c.get("mode") != "structure" else "false") == "true" and not (guard["too_large"] and c.get("force", "false") != "true")
+                described.append((at, r["attachy"], r["path"], c, "git" if git else "dir", text))
+                listed = directories.listing(self.spark, r["path"], c.get("ignore", "standard"), c.get("glob", ""), c.get("recursive", "true") == "true", most)
+            else:
+                listed, wanted = directories.glob_listing(self.spark, r["path"], most), True
+            if wanted:
+                split = {k: c[k] for k in ("split", "characters", "tokens", "lines", "custom") if k in c}
+                names = [x["path"] for x in listed.select("path", "rel").orderBy("rel").collect()]
+                plain += [(at + 1 + k, n, re.sub("^file:(//)?", "", n), split) for k, n in enumerate(names)]
+        return described, plain
+
     def _order(self) -> list[str]:
         return ["ord", "chunk_index"]
 

@@ -183,7 +183,7 @@ def processed(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     use = kinds if kinds is not None else [r["processor"] for r in df.select("processor").distinct().toLocalIterator()]
     out = None
     for kind in use:
-        part = PLANS[kind](df.filter(F.col("processor") == kind)).select(*RENDERED)
+        part = present.filtered(PLANS[kind](df.filter(F.col("processor") == kind))).select(*RENDERED)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else df.select(*RENDERED)
 

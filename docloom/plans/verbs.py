@@ -17,7 +17,7 @@ from docloom.operators import present as present_ops
 from docloom.operators import refine as refine_ops
 from docloom.operators import split as split_ops
 from docloom.schema import attachments
-from docloom.sources import decode, files
+from docloom.sources import decode, files, urls
 
 
 class Verb:
@@ -131,13 +131,13 @@ def _text(df: DataFrame) -> DataFrame:
 load.register("content", _content)
 load.register("text_to_string", _text)
 load.register("html_to_bs4", lambda df: _text(df).withColumns({"html": F.col("content_text"), "text": F.lit(""), "kind": F.lit("html")}))
-for _name, _f in {"pdf_to_pdfplumber": decode.pdf, "pptx_to_python_pptx": decode.pptx, "docx_to_python_docx": decode.docx, "excel_to_openpyxl": decode.xlsx, "image_to_pil": decode.images, "zip_to_images": decode.zip_images, "svg_to_svgdocument": decode.svg, "eps_to_epsdocument": decode.eps}.items():
+for _name, _f in {"pdf_to_pdfplumber": decode.pdf, "pptx_to_python_pptx": decode.pptx, "docx_to_python_docx": decode.docx, "excel_to_openpyxl": decode.xlsx, "image_to_pil": decode.images, "zip_to_images": decode.zip_images, "svg_to_svgdocument": decode.svg, "eps_to_epsdocument": decode.eps, "office_xml": decode.office_xml, "pdf_info": decode.pdf_info, "url_to_response": urls.responses, "url_to_bs4": urls.pages, "url_to_file": urls.responses}.items():
     load.register(_name, _f)
 for _name in ("limit", "select_columns", "select_html", "pages", "slides", "crop", "rotate", "resize", "watermark", "morph_to_detected_type"):
     modify.register(_name, getattr(modify_ops, _name))
 for _name in split_ops.SPLITTERS:
     split.register(_name, getattr(split_ops, _name))
-for _name in ("page_text", "page_html", "page_markdown", "table_text", "table_markdown", "table_csv", "table_xml", "table_summary", "table_head", "metadata", "images", "thumbnails", "contact_sheet", "ocr", "pdf", "document", "workbook", "image_markdown", "fallback_text", "fallback_markdown"):
+for _name in ("page_text", "page_html", "page_markdown", "table_text", "table_markdown", "table_csv", "table_xml", "table_summary", "table_head", "metadata", "images", "thumbnails", "contact_sheet", "ocr", "pdf", "document", "workbook", "image_markdown", "fallback_text", "fallback_markdown", "unrendered", "office_xml", "pdf_metadata", "object_summary", "object_preview", "filtered"):
     present.register(_name, getattr(present_ops, _name))
 present.register("shapes", present_ops.slides)
 for _name in ("no_op", "truncate", "add_headers", "format_tables", "add_repo_headers", "report_unused_commands", "tile_layout", "resize_images"):

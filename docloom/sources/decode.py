@@ -249,3 +249,37 @@ def eps(files: DataFrame) -> DataFrame:
         return F.when(F.size(hits) > 0, F.trim(F.regexp_replace(F.substring(F.element_at(hits, -1), len(name) + 4, 1 << 20), "\r", "")))
 
     return files.select("path", comment("BoundingBox").alias("bounding_box"), comment("Creator").alias("creator"), comment("Title").alias("title"), comment("CreationDate").alias("creation_date"), F.length(text).alias("file_size"), text.alias("text"))
+
+
+def _xml_parts(content: bytes, slides: int = 3) -> list[dict]:
+    """The members that say what an office file holds, pretty-printed: the first slides, or document, styles and core."""
+    from xml.dom import minidom
+
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        wanted = _natural(names, r"ppt/slides/slide(\d+)\.xml")[:slides] or [n for n in ("word/document.xml", "word/styles.xml", "docProps/core.xml") if n in names]
+        for k, name in enumerate(wanted):
+            raw = z.read(name)
+            if b"<!DOCTYPE" in raw:
+                raise ValueError("document types are not read")
+            lines = [x for x in minidom.parseString(raw).toprettyxml(indent="  ").split("\n") if x.strip()]
+            out.append({"part": k, "member": name, "members": ", ".join(n for n in names if n.endswith(".xml")), "text": "\n".join(lines[1:])})
+    return out
+
+
+def office_xml(files: DataFrame) -> DataFrame:
+    return parts(files, _xml_parts, "part int, member string, members string, text string")
+
+
+def _pdf_info(content: bytes) -> list[dict]:
+    """The information dictionary, as far as its strings are plain."""
+    ref = re.search(rb"/Info\s+(\d+)\s+\d+\s+R", content)
+    body = re.search(rb"\b" + ref[1] + rb"\s+\d+\s+obj\b(.*?)endobj", content, re.S) if ref else None
+    if not body:
+        return []
+    return [{"key": m[1].decode(), "value": _pdf_bytes(m[2]).decode("latin-1")} for m in re.finditer(rb"/(\w+)\s*(\((?:\\.|[^\\()])*\))", body[1], re.S)]
+
+
+def pdf_info(files: DataFrame) -> DataFrame:
+    return parts(files, _pdf_info, "key string, value string")

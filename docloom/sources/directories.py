@@ -150,6 +150,33 @@ def structure(listed: DataFrame, base: str) -> str:
     return "\n".join([f"# Directory: {top}", "", "## Directory Structure", "", "```", f"{top}/", *tree_lines(names), "```", "", ""])
 
 
+def is_directory(path: str) -> bool:
+    return os.path.isdir(os.path.abspath(path))
+
+
+def is_repository(path: str) -> bool:
+    return os.path.exists(os.path.join(os.path.abspath(path), ".git"))
+
+
+def glob_base(pattern: str) -> str:
+    """The directory above the first part with a glob character."""
+    kept = []
+    for part in pattern.split(os.sep):
+        if re.search(r"[*?\[\]]", part):
+            break
+        kept.append(part)
+    return os.sep.join(kept) or (os.sep if pattern.startswith(os.sep) else os.getcwd())
+
+
+def glob_listing(spark: SparkSession, pattern: str, max_files: int = 1000) -> DataFrame:
+    """Files that a path pattern names, binary ones left out."""
+    base = os.path.abspath(glob_base(pattern))
+    rel = os.path.relpath(os.path.abspath(pattern), base)
+    every = listing(spark, base, "", "", True, 1 << 30)
+    whole = re.escape(os.sep).join(("(?:.*)" if p == "**" else fnmatch.translate(p).replace(".*", "[^/]*").replace(r"\Z", "")) for p in rel.split(os.sep)).replace("(?:.*)/", "(?:.*/)?")
+    return every.filter(F.col("rel").rlike(rf"\A{whole}\z")).orderBy("rel").limit(max_files)
+
+
 def git_metadata(base: str) -> dict[str, str]:
     """Branch, remote and last commit as git tells them; empty where it cannot."""
     asks = {"current_branch": ("rev-parse", "--abbrev-ref", "HEAD"), "remote_url": ("config", "--get", "remote.origin.url"), "last_commit": ("log", "-1", "--format=%h - %s"), "author": ("log", "-1", "--format=%an (%ad)"), "commit_count": ("rev-list", "--count", "HEAD")}
@@ -166,3 +193,12 @@ def git_metadata(base: str) -> dict[str, str]:
 
 def repository(spark: SparkSession, base: str, **options) -> tuple[DataFrame, dict[str, str]]:
     return listing(spark, base, **options), git_metadata(base)
+
+
+def repository_text(listed: DataFrame, base: str) -> str:
+    """Branch, remote, last commit and tree."""
+    known, top = git_metadata(base), os.path.basename(os.path.abspath(base))
+    names = {"current_branch": "Branch", "remote_url": "Remote", "last_commit": "Last Commit", "author": "Author", "commit_count": "Total Commits"}
+    said = [f"**{name}**: {known[key]}" for key, name in names.items() if key in known]
+    tree = structure(listed, base).split("## Directory Structure", 1)[1]
+    return "\n".join([f"# Git Repository: {top}", "", "## Repository Information", "", *said, "", "## Directory Structure"]) + tree

@@ -161,3 +161,37 @@ def test_stream_equals_batch(spark, tmp_path):
     plan = lambda df: split.sentences(df).select("chunk_index", "text")
     apply.run(apply.watched(spark, str(source)), plan, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["One", "Only one", "Three", "Two"]
+
+
+def test_directories_and_patterns_in_the_facade(spark, tree):
+    told = api.Attachments(spark, tree)
+    assert len(told) == 1 and "## Directory Structure" in str(told)
+    every = api.Attachments(spark, f"{tree}[files:true][glob:*.md,*.py]")
+    assert [os.path.basename(r.path) for r in every] == [os.path.basename(tree), "a.py", "c.md"]
+    assert [os.path.basename(r.path) for r in api.Attachments(spark, f"{tree}/docs/*")] == ["c.md"]
+    assert [os.path.basename(r.path) for r in api.Attachments(spark, f"{tree}/**/*.txt")] == ["d.txt"]
+    assert directories.glob_base("/a/b/*.x") == "/a/b" and not directories.is_repository(tree)
+
+
+def test_responses_and_errors(spark):
+    from docloom.sources import urls
+
+    df = spark.createDataFrame([(1, "https://a/x"), (2, "ftp://b")], "i int, path string")
+    got = urls.pages(df, get=lambda u, t: {"status_code": 200, "content_type": "text/html", "content": b"<p>\xff", "error": None} if u.startswith("https") else urls.fetch(u)).orderBy("i").collect()
+    assert got[0].html == "<p>\ufffd" and got[0].status_code == 200 and got[1].content is None and "not a web address" in got[1].error
+
+
+def test_office_xml_and_pdf_info(spark):
+    parts = decode.office_xml(contents(spark, ("p", PPTX), ("bad", b"")))
+    assert [r.member for r in parts.filter("error IS NULL").orderBy("part").collect()] == ["ppt/slides/slide1.xml", "ppt/slides/slide2.xml", "ppt/slides/slide10.xml"]
+    assert present.office_xml(parts.filter("error IS NULL")).first().text.startswith("# PPTX XML Content: p\n\n```xml\n")
+    info = decode.pdf_info(contents(spark, ("f", PDF + b"9 0 obj\n<</Title (A \\(b\\)) /Author (me)>>\nendobj\ntrailer <</Info 9 0 R>>")))
+    assert present.pdf_metadata(info).first().text == "\n## Document Metadata\n\n- **Author**: me\n- **Title**: A (b)\n\n"
+
+
+def test_switched_off(spark):
+    df = spark.sql("""SELECT 'x' AS text, array('i') AS images, map('text', 'off') AS commands UNION ALL SELECT 'y', array('i'), map('images', 'false')""")
+    assert [(r.text, r.images) for r in present.filtered(df).collect()] == [("", ["i"]), ("y", [])]
+    one = spark.sql("SELECT 'a' AS text, 'abc' AS content_text, map() AS metadata")
+    assert "**Length**: 3" in present.object_summary(one).first().text and present.object_preview(one).first().text == "a\n## Preview\n\nabc\n\n"
+    assert present.unrendered(one.withColumn("metadata", F.expr("cast(map() as map<string,string>)")), "pdf").first().metadata["pdf_images_error"]
