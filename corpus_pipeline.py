@@ -41,10 +41,9 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes that occur elsewhere too are cut out of the texts."""
-    kept = remove_repeats(docs, keep_text=True).select(F.col("doc_id").alias("_id"), "rid2", "kept").dropDuplicates(["_id", "rid2"])
-    text = F.coalesce(docs["text"], F.lit(""))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(text) == kept["rid2"]))
-    return out.select(*[F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    kept = remove_repeats(docs, keep=tuple(c for c in docs.columns if c != "text"))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return kept.select(*[new.get(c, F.col(f"extra.{c}")).alias(c) for c in docs.columns])
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,9 +191,11 @@ RANGES, COMPARE, HOT = 0, 1, 2
 _DECIDED = "kind int, rid1 long, rid2 long, data binary"
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rid1, rid2, text and, as a struct, the columns that go along. Both joins use these rows, so they shuffle once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid1"), F.xxhash64(text).alias("rid2"), text.alias("text"))
+    extra = [F.struct(*keep).alias("extra")] if keep else []
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid1"), F.xxhash64(text).alias("rid2"), text.alias("text"), *extra)
 
 
 def decide(kind: Kind, docs: DataFrame, parts: int, hot_group: int) -> DataFrame:
@@ -408,13 +410,13 @@ def compare_hot(kind: Kind, docs: DataFrame, decided: DataFrame) -> DataFrame:
     return hits.select("rid1", "rid2", "x").mapInArrow(pack, _DECIDED)
 
 
-def repeated_windows(kind: Kind, docs: DataFrame, id_col: str, text_col: str, place_of, hot_group: int = HOT_GROUP) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(kind: Kind, docs: DataFrame, id_col: str, text_col: str, place_of, hot_group: int = HOT_GROUP, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, their repeated windows: rid1, rid2, data as an array of SPAN bytes)."""
     spark = docs.sparkSession
     small_batches(spark)
-    base = keyed(docs, id_col, text_col)
+    base = keyed(docs, id_col, text_col, keep)
     parts = parts_for(spark, text_bytes(base))
-    decided = written(decide(kind, base, parts, hot_group), "repeats")
+    decided = written(decide(kind, base.select("rid1", "rid2", "text"), parts, hot_group), "repeats")
     sizes = {r["kind"]: r["n"] for r in decided.groupBy("kind").agg(F.sum(F.octet_length("data")).alias("n")).collect()}
     ranges = decided.filter(F.col("kind") == RANGES)
     if sizes.get(COMPARE):

@@ -51,45 +51,44 @@ def splitters(kind: Kind, base: DataFrame, buckets: int) -> np.ndarray:
     return np.unique(np.sort(lead)[np.linspace(0, len(lead) - 1, buckets + 1).astype(int)[1:-1]])
 
 
-def suffix_spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot_group: int):
+def suffix_spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot_group: int, keep: tuple[str, ...] = ()):
     kind = Kind(False, length, gram)
 
     def place_of(base, buckets):
         cuts = splitters(kind, base, buckets)
         return lambda h, right: np.searchsorted(cuts, leading(right), side="right")
 
-    return repeated_windows(kind, docs, id_col, text_col, place_of, hot_group)
+    return repeated_windows(kind, docs, id_col, text_col, place_of, hot_group, keep)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, hot_group: int = HOT_GROUP) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 (and rid2 with the kept text, if asked for)."""
-    base, ranges = suffix_spans(docs, id_col, text_col, length, gram, hot_group)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), hot_group: int = HOT_GROUP) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep``, also the kept text and those
+    columns, as the struct ``extra``."""
+    base, ranges = suffix_spans(docs, id_col, text_col, length, gram, hot_group, keep)
+    names = ("rid1", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {n: [] for n in ("rid1", "rid2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for rid1, rid2, text, data in zip(*(batch.column(c) for c in ("rid1", "rid2", "text", "data"))):
+            out = {n: [] for n in (*names, "kept")}
+            for rid1, text, data in zip(*(batch.column(c) for c in ("rid1", "text", "data"))):
                 raw = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
                 gone = covered(data.as_py(), len(raw), length)
-                kept = raw[~gone].tobytes()
-                if keep_text:
-                    # Whole characters only: those that touch a removed byte go too.
+                values = (rid1.as_py(), len(raw), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest())
+                for n, v in zip(names, values):
+                    out[n].append(v)
+                if keep:  # whole characters only: those that touch a removed byte go too
                     first = np.flatnonzero((raw & 0xC0) != 0x80)
                     broken = np.logical_or.reduceat(gone, first) if len(first) else np.zeros(0, bool)
-                    whole = np.repeat(broken, np.diff(np.append(first, len(raw))))
-                    out["kept"].append(raw[~whole].tobytes().decode())
-                else:
-                    out["kept"].append(None)
-                values = (rid1.as_py(), rid2.as_py(), len(raw), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-                for n, v in zip(out, values):
-                    out[n].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("rid1", pa.int64()), ("rid2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
-
-    done = base.join(ranges, ["rid1", "rid2"], "left").select("rid1", "rid2", "text", "data").mapInArrow(
-        run, "rid1 long, rid2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    )
-    out = done.select(F.when(F.col("rid1") != NO_ID, F.col("rid1")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "rid2", "kept")
-    return out if keep_text else out.drop("rid2", "kept")
+                    out["kept"].append(raw[~np.repeat(broken, np.diff(np.append(first, len(raw))))].tobytes().decode())
+            columns = [pa.array(out["rid1"], pa.int64()), *[pa.array(out[n], pa.int64()) for n in names[1:4]], pa.array(out["kept_sha256"], pa.string())]
+            if keep:
+                columns += [pa.array(out["kept"], pa.string()), batch.column("extra")]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(("kept", "extra") if keep else ())])
+
+    joined = base.join(ranges, ["rid1", "rid2"], "left").select("rid1", "text", "data", *(("extra",) if keep else ()))
+    more = f", kept string, extra {base.schema['extra'].dataType.simpleString()}" if keep else ""
+    done = joined.mapInArrow(run, "rid1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
+    return done.select(F.when(F.col("rid1") != NO_ID, F.col("rid1")).alias(id_col), *done.columns[1:])
 
 
 def op4_suffix_dedup(spark, sf_dir):

@@ -96,8 +96,8 @@ def test_queries(spark, tables):
 
 def test_stage_text_keeps_whole_characters(spark, tables):
     rows = [(1, "é" * 30 + "abc"), (2, "x" + "é" * 30)]
-    kept = {r.doc_id: r.kept for r in remove_repeats(frame(spark, tables, rows), length=21, gram=5, keep_text=True).collect()}
-    assert kept == {1: "abc", 2: "x"}
+    kept = {r.doc_id: (r.kept, r.extra.data) for r in remove_repeats(frame(spark, tables, rows), length=21, gram=5, keep=("kind", "data")).collect()}
+    assert kept == {1: ("abc", "x"), 2: ("x", "x")}
 
 
 def test_multikey_sort_and_prefixes():
