@@ -22,9 +22,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network can tell; texts without a letter, or without a likely language, go."""
-    keep = tuple(docs.columns)
-    judged = identify(docs.withColumn("_text", F.col("text")), fit(docs.filter(~held_out())), text_col="_text", keep=keep)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*keep)
+    rows = docs.select(F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    judged = identify(rows, fit(docs.filter(~held_out())), text_col="_text", keep=("_row",))
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the smallest doc_id."""
-    classes = near_duplicates(docs)
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    named = F.xxhash64(F.coalesce("text", F.lit("")))
+    classes = near_duplicates(docs.withColumn("_text_hash", named), more=("_text_hash",))
+    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"), "_text_hash").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (named == gone["_text_hash"]), "left_anti")
 
 
 def repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

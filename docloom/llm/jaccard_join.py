@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.common import small_batches, table, written
 from docloom.llm.words import buffers, gram_hashes, mixed, slices, word_hashes, word_spans
@@ -80,8 +81,8 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, length: int) -> DataFrame:
-    """id, node (null without words), n shingles, keys."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, length: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """id, node (null without words), n shingles, keys, and the struct ``more`` of columns that go along."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +94,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, length:
                     for k, row in zip(has, trie_keys([sets[k] for k in has], trees, length)):
                         keys[k] = row
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(sets)), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "node", "n", "keys"],
+                    [batch.column(0).slice(i, len(sets)), batch.column(2).slice(i, len(sets)), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["id", "more", "node", "n", "keys"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node binary, n long, keys array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *more).alias("more"))
+    schema = T.StructType([rows.schema["id"], rows.schema["more"]]).add("node", T.BinaryType()).add("n", T.LongType()).add("keys", T.ArrayType(T.LongType()))
+    return rows.mapInArrow(run, schema)
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
@@ -192,11 +195,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL, tile: int = TILE) -> DataFrame:
-    """One row per document: id, class_id, n_links (other documents of similarity 0.8 or more), n_texts (different sets among them)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL, tile: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, class_id, n_links (other documents of similarity 0.8 or more), n_texts (different sets among them); with ``more``, those columns too."""
     num, den = SIMILARITY
     length = prefix_length(trees, DEPTH, num / den, recall)
-    signed = written(signatures(docs, id_col, text_col, trees, length), "signatures")
+    signed = written(signatures(docs, id_col, text_col, trees, length, more), "signatures")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max(F.struct("keys"))["keys"].alias("keys")
     )
@@ -229,9 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classes.join(least, "root").join(links, "node", "left").select(
         "node", "class_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts")
     )
-    return signed.select("id", "node").join(classes, "node", "left").select(
+    return signed.select("id", "node", "more").join(classes, "node", "left").select(
         F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
+        *[F.col(f"more.{c}") for c in more],
     )
 
 

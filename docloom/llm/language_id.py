@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.common import small_batches, table
 
@@ -160,8 +161,9 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
             names = [UNKNOWN if p < 0 else net.labels[p] for p in pred]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(text_col, *keep).mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
+    rows = docs.select(text_col, *keep)
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def op8_language_id(spark, sf_dir):

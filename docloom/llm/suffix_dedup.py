@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.common import table
 from docloom.llm.repeats import HOT_GROUP, NO_ID, Kind, covered, document_anchors, repeated_windows
@@ -86,8 +87,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *(("kept", "extra") if keep else ())])
 
     joined = base.join(ranges, ["rid1", "rid2"], "left").select("rid1", "text", "data", *(("extra",) if keep else ()))
-    more = f", kept string, extra {base.schema['extra'].dataType.simpleString()}" if keep else ""
-    done = joined.mapInArrow(run, "rid1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + more)
+    schema = T.StructType([T.StructField(n, T.StringType() if n == "kept_sha256" else T.LongType()) for n in names])
+    if keep:
+        schema = schema.add("kept", T.StringType()).add(base.schema["extra"])
+    done = joined.mapInArrow(run, schema)
     return done.select(F.when(F.col("rid1") != NO_ID, F.col("rid1")).alias(id_col), *done.columns[1:])
 
 
@@ -95,3 +98,18 @@ def op4_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5(substr(b, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT doc_id, b, unnest(range(0, length(b) // 2 - {LENGTH - 1})) AS i FROM d)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+x AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN r USING (h)),
+s AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x),
+g AS (SELECT doc_id, run, min(i) AS a, max(i) + {LENGTH} AS z FROM s GROUP BY 1, 2),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM g GROUP BY 1)
+SELECT d.doc_id, (length(b) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN t.doc_id IS NULL THEN b ELSE array_to_string(list_transform(range(0, len(starts) + 1),
+    lambda k: substr(b, 2 * (CASE WHEN k = 0 THEN 0 ELSE ends[k] END) + 1, 2 * ((CASE WHEN k = len(starts) THEN length(b) // 2 ELSE starts[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE ends[k] END)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""

@@ -238,3 +238,18 @@ def op3_warc(spark, sf_dir):
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path)
+
+
+def _base32(hexes: str) -> str:
+    """SQL: the base32 text of 40 hexadecimal digits, five digits (four letters) at a time."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    part = lambda k: f"('0x' || substr({hexes}, {5 * k + 1}, 5))::INT"
+    return " || ".join(f"substr({letters}, (({part(k)} >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
+
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, {_base32('h')} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, NULL::VARCHAR AS error FROM f
+"""

@@ -44,3 +44,17 @@ def test_each_stage_takes_effect(spark, tables):
 
 def test_empty_table(spark, tables):
     assert corpus_pipeline.run(spark, tables(documents=(SCHEMA, []))).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tables):
+    given, _ = rows()
+    extra = ("score", "lang_pred", "rid1", "node", "id", "_id", "run", "kept")
+    odd = [(1, given[1][1], "en", "s", 0), (1, "another text of the same id about the house and that with from there which would", "en", "s", 0), (None, "one without an id and of the house with that from there into could", "en", "s", 0)]
+    d = tables(documents=(SCHEMA + "".join(f", {c} string" for c in extra), [(*r, *("x" for _ in extra)) for r in given + odd]))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, d), "test")
+        assert docs.columns == [*corpus_pipeline.COLUMNS, *extra], name
+    texts = [(r.doc_id, r.text[:7]) for r in docs.collect()]
+    assert (1, "another") in texts and (None, "one wit") in texts
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() >= docs.count()
