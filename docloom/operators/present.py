@@ -15,6 +15,26 @@ from docloom.operators.fold import ordered_join
 #: Metadata that readers want to see.
 SHOWN = ("format", "size", "mode", "content_type", "status_code", "file_size", "pdf_pages_rendered", "pdf_total_pages", "collection_size", "from_zip", "zip_filename", "docx_pages_rendered", "docx_total_pages", "pptx_slides_rendered", "pptx_total_slides", "excel_sheets_rendered", "excel_total_sheets")
 
+#: The report on a document that looks scanned, by style; figures go between the pieces.
+REPORT = {
+    "markdown": {
+        "opening": "\n📄 **Document Analysis**: This appears to be a scanned PDF with little to no extractable text.\n\n",
+        "pages": "- **Pages processed**: ", "with_text": "\n- **Pages with text**: ", "mean": "\n- **Average text per page**: ",
+        "closing": " characters\n\n💡 **Suggestions**:\n"
+        "- Use the extracted images for vision-capable LLMs (Claude, GPT-4V)\n"
+        "- Consider OCR tools like `pytesseract` for text extraction\n"
+        "- The images are available in the `images` property for multimodal analysis\n\n",
+    },
+    "text": {
+        "opening": "\nDOCUMENT ANALYSIS: This appears to be a scanned PDF with little to no extractable text.\n\n",
+        "pages": "- Pages processed: ", "with_text": "\n- Pages with text: ", "mean": "\n- Average text per page: ",
+        "closing": " characters\n\nSUGGESTIONS:\n"
+        "- Use the extracted images for vision-capable LLMs (Claude, GPT-4V)\n"
+        "- Consider OCR tools like pytesseract for text extraction\n"
+        "- The images are available in the images property for multimodal analysis\n\n",
+    },
+}
+
 
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -162,13 +182,10 @@ def pdf(pages: DataFrame, style: str = "markdown") -> DataFrame:
     title, page, missing = ("# PDF Document: ", ("## Page ", "\n\n"), "*[No extractable text - likely scanned image]*") if md else ("PDF Document: ", ("[Page ", "]\n"), "[No extractable text - likely scanned image]")
     part = F.concat(F.lit(page[0]), no, F.lit(page[1]), F.when(blank, F.lit(missing)).otherwise(body), F.lit("\n\n"))
     texts = pages.groupBy("path").agg(ordered_join(F.struct(order), part, "").alias("body"))
-    said = lambda c, s: F.lit(f"- **{s}**: " if md else f"- {s}: ")
-    mean = F.format_string("%.0f", F.rint("avg_text_per_page"))
+    say = REPORT[style if md else "text"]
     report = F.concat(
-        F.lit("\n📄 **Document Analysis**: This appears to be a scanned PDF with little to no extractable text.\n\n" if md else "\nDOCUMENT ANALYSIS: This appears to be a scanned PDF with little to no extractable text.\n\n"),
-        said(0, "Pages processed"), F.col("total_pages").cast("string"), F.lit("\n"), said(0, "Pages with text"), F.col("pages_with_text").cast("string"), F.lit("\n"),
-        said(0, "Average text per page"), mean, F.lit(" characters\n\n"), F.lit("💡 **Suggestions**:\n" if md else "SUGGESTIONS:\n"),
-        F.lit("- Use the extracted images for vision-capable LLMs (Claude, GPT-4V)\n- Consider OCR tools like " + ("`pytesseract`" if md else "pytesseract") + " for text extraction\n- The images are available in the " + ("`images`" if md else "images") + " property for multimodal analysis\n\n"),
+        F.lit(say["opening"]), F.lit(say["pages"]), F.col("total_pages").cast("string"), F.lit(say["with_text"]), F.col("pages_with_text").cast("string"),
+        F.lit(say["mean"]), F.format_string("%.0f", F.rint("avg_text_per_page")), F.lit(say["closing"]),
     )
     done = F.concat(F.lit("*Total pages processed: "), F.col("total_pages").cast("string"), F.lit("*\n\n")) if md else F.lit("")
     heading = F.concat(F.lit(title), "path")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions import dsl
 from docloom.operators import adapt, fold
 from docloom.plans import route, verbs
-from docloom.schema import attachments
+from docloom.schema import canonical
 from docloom.sources import directories, files
 
 #: How a prompt may name a file or a page.
@@ -35,12 +35,12 @@ class Attachments:
     @property
     def df(self) -> DataFrame:
         if self._df is None:
-            parsed = attachments(files.attached(self.spark, self.references))
+            parsed = canonical(files.attached(self.spark, self.references))
             described, plain = self._expanded(parsed.select("ord", "attachy", "path", "commands").collect())
-            rows = attachments(self.spark.createDataFrame(plain, "ord long, attachy string, path string, commands map<string,string>"))
+            rows = canonical(self.spark.createDataFrame(plain, "ord long, attachy string, path string, commands map<string,string>"))
             done = route.processed(verbs.load.content(rows)) if plain else None
             if described:
-                more = attachments(self.spark.createDataFrame(described, "ord long, attachy string, path string, commands map<string,string>, kind string, text string")).withColumn("processor", F.lit("directory")).select(*route.RENDERED)
+                more = canonical(self.spark.createDataFrame(described, "ord long, attachy string, path string, commands map<string,string>, kind string, text string")).withColumn("processor", F.lit("directory")).select(*route.RENDERED)
                 done = more if done is None else done.unionByName(more)
             self._df = route.split_as_asked(done if done is not None else rows.withColumn("processor", F.lit("universal")).select(*route.RENDERED))
         return self._df

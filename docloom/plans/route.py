@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions import dsl, matchers
 from docloom.operators import present, refine, split
 from docloom.plans import verbs
-from docloom.schema import attachments
+from docloom.schema import canonical
 from docloom.sources import decode, files
 
 RENDERED = ("ord", "attachy", "path", "commands", "kind", "processor", "text", "images", "metadata", "error")
@@ -179,7 +179,7 @@ def available_processors(spark) -> DataFrame:
 
 def processed(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Attachments with content -> their texts, by the plan each one's kind chooses; only the plans in use are built."""
-    df = files.detected(attachments(df))
+    df = files.detected(canonical(df))
     use = kinds if kinds is not None else [r["processor"] for r in df.select("processor").distinct().toLocalIterator()]
     out = None
     for kind in use:

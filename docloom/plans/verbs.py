@@ -16,7 +16,7 @@ from docloom.operators import modify as modify_ops
 from docloom.operators import present as present_ops
 from docloom.operators import refine as refine_ops
 from docloom.operators import split as split_ops
-from docloom.schema import attachments
+from docloom.schema import canonical
 from docloom.sources import decode, files, urls
 
 
@@ -100,7 +100,7 @@ def fallback(main: Verb, *others: Verb) -> Verb:
 
 
 def attach(spark, *references: str) -> Flow:
-    return Flow(attachments(files.attached(spark, list(references))))
+    return Flow(canonical(files.attached(spark, list(references))))
 
 
 A = attach

@@ -25,7 +25,7 @@ COLUMNS = {
 CHUNK_COLUMNS = ("chunk_type", "chunk_index", "total_chunks", "original_path")
 
 
-def attachments(df: DataFrame) -> DataFrame:
+def canonical(df: DataFrame) -> DataFrame:
     """Add the canonical columns that are missing; the rest of the table stays."""
     have = set(df.columns)
     if "path" not in have:
