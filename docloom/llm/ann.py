@@ -47,21 +47,28 @@ def hash_strings(vectors: np.ndarray, trees: int = TREES) -> np.ndarray:
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
+def element(vectors: DataFrame, vec_col: str):
+    """How components travel: as float where they are float, else as double; scores are double either way."""
+    small = vectors.schema[vec_col].dataType.elementType.simpleString() == "float"
+    return ("float", np.float32, pa.float32()) if small else ("double", np.float64, pa.float64())
+
+
 def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, keep: int, is_query) -> DataFrame:
     """One entry per distinct usable vector: vec, its ``keep`` smallest ids, and whether a query has it.
 
     Input partitions first reduce their own copies, so a hot vector is a few entries, not its rows."""
     c = F.col(vec_col)
     usable = F.col(id_col).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
-    rows = vectors.filter(usable).select(F.col(id_col).cast("long").alias("id"), c.cast("array<double>").alias("vec"), is_query.alias("q"))
+    kind, dtype, arrow = element(vectors, vec_col)
+    rows = vectors.filter(usable).select(F.col(id_col).cast("long").alias("id"), c.cast(f"array<{kind}>").alias("vec"), is_query.alias("q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list] = {}
 
         def flush():
-            vecs = [np.frombuffer(v) for v in seen]
+            vecs = [np.frombuffer(v, dtype=dtype) for v in seen]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(vecs, pa.list_(pa.float64())), pa.array([sorted(e[0]) for e in seen.values()], pa.list_(pa.int64())), pa.array([e[1] for e in seen.values()], pa.bool_())],
+                [pa.array(vecs, pa.list_(arrow)), pa.array([sorted(e[0]) for e in seen.values()], pa.list_(pa.int64())), pa.array([e[1] for e in seen.values()], pa.bool_())],
                 names=["vec", "ids", "q"],
             )
             seen.clear()
@@ -80,7 +87,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, keep: int, i
         yield from flush()
 
     return (
-        rows.mapInArrow(run, "vec array<double>, ids array<long>, q boolean")
+        rows.mapInArrow(run, f"vec array<{kind}>, ids array<long>, q boolean")
         .groupBy("vec")
         .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"), F.max("q").alias("q"))
     )
@@ -98,7 +105,7 @@ def _hashed(entries: DataFrame, trees: int) -> DataFrame:
             hashes = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * trees, pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(lengths.astype(np.int32)), *batch.columns, hashes], names=["dim", "vec", "ids", "q", "hashes"])
 
-    return entries.mapInArrow(run, "dim int, vec array<double>, ids array<long>, q boolean, hashes array<long>")
+    return entries.mapInArrow(run, f"dim int, vec {entries.schema['vec'].dataType.simpleString()}, ids array<long>, q boolean, hashes array<long>")
 
 
 def _counts(batch: pa.Table, low: int) -> pa.Table:
@@ -117,7 +124,7 @@ def _nearest(batch: pa.Table, k: int) -> pa.Table:
     """The k nearest entries of a block to each of its queries, among those that share the query's number of bits."""
     q = np.array(batch["q"].to_pylist(), dtype=bool)
     vec = batch["vec"].combine_chunks()
-    v = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1)
+    v = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(q), -1)
     h, level, ids = batch["hash"].to_numpy(), batch["level"].to_numpy(), batch["ids"].to_pylist()
     norm = np.sqrt((v * v).sum(axis=1))
     rows = np.flatnonzero(~q)
@@ -187,7 +194,7 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str
         found.groupBy("query").agg(F.collect_set(F.struct((-F.col("score")).alias("s"), "ids")).alias("c"))
         .select("query", F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda e: F.transform(e["ids"], lambda i: F.struct(e["s"].alias("s"), i.alias("id"))))))), 1, k + 1).alias("c"))
     )
-    own = vectors.filter(asks & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.unhex(F.sha2(F.to_json(F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + F.lit(0.0))), 256)).alias("query"))
+    own = vectors.filter(asks & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.unhex(F.sha2(F.to_json(F.transform(F.col(vec_col), lambda x: x + F.lit(0.0)).cast(f"array<{element(vectors, vec_col)[0]}>")), 256)).alias("query"))
     return (
         own.join(best, "query")
         .select("query_id", F.posexplode(F.slice(F.filter("c", lambda e: e["id"] != F.col("query_id")), 1, k)).alias("i", "e"))
