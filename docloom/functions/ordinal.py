@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Rows kept in the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset), read back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new place in the folder of ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Rows kept in the shared folder and read back."""
+    path = shared_path(df.sparkSession, "rows")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_ordinal(df: DataFrame, keys: list[Column | str], name: str = "ord") -> DataFrame:

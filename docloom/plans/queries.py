@@ -5,14 +5,18 @@ Queries return flat scalar columns; digests stand for long texts. Every query ru
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import dsl, matchers
+from docloom.functions import dsl, matchers, ordinal
 from docloom.functions import text as text_fn
 from docloom.operators import adapt, fold, html, modify, present, refine, split
-from docloom.plans import api
-from docloom.sources import directories
+from docloom.plans import api, route
+from docloom.sources import decode, directories
+from docloom.streaming import apply as streaming
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -519,6 +523,163 @@ def event_trail(spark, sf):
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), fold.ordered_join(F.struct("ts", "event_id"), F.col("text"), " ").alias("trail"))
 
 
+# --- decoders and processors, over contents made from the tables ---------------------------------------------------
+
+def _bytes(*parts):
+    return F.encode(F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]), "UTF-8")
+
+
+def _pdfs(spark, sf) -> DataFrame:
+    no = F.col("doc_id").cast("string")
+    line = F.concat(F.lit("BT (Document "), no, F.lit(" has a line that is long enough to count as text here.) Tj ET"))
+    page = lambda k: (f"{2 * k} 0 obj\n<</Type /Page /Contents {2 * k + 1} 0 R>>\nendobj\n{2 * k + 1} 0 obj\n<<>>\nstream\n", line, "\nendstream\nendobj\n")
+    return t(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), no, F.lit(".pdf")).alias("path"), _bytes("%PDF-1.4\n", *page(1), *page(2)).alias("content"))
+
+
+@query("SELECT 'f' || doc_id || '.pdf' AS path, unnest([1, 2])::INT AS page_number, 2::INT AS total_pages, 'Document ' || doc_id || ' has a line that is long enough to count as text here.' AS text FROM documents")
+def load_pdf(spark, sf):
+    return decode.pdf(_pdfs(spark, sf)).select("path", "page_number", "total_pages", "text")
+
+
+_PDF_LINE = "'Document ' || doc_id || ' has a line that is long enough to count as text here.'"
+
+
+@query(f"""SELECT doc_id, '# PDF Document: f' || doc_id || '.pdf' || chr(10) || chr(10) || '## Page 2' || chr(10) || chr(10) || {_PDF_LINE} || chr(10) || chr(10) || '*Total pages processed: 1*' || chr(10) || chr(10) AS text FROM documents""")
+def processor_pdf(spark, sf):
+    asked = _pdfs(spark, sf).withColumns({"ord": F.col("doc_id"), "attachy": F.col("path"), "commands": F.create_map(F.lit("pages"), F.lit("-1"))})
+    return route.processed(asked, ["pdf"]).select(F.col("ord").alias("doc_id"), "text")
+
+
+@query(r"""SELECT c_custkey, '## Data from c' || c_custkey || '.csv' || chr(10) || chr(10) || '| key | name |' || chr(10) || '|---|---|' || chr(10) || '| ' || c_custkey || ' | ' || c_name || ' |' || chr(10) || chr(10) || '*Shape: (1, 2)*' || chr(10) || chr(10)
+  || chr(10) || '## Summary Statistics' || chr(10) || chr(10) || '- **Rows**: 1' || chr(10) || '- **Columns**: 2' || chr(10) || chr(10) AS text FROM customer""")
+def processor_csv(spark, sf):
+    key = F.col("c_custkey").cast("string")
+    files = t(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("c"), key, F.lit(".csv")).alias("path"), _bytes("key,name\n", key, ',"', F.col("c_name"), '"\nextra,row\n').alias("content"))
+    asked = files.withColumns({"attachy": F.col("path"), "commands": F.create_map(F.lit("limit"), F.lit("1"), F.lit("summary"), F.lit("true"))})
+    return route.processed(asked, ["csv"]).select(F.col("ord").alias("c_custkey"), "text")
+
+
+# An address that ends in a slash has an empty base name, so any "# " in the text counts as its header.
+@query(f"""WITH p AS (SELECT page_id, url, {_HTML_TEXT.format('html')} AS x FROM pages WHERE NOT regexp_matches(lower(url), '\\.(pdf|csv|zip|svg|png|jpg)$'))
+SELECT page_id, CASE WHEN ends_with(url, '/') AND contains(x, '# ') THEN x ELSE '# ' || url || chr(10) || chr(10) || x END AS text FROM p""")
+def processor_webpage(spark, sf):
+    asked = t(spark, sf, "pages").filter(matchers.webpage(matchers.File(F.col("url")))).select(F.col("page_id").alias("ord"), F.col("url").alias("path"), F.col("url").alias("attachy"), "html").withColumn("commands", F.create_map(F.lit("format"), F.lit("plain")))
+    return route.processed(asked, ["webpage"]).select(F.col("ord").alias("page_id"), "text")
+
+
+@query("SELECT doc_id, '0 0 ' || doc_id || ' 7' AS bounding_box, 'Doc: ' || doc_id AS title, NULL::VARCHAR AS creator FROM documents")
+def load_eps(spark, sf):
+    no = F.col("doc_id").cast("string")
+    files = t(spark, sf, "documents").select(no.alias("path"), _bytes("%!PS-Adobe-3.0\n%%BoundingBox: 0 0 ", no, " 7\n%%Title: Doc: ", no, "\n" + "\n" * 30 + "%%Creator: too late\n").alias("content"))
+    return decode.eps(files).select(F.col("path").cast("bigint").alias("doc_id"), "bounding_box", "title", "creator")
+
+
+@query("SELECT doc_id, doc_id::VARCHAR AS svg_width, 'auto' AS svg_height, (2 + doc_id % 2)::INT AS element_count, doc_id % 2 = 1 AS has_text_elements FROM documents")
+def load_svg(spark, sf):
+    no = F.col("doc_id").cast("string")
+    files = t(spark, sf, "documents").select(no.alias("path"), _bytes('<svg xmlns="http://www.w3.org/2000/svg" width="', no, '"><g/>', F.when(F.col("doc_id") % 2 == 1, "<text>x</text>").otherwise(""), "</svg>").alias("content"))
+    return decode.svg(files).select(F.col("path").cast("bigint").alias("doc_id"), "svg_width", "svg_height", "element_count", "has_text_elements")
+
+
+def _pngs(spark, sf) -> DataFrame:
+    size = lambda c: F.lpad(F.hex(c), 8, "0")
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size(F.col("p_size") * 37), size(F.col("p_size") * 21 + 5), F.lit("0806000000"))
+    return t(spark, sf, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("path"), F.unhex(head).alias("content"))
+
+
+@query(f"SELECT p_partkey, 'PNG' AS format, w::INT AS width, h::INT AS height, 'RGBA' AS mode FROM (SELECT p_partkey, {_SIZE} FROM part)")
+def load_image(spark, sf):
+    return decode.images(_pngs(spark, sf)).select(F.col("path").cast("bigint").alias("p_partkey"), "format", "width", "height", "mode")
+
+
+@query(f"SELECT p_partkey, 'data:image/png;base64,' || to_base64(unhex('89504E470D0A1A0A0000000D49484452' || printf('%08X', w) || printf('%08X', h) || '0806000000')) AS image FROM (SELECT p_partkey, {_SIZE} FROM part)")
+def present_images(spark, sf):
+    return present.images(_pngs(spark, sf)).select("p_partkey", F.get("images", F.lit(0)).alias("image"))
+
+
+@query(f"SELECT p_partkey, '# Image: ' || p_partkey || chr(10) || chr(10) || '- **Format**: PNG' || chr(10) || '- **Size**: (' || w || ', ' || h || ')' || chr(10) || '- **Mode**: RGBA' || chr(10) || chr(10) || '*Image converted to base64 and available in images list*' || chr(10) || chr(10) AS text FROM (SELECT p_partkey, {_SIZE} FROM part)")
+def present_image_markdown(spark, sf):
+    return present.image_markdown(decode.images(_pngs(spark, sf))).select(F.col("path").cast("bigint").alias("p_partkey"), "text")
+
+
+def _zip(**members: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def _office(spark, sf, content: bytes) -> DataFrame:
+    return t(spark, sf, "region").select(F.col("r_name").alias("path"), F.lit(content).alias("content"))
+
+
+_DOCX = {"word/document.xml": '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>Body</w:t></w:r></w:p></w:body></w:document>'}
+_PPTX = {f"ppt/slides/slide{n}.xml": f'<p:sld xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"><p:sp><a:p><a:r><a:t>Slide {n}</a:t></a:r></a:p></p:sp></p:sld>' for n in (1, 2)}
+_XLSX = {
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/></R>',
+    "xl/worksheets/sheet1.xml": '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1"><v>1</v></c><c r="B1"><v>2</v></c></row><row r="2"><c r="B2"><v>3</v></c></row></sheetData></worksheet>',
+}
+
+
+@query("SELECT r_name AS path, '# Document: ' || r_name || chr(10) || chr(10) || '### Title' || chr(10) || chr(10) || 'Body' || chr(10) || chr(10) || '*Document processed: 2 paragraphs*' || chr(10) || chr(10) AS text FROM region")
+def present_docx(spark, sf):
+    return present.document(decode.docx(_office(spark, sf, _zip(**_DOCX))))
+
+
+@query("SELECT r_name AS path, '# Presentation: ' || r_name || chr(10) || chr(10) || '## Slide 1' || chr(10) || chr(10) || 'Slide 1' || chr(10) || chr(10) || '## Slide 2' || chr(10) || chr(10) || 'Slide 2' || chr(10) || chr(10) || '*Slides processed: 2*' || chr(10) || chr(10) AS text FROM region")
+def present_pptx(spark, sf):
+    return present.slides(decode.pptx(_office(spark, sf, _zip(**_PPTX))))
+
+
+@query("SELECT r_name AS path, 'Workbook: ' || r_name || chr(10) || repeat('=', 10 + length(r_name)) || chr(10) || chr(10) || '[Sheet 1: One]' || chr(10) || 'Dimensions: 2 rows × 2 columns' || chr(10) || 'Row 1: 1 | 2' || chr(10) || 'Row 2:  | 3' || chr(10) || chr(10) || '*Workbook processed: 1 sheets*' || chr(10) || chr(10) AS text FROM region")
+def present_xlsx(spark, sf):
+    return present.workbook(decode.xlsx(_office(spark, sf, _zip(**_XLSX))), "text")
+
+
+@query("SELECT r_name AS path, unnest(['a.PNG', 'b/c.jpg']) AS member, unnest([1, 2])::INT AS bytes FROM region")
+def load_zip(spark, sf):
+    rows = decode.zip_images(_office(spark, sf, _zip(**{"a.PNG": "x", "b/c.jpg": "yy", "d.txt": "z"})))
+    return rows.select("path", "member", F.octet_length("content").alias("bytes"))
+
+
+@query("SELECT doc_id, 1 + doc_id % 5 AS pages, CASE WHEN doc_id % 5 >= 2 THEN 3 ELSE 1 + doc_id % 5 END::INT AS n, 'thumbnail_page_1_placeholder' AS first FROM documents")
+def present_thumbnails(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", (1 + F.col("doc_id") % 5).alias("pages"))
+    return present.thumbnails(d, "pages").select("doc_id", "pages", F.size("images").alias("n"), F.get("images", F.lit(0)).alias("first"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE text END AS text, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::INT AS images FROM documents")
+def present_filtered(spark, sf):
+    d = docs(spark, sf).withColumns({"images": F.array(F.lit("i")), "commands": F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("text"), F.lit("Off"))).otherwise(F.create_map(F.lit("images"), F.lit("false")))})
+    return present.filtered(d).select("doc_id", "text", F.size("images").alias("images"))
+
+
+@query("SELECT doc_id, 'doc/' || doc_id || '.txt: ' || text || chr(10) || chr(10) AS plain, '# doc/' || doc_id || '.txt' || chr(10) || chr(10) || '*Object type: <class ''str''>*' || chr(10) || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) AS markdown FROM documents")
+def present_fallback(spark, sf):
+    d = docs(spark, sf).withColumns({"content_text": F.col("text"), "text": F.lit("")})
+    return present.fallback_markdown(present.fallback_text(d).withColumnsRenamed({"text": "plain"}).withColumn("text", F.lit(""))).select("doc_id", "plain", F.col("text").alias("markdown"))
+
+
+@query("SELECT count(*) AS file_count, sum(n_chars)::BIGINT AS total_size, sum(n_chars) > 1000000 AS too_large FROM documents")
+def size_guard(spark, sf):
+    listed = t(spark, sf, "documents").select(F.col("n_chars").alias("length"))
+    return directories.size_guard(listed, 1_000_000).select("file_count", "total_size", "too_large")
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(trim(text, E' \n\t\r'), '[.!?]+\s+'), lambda x: trim(x, E' \n\t\r')), lambda x: x <> '')) AS text FROM documents) SELECT doc_id, text FROM s""")
+def stream_sentences(spark, sf):
+    """The sentence splitter on a stream of the table, to its end; the rows it wrote."""
+    at = ordinal.shared_path(spark, "stream")
+    source = f"{sf}/documents.parquet"
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).parquet(f"{source}*").select("doc_id", "text", F.lit("").alias("path"))
+    plan = lambda df: split.sentences(df).filter("chunk_index IS NOT NULL").select("doc_id", "text")
+    streaming.run(stream, plan, f"{at}/out", f"{at}/log").awaitTermination()
+    return spark.read.schema("doc_id long, text string").parquet(f"{at}/out")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Chunks of documents by sentences, counted."""
     return chunk_stats(spark, "/root/testdata/sf0.001")
