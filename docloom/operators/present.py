@@ -163,13 +163,18 @@ def page_markdown(df: DataFrame, html: str = "html") -> DataFrame:
     return df.withColumn("text", F.concat("text", html_ops.markdown(F.col(html))))
 
 
+def _by(parts: DataFrame) -> list[str]:
+    """What a document is known by: its path, and its place where one file is attached twice."""
+    return [c for c in ("ord", "path") if c in parts.columns]
+
+
 def scanned(pages: DataFrame, order: str = "page_number") -> DataFrame:
     """Per path: pages, pages with text, mean length, whether it looks scanned and the quality of the text."""
     n = F.length(strip(F.coalesce("text", F.lit(""))))
-    g = pages.groupBy("path").agg(F.count(F.lit(1)).alias("total_pages"), F.count_if(n > 0).alias("pages_with_text"), F.sum(n).alias("_n"))
+    g = pages.groupBy(*_by(pages)).agg(F.count(F.lit(1)).alias("total_pages"), F.count_if(n > 0).alias("pages_with_text"), F.sum(n).alias("_n"))
     mean = F.col("_n") / F.col("total_pages")
     bad = (F.col("pages_with_text") == 0) | (mean < 50) | (F.col("pages_with_text") / F.col("total_pages") < 0.3)
-    return g.select("path", "total_pages", "pages_with_text", mean.alias("avg_text_per_page"), bad.alias("is_likely_scanned"),
+    return g.select(*_by(pages), "total_pages", "pages_with_text", mean.alias("avg_text_per_page"), bad.alias("is_likely_scanned"),
                     F.when(~bad, "good").when(mean < 20, "poor").otherwise("limited").alias("text_extraction_quality"))
 
 
@@ -181,7 +186,7 @@ def pdf(pages: DataFrame, style: str = "markdown") -> DataFrame:
     body, blank = F.coalesce("text", F.lit("")), F.coalesce(is_blank(F.col("text")), F.lit(True))
     title, page, missing = ("# PDF Document: ", ("## Page ", "\n\n"), "*[No extractable text - likely scanned image]*") if md else ("PDF Document: ", ("[Page ", "]\n"), "[No extractable text - likely scanned image]")
     part = F.concat(F.lit(page[0]), no, F.lit(page[1]), F.when(blank, F.lit(missing)).otherwise(body), F.lit("\n\n"))
-    texts = pages.groupBy("path").agg(ordered_join(F.struct(order), part, "").alias("body"))
+    texts = pages.groupBy(*_by(pages)).agg(ordered_join(F.struct(order), part, "").alias("body"))
     say = REPORT[style if md else "text"]
     report = F.concat(
         F.lit(say["opening"]), F.lit(say["pages"]), F.col("total_pages").cast("string"), F.lit(say["with_text"]), F.col("pages_with_text").cast("string"),
@@ -190,7 +195,7 @@ def pdf(pages: DataFrame, style: str = "markdown") -> DataFrame:
     done = F.concat(F.lit("*Total pages processed: "), F.col("total_pages").cast("string"), F.lit("*\n\n")) if md else F.lit("")
     heading = F.concat(F.lit(title), "path")
     top = F.concat(heading, F.lit("\n\n")) if md else F.concat(heading, F.lit("\n"), F.repeat(F.lit("="), F.length(heading)), F.lit("\n\n"))
-    return texts.join(scanned(pages), "path").withColumn("text", F.concat(top, "body", F.when(F.col("is_likely_scanned"), report).otherwise(done))).drop("body")
+    return texts.join(scanned(pages), _by(pages)).withColumn("text", F.concat(top, "body", F.when(F.col("is_likely_scanned"), report).otherwise(done))).drop("body")
 
 
 def slides(rows: DataFrame, style: str = "markdown") -> DataFrame:
@@ -198,12 +203,12 @@ def slides(rows: DataFrame, style: str = "markdown") -> DataFrame:
     md = style == "markdown"
     has = ~F.coalesce(is_blank(F.col("text")), F.lit(True))
     o = F.struct("shape")
-    per = rows.groupBy("path", "slide_number").agg(ordered_join(o, F.when(has, F.concat("text", F.lit("\n\n" if md else "\n"))), "").alias("body"))
+    per = rows.groupBy(*_by(rows), "slide_number").agg(ordered_join(o, F.when(has, F.concat("text", F.lit("\n\n" if md else "\n"))), "").alias("body"))
     no = F.col("slide_number").cast("string")
     part = F.concat(F.lit("## Slide "), no, F.lit("\n\n"), "body") if md else F.concat(F.lit("[Slide "), no, F.lit("]\n"), F.when(is_blank(F.col("body")), F.lit("[No text content]\n\n")).otherwise(F.concat("body", F.lit("\n"))))
-    g = per.groupBy("path").agg(ordered_join(F.struct("slide_number"), part, "").alias("body"), F.count(F.lit(1)).cast("string").alias("n"))
+    g = per.groupBy(*_by(rows)).agg(ordered_join(F.struct("slide_number"), part, "").alias("body"), F.count(F.lit(1)).cast("string").alias("n"))
     top = _title("Presentation: ", md)
-    return g.select("path", F.concat(top, "body", F.lit("*Slides processed: " if md else "Slides processed: "), "n", F.lit("*\n\n" if md else "\n\n")).alias("text"))
+    return g.select(*_by(rows), F.concat(top, "body", F.lit("*Slides processed: " if md else "Slides processed: "), "n", F.lit("*\n\n" if md else "\n\n")).alias("text"))
 
 
 def _title(kind: str, md: bool) -> Column:
@@ -217,8 +222,8 @@ def document(paragraphs: DataFrame, style: str = "markdown") -> DataFrame:
     level = F.regexp_extract("style", r"(\S+)\s*\z", 1).try_cast("int")
     mark = F.when(F.col("style").startswith("Heading"), F.concat(F.repeat(F.lit("#"), F.coalesce(F.least(level + 1, F.lit(6)), F.lit(2))), F.lit(" "))).otherwise(F.lit("")) if md else F.lit("")
     has = ~F.coalesce(is_blank(F.col("text")), F.lit(True))
-    g = paragraphs.groupBy("path").agg(ordered_join(F.struct("number"), F.when(has, F.concat(mark, "text", F.lit("\n\n"))), "").alias("body"), F.count(F.lit(1)).cast("string").alias("n"))
-    return g.select("path", F.concat(_title("Document: ", md), "body", F.lit("*Document processed: "), "n", F.lit(" paragraphs*\n\n")).alias("text"))
+    g = paragraphs.groupBy(*_by(paragraphs)).agg(ordered_join(F.struct("number"), F.when(has, F.concat(mark, "text", F.lit("\n\n"))), "").alias("body"), F.count(F.lit(1)).cast("string").alias("n"))
+    return g.select(*_by(paragraphs), F.concat(_title("Document: ", md), "body", F.lit("*Document processed: "), "n", F.lit(" paragraphs*\n\n")).alias("text"))
 
 
 def workbook(rows: DataFrame, style: str = "markdown") -> DataFrame:
@@ -228,11 +233,11 @@ def workbook(rows: DataFrame, style: str = "markdown") -> DataFrame:
     joined = F.array_join(clean, " | ")
     rule = F.when(F.col("row_number") == 1, F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.col("columns")), F.lit("\n"))).otherwise(F.lit(""))
     line = F.concat(F.lit("| "), joined, F.lit(" |\n"), rule) if md else F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": "), joined, F.lit("\n"))
-    per = rows.groupBy("path", "sheet_number", "title", "columns").agg(ordered_join(F.struct("row_number"), F.when(F.col("row_number").isNotNull(), line), "").alias("body"), F.count("row_number").cast("string").alias("n"))
+    per = rows.groupBy(*_by(rows), "sheet_number", "title", "columns").agg(ordered_join(F.struct("row_number"), F.when(F.col("row_number").isNotNull(), line), "").alias("body"), F.count("row_number").cast("string").alias("n"))
     no, size = F.col("sheet_number").cast("string"), F.concat(F.col("n"), F.lit(" rows × "), F.col("columns").cast("string"), F.lit(" columns\n"))
     part = F.concat(F.lit("## Sheet "), no, F.lit(": "), "title", F.lit("\n\n**Dimensions**: "), size, F.lit("\n"), F.when(F.col("n") > 0, F.concat(F.lit("**Data**:\n\n"), "body", F.lit("\n"))).otherwise(F.lit("*Empty sheet*\n\n"))) if md else F.concat(F.lit("[Sheet "), no, F.lit(": "), "title", F.lit("]\nDimensions: "), size, "body", F.lit("\n"))
-    g = per.groupBy("path").agg(ordered_join(F.struct("sheet_number"), part, "").alias("body"), F.count(F.lit(1)).cast("string").alias("n"))
-    return g.select("path", F.concat(_title("Workbook: ", md), "body", F.lit("*Workbook processed: "), "n", F.lit(" sheets*\n\n")).alias("text"))
+    g = per.groupBy(*_by(rows)).agg(ordered_join(F.struct("sheet_number"), part, "").alias("body"), F.count(F.lit(1)).cast("string").alias("n"))
+    return g.select(*_by(rows), F.concat(_title("Workbook: ", md), "body", F.lit("*Workbook processed: "), "n", F.lit(" sheets*\n\n")).alias("text"))
 
 
 def image_markdown(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ REFERENCES = (
 
 
 class Attachments:
-    """Lazy: ``df`` is the processed table; the properties fold it."""
+    """``df`` is the processed table, made when first asked for and kept; the properties fold it."""
 
     def __init__(self, spark: SparkSession, *paths: str | list[str], prompt: str | None = None):
         flat = [p for x in paths for p in (x if isinstance(x, (list, tuple)) else [x])]
@@ -42,7 +42,8 @@ class Attachments:
             if described:
                 more = canonical(self.spark.createDataFrame(described, "ord long, attachy string, path string, commands map<string,string>, kind string, text string")).withColumn("processor", F.lit("directory")).select(*route.RENDERED)
                 done = more if done is None else done.unionByName(more)
-            self._df = route.split_as_asked(done if done is not None else rows.withColumn("processor", F.lit("universal")).select(*route.RENDERED))
+            split = route.split_as_asked(done if done is not None else rows.withColumn("processor", F.lit("universal")).select(*route.RENDERED))
+            self._df = split.persist()  # each property folds it anew
         return self._df
 
     def _expanded(self, rows) -> tuple[list[tuple], list[tuple]]:

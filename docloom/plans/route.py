@@ -19,8 +19,8 @@ RENDERED = ("ord", "attachy", "path", "commands", "kind", "processor", "text", "
 
 
 def _back(df: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rendered texts (one per path) onto their attachments."""
-    return df.drop("text").join(texts.select("path", "text"), "path", "left").withColumn("text", F.coalesce("text", F.concat(F.lit("# "), "path", F.lit("\n\n*Could not be read*\n\n"))))
+    """Rendered texts onto their attachments."""
+    return df.drop("text").join(texts.select("ord", "path", "text"), ["ord", "path"], "left").withColumn("text", F.coalesce("text", F.concat(F.lit("# "), "path", F.lit("\n\n*Could not be read*\n\n"))))
 
 
 def _style(df: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def _by_style(df: DataFrame, render) -> DataFrame:
 
 def _paged(df: DataFrame, parts: DataFrame, number: str, total: str) -> DataFrame:
     """Parts that the attachment's ``pages`` asks for (all without it), in its order."""
-    asked = parts.join(df.select("path", dsl.command("pages").alias("_spec")), "path")
+    asked = parts.join(df.select("ord", "path", dsl.command("pages").alias("_spec")), ["ord", "path"])
     wanted = F.when(F.col("_spec").isNull(), F.array(F.col(number))).otherwise(F.coalesce(dsl.page_list(F.col("_spec"), F.col(total)), F.array(F.col(number))))
     hit = F.transform(F.filter(F.transform(wanted, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda e: e["p"] == F.col(number)), lambda e: e["i"])
     return asked.withColumn("_i", F.explode(hit)).withColumn("page_order", F.when(F.col("_spec").isNull(), F.col(number)).otherwise(F.col("_i"))).drop("_i", "_spec")
@@ -122,7 +122,7 @@ def csv_to_llm(df: DataFrame) -> DataFrame:
 
 
 def _vector(df: DataFrame, decoded: DataFrame) -> DataFrame:
-    return _back(df, decoded.select("path", F.concat("path", F.lit(": "), "text", F.lit("\n\n")).alias("text")))
+    return _back(df, decoded.select("ord", "path", F.concat("path", F.lit(": "), "text", F.lit("\n\n")).alias("text")))
 
 
 @verbs.processor

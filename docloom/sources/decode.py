@@ -28,19 +28,21 @@ IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".heic", ".heif", ".we
 
 
 def parts(files: DataFrame, decode: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
-    """1 file -> N rows: path, the decoder's columns, error."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    """1 file -> N rows: path (and the attachment's place ``ord``, if there), the decoder's columns, error."""
+    names, carried = [f.split()[0] for f in schema.split(", ")], [c for c in ("ord",) if c in files.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content, *place in zip(batch["path"], batch["content"], *(batch[c] for c in carried)):
+                same = {"path": path, **dict(zip(carried, place))}
                 try:
-                    rows = [{"path": path, **r, "error": None} for r in decode(bytes(content))]
+                    rows = [{**same, **r, "error": None} for r in decode(bytes(content))]
                 except Exception as e:  # noqa: BLE001  a bad file is a row that says so
-                    rows = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=["path", *names, "error"], dtype=object)
+                    rows = [{**same, "error": f"{type(e).__name__}: {e}"}]
+                yield pd.DataFrame(rows, columns=["path", *carried, *names, "error"], dtype=object)
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {schema}, error string")
+    kinds = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in carried)
+    return files.select("path", "content", *carried).mapInPandas(run, f"path string{kinds}, {schema}, error string")
 
 
 def _natural(names: list[str], pattern: str) -> list[str]:
@@ -248,7 +250,7 @@ def eps(files: DataFrame) -> DataFrame:
         hits = F.filter(head, lambda line: line.startswith(f"%%{name}:"))
         return F.when(F.size(hits) > 0, F.trim(F.regexp_replace(F.substring(F.element_at(hits, -1), len(name) + 4, 1 << 20), "\r", "")))
 
-    return files.select("path", comment("BoundingBox").alias("bounding_box"), comment("Creator").alias("creator"), comment("Title").alias("title"), comment("CreationDate").alias("creation_date"), F.length(text).alias("file_size"), text.alias("text"))
+    return files.select("path", *[c for c in ("ord",) if c in files.columns], comment("BoundingBox").alias("bounding_box"), comment("Creator").alias("creator"), comment("Title").alias("title"), comment("CreationDate").alias("creation_date"), F.length(text).alias("file_size"), text.alias("text"))
 
 
 def _xml_parts(content: bytes, slides: int = 3) -> list[dict]:

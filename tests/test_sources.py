@@ -110,6 +110,8 @@ def test_facade(spark, tree, tmp_path):
     assert "| A | 1 |" in text and "B, b" not in text and "[Page 1]\nHello (PDF)!" in text and a.images[0].startswith("data:image/png;base64,")
     assert [r.path for r in a][0].endswith("c.md") and a[0].text == a.df.orderBy("ord").first().text and "openai" not in a.metadata
     assert a.openai_chat("hi").startswith('[{"role":"user"') and a.claude("x") != a.openai_responses("x")
+    twice = api.Attachments(spark, f"{tree}/x.pdf[1]", f"{tree}/x.pdf[format:plain]", f"{tree}/x.pdf[pages:2]")
+    assert [r.text[:14] for r in twice] == ["# PDF Document", "PDF Document: ", f"# {tree}"[:14]] and "could not be read" in twice[2].text.lower()
     parts = api.Attachments(spark, f"{tree}/a.py[split:characters][characters:3]", f"{tree}/docs/c.md[split:nonsense]")
     assert [r.chunk_index for r in parts][0] == 0 and len(parts) > 3
     with pytest.raises(AttributeError):
