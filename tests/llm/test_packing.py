@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -12,10 +13,15 @@ from docloom.llm.packing import MAX_TOKENS, capacities, op5_packing, pack, pack_
 PATH = tokens.path("word_bpe_49k.json")
 
 
-def library_ids(text):
+@functools.lru_cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(PATH)
+
+
+def library_ids(text):
+    return library().encode(text, add_special_tokens=False).ids
 
 
 def test_word_by_word_equals_whole_texts():
