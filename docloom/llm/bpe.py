@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import regex
 
-from docloom.llm.common import small_batches, table
+from docloom.llm.common import small_batches, spread, table
 
 MAX_STATES, MAX_MEMO = 200_000, 1_000_000
 #: Ids that one step of the streaming decoder takes.
@@ -275,4 +275,4 @@ def encode_texts(docs, path: str, pattern: str, id_col: str = "doc_id", text_col
 def op1_byte_bpe(spark, sf_dir):
     import public_tokenizers as tokens
 
-    return encode_texts(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN, keep_ids=False)
+    return encode_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokens.path("byte_bpe_50k.tiktoken"), tokens.PATTERN, keep_ids=False)

@@ -39,6 +39,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table read in fewer parts than there are cores, dealt over all of them; any other as it is.
+
+    For scans only: asking a scan for its partitions runs nothing."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def parts_for(spark: SparkSession, n_bytes: int, target: int = 16 << 20) -> int:
     """Partitions for so many bytes, never fewer than the session's own setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // target))

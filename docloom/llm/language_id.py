@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import small_batches, table
+from docloom.llm.common import small_batches, spread, table
 
 FIT_DOCS, FIT_CHARS = 3000, 512
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), (8, 12, 12), 8
@@ -168,4 +168,4 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
-    return identify(docs, fit(docs.filter(~F.col("held_out"))), keep=("doc_id", "held_out"))
+    return identify(spread(docs.select("doc_id", "held_out", "text")), fit(docs.filter(~F.col("held_out"))), keep=("doc_id", "held_out"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from docloom.llm.common import small_batches, table
+from docloom.llm.common import small_batches, spread, table
 
 MAX_TOKENS, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
@@ -160,4 +160,4 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def op5_packing(spark, sf_dir):
     import public_tokenizers as tokens
 
-    return pack_documents(table(spark, sf_dir, "documents"), tokens.path("word_bpe_49k.json"))
+    return pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokens.path("word_bpe_49k.json"))
