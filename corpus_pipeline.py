@@ -10,8 +10,8 @@ import public_tokenizers as tokens
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table, written
-from docloom.llm.exact_dedup import without_duplicates
+from docloom.llm.common import table, without, written
+from docloom.llm.exact_dedup import one_of_equals
 from docloom.llm.jaccard_join import near_duplicates
 from docloom.llm.language_id import LEAST_SCORE, UNKNOWN, fit, held_out, identify
 from docloom.llm.packing import pack_documents
@@ -28,16 +28,16 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of equal texts."""
-    return without_duplicates(docs)
+    """One document of equal texts: the smallest doc_id."""
+    return one_of_equals(docs)
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the smallest doc_id."""
     named = F.xxhash64(F.coalesce("text", F.lit("")))
-    classes = near_duplicates(docs.withColumn("_text_hash", named), more=("_text_hash",))
-    gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"), "_text_hash").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (named == gone["_text_hash"]), "left_anti")
+    classes = near_duplicates(docs.withColumn("_text_hash", named), more=("_text_hash",), choose=True)
+    gone = classes.filter(~F.col("chosen")).select(F.col("doc_id").alias("id"), F.col("_text_hash").alias("mark"))
+    return without(docs, gone, "doc_id", named)
 
 
 def repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

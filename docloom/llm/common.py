@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whitespace of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -33,6 +33,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and mark ``gone(id, mark)`` does not hold; of rows that repeat both, one stays, whole.
+
+    Repeats go within each input partition first, so no task receives them all; one shuffle serves this and the join."""
+    keys = ["_mark", "_null", "_key"]
+    named = lambda c: (c.isNull().alias("_null"), F.coalesce(c.cast("string"), F.lit("")).alias("_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), mark.alias("_mark"), *named(F.col(id_col))).dropDuplicates(keys)
+    return rows.join(gone.select(F.col("mark").alias("_mark"), *named(F.col("id"))).distinct(), keys, "left_anti").select("_row.*")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch of long texts can hold; the byte limit applies where Spark has one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACES, table, written
+from docloom.llm.common import SPACES, table, without, written
 
 #: Runs that meet in one merge; a round costs one shuffle of the distinct keys of each run.
 FAN_IN = 32
@@ -72,6 +72,12 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (sha == gone["_sha"]), "left_anti")
 
 
+def one_of_equals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``without_duplicates``, but of rows that repeat both id and text one stays too: one row of each group."""
+    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("mark"))
+    return without(docs, gone, id_col, F.sha2(normalised(F.col(text_col)), 256))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

@@ -195,13 +195,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL, tile: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, class_id, n_links (other documents of similarity 0.8 or more), n_texts (different sets among them); with ``more``, those columns too."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL, tile: int = TILE, more: tuple[str, ...] = (), choose: bool = False) -> DataFrame:
+    """One row per document: id, class_id, n_links (other documents of similarity 0.8 or more), n_texts (different sets among them); with ``more``, those columns too.
+
+    With ``choose`` also chosen: true for one id and ``more`` of a class (the class id, by the smallest node and ``more``) and where there are no shingles."""
     num, den = SIMILARITY
     length = prefix_length(trees, DEPTH, num / den, recall)
     signed = written(signatures(docs, id_col, text_col, trees, length, more), "signatures")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max(F.struct("keys"))["keys"].alias("keys")
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max(F.struct("keys"))["keys"].alias("keys"),
+        *([F.min(F.struct(F.col("id").isNull().alias("null"), "id", "more"))["more"].alias("first")] if choose else []),
     )
     nodes = written(nodes, "nodes")
     strings = nodes.select("node", "n", F.posexplode("keys").alias("tree", "key"))
@@ -227,15 +230,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(placed.join(asked, "node").groupBy("tree", "key", "a", "b").applyInArrow(lambda t: _verify(t, num, den), schema), "links")
     links = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    classes = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
+    classes = nodes.select("node", "least", "copies", *(["first"] if choose else [])).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    only = [F.min(F.struct(F.col("least").isNull().alias("null"), "least", "node"))["node"].alias("only")] if choose else []
+    least = classes.groupBy("root").agg(F.min("least").alias("class_id"), *only)
     classes = classes.join(least, "root").join(links, "node", "left").select(
-        "node", "class_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts")
+        "node", *(["first", "only"] if choose else []), "class_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts")
     )
+    chosen = F.col("node").isNull() | (F.col("node") == F.col("only")) & F.col("id").eqNullSafe(F.col("class_id")) & F.col("more").eqNullSafe(F.col("first")) if choose else None
     return signed.select("id", "node", "more").join(classes, "node", "left").select(
         F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
-        *[F.col(f"more.{c}") for c in more],
+        *[F.col(f"more.{c}") for c in more], *([chosen.alias("chosen")] if choose else []),
     )
 
 

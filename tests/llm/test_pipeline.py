@@ -58,3 +58,24 @@ def test_odd_rows_and_clashing_columns(spark, tables):
     texts = [(r.doc_id, r.text[:7]) for r in docs.collect()]
     assert (1, "another") in texts and (None, "one wit") in texts
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() >= docs.count()
+
+
+def test_one_row_of_equal_and_near_texts_survives(spark, tables):
+    given, _ = rows()
+    say = lambda seed: " ".join(f"the{random.Random(seed * 1000 + k).randint(0, 10**6)} house" for k in range(40))
+    no_id, alike, odd = say(1), say(2), say(3)
+    more = [given[1], (1, given[1][1], "fr", "other", 0)]  # repeated rows
+    more += [(None, t, "en", "s", 0) for t in (no_id, no_id, no_id.replace(" ", "  ", 3))]  # copies without an id
+    more += [(None, alike + end, "en", "s", 0) for end in (" one", " two", " one")]  # near copies without an id
+    more += [(500, odd + end, "en", "s", 0) for end in (" one", " two")]  # near copies of one id
+    d = tables(documents=(SCHEMA, given + more))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    near_alone = [r.text for r in corpus_pipeline.STAGES[2][1](spark, docs, d).collect() if r.text]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, d), "test")
+    left = [r.text for r in docs.collect()]
+    for texts in (near_alone, left):
+        assert texts.count(given[1][1]) == 1
+        for text in (no_id, alike, odd):
+            assert sum(" ".join(t.split()).startswith(text) for t in texts) == 1
+    assert "" not in left
