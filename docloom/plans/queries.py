@@ -1,6 +1,7 @@
 """The catalogue: each operator applied to a table, and the same in DuckDB SQL.
 
-Queries return flat scalar columns; digests stand for long texts. Every query runs over its whole table.
+Queries return flat scalar columns; digests stand for long texts. Every query runs over its whole table, but ``suggest_command``
+and ``scanned_heuristic`` cut texts short, as their SQL does.
 """
 
 from __future__ import annotations
