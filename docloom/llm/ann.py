@@ -3,7 +3,8 @@
 ``TREES`` trees each give every vector a string of ``BITS`` bits (signs of random projections) and keep the
 vectors sorted by it. A query descends in all trees to its longest matching prefix and ascends in all of them at
 the same pace, one bit at a time, until the entries that share that many bits with it, summed over the trees, reach
-``TREES * ASCENT * sqrt(N)``; all of them are then scored exactly, in double precision.
+``TREES * ASCENT * sqrt(N)``, and k + 1 different ones for certain; all of them are then scored exactly, in double
+precision.
 
 Distribution. A tree's sorted array is cut by leading bits into buckets of about ``BUCKET`` entries; a bucket that
 holds more is dealt over several blocks, which every query of that bucket visits. Per-level counts come first from
@@ -156,7 +157,8 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str
     asks = is_query if is_query is not None else F.lit(True)
     entries = written(_hashed(distinct_vectors(vectors, id_col, vec_col, k + 1, asks), trees).withColumn("id", F.unhex(F.sha2(F.to_json("vec"), 256))), "ann-entries")
     n = entries.count()
-    wanted = int(trees * ascent * math.sqrt(max(n, 1)))
+    # An entry counts once a tree at most: so many hold k + 1 different ones, the query's own among them.
+    wanted = max(int(trees * ascent * math.sqrt(max(n, 1))), trees * min(n, k + 1))
     low = max(0, min(BITS - 1, round(math.log2(max(1.0, n / bucket)))))
     strings = entries.select("id", "dim", "q", F.posexplode("hashes").alias("tree", "hash"))
     strings = strings.withColumn("bucket", F.shiftright("hash", BITS - low))

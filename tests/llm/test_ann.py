@@ -67,6 +67,13 @@ def test_ascends_above_the_buckets(spark, tables):
     assert {(r.query_id, r.vec_id) for r in got} == {(q, j) for q, w in want.items() for _, j in w}
 
 
+def test_six_vectors_of_which_five_share_all_bits(spark, tables):
+    rows = [(i, [s * x for x in (1.0, 2.0, 3.0)]) for i, s in enumerate((1, 2, 4, 8, 16, -1))]
+    d, _ = frame(spark, tables, rows)
+    got = sorted((r.rank, r.vec_id) for r in op2_nearest(spark, d).collect())
+    assert [rank for rank, _ in got] == [1, 2, 3, 4, 5] and {j for _, j in got} == {1, 2, 3, 4, 5} and got[-1] == (5, 5)
+
+
 def test_empty(spark, tables):
     assert op2_nearest(spark, tables(embeddings=(SCHEMA, []))).count() == 0
     assert ann.hash_strings(np.ones((1, 3))).shape == (1, ann.TREES)
