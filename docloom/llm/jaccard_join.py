@@ -1,9 +1,9 @@
-"""Operator 7, n-gram Jaccard join: a MinHash LSH forest with exact verification.
+"""Operator 7, n-gram Jaccard join: MinHash banding with exact verification, in place of an LSH forest.
 
 A document is the set of its five-word shingles (a shorter one is the single shingle of all its words). Equal sets
-are one node. Each of ``TREES`` prefix tries orders the nodes by ``DEPTH`` MinHash values; matched prefixes are
-shortened, one value at a time, until a pair at the similarity threshold meets in some trie with probability
-``RECALL``. Nodes that share such a prefix are candidates, and every candidate pair is verified on the shingle sets.
+are one node. Each of ``TREES`` tries is one key a node: the hash of its first MinHash values, as many (of ``DEPTH`` at
+most) as let a pair at the similarity threshold meet in some trie with probability ``RECALL``; the length is the same
+for every table. Nodes that share such a prefix are candidates, and every candidate pair is verified on the shingle sets.
 
 Distribution. Prefixes met once are dropped by an aggregated count; prefixes with the same members are handled
 once (order-free member checksums); large ones are dealt into tiles of at most ``TILE`` nodes or ``TILE_SHINGLES``
