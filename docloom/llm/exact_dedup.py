@@ -1,8 +1,9 @@
-"""Operator 10, exact duplicates: a tree-merge of sorted digest runs, in DataFrame operations only.
+"""Operator 10, exact duplicates: a tree of grouped aggregates over digest runs, in DataFrame operations only.
 
-Each input partition is a run: its (digest, length, second hash) keys, sorted, one entry per key with the
-smallest identifier and a count. In binomial rounds, ``FAN_IN`` neighbouring runs exchange and merge into one;
-every merge keeps the smallest identifier of a key, so the last run holds the answer for the whole table. A key
+Each input partition is a run: its (digest, length, second hash) keys, one entry per key with the smallest
+identifier and a count. In rounds, ``FAN_IN`` neighbouring runs merge into one by an aggregate grouped on run and
+key (no merge makes use of the order within runs); every merge keeps the smallest identifier of a key, so the last
+run holds the answer for the whole table. A key
 is verified by SHA-256, byte length and an independent 64-bit hash, at every level. A hot text is one entry per
 run after the first level, so no task receives its copies.
 
