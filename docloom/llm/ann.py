@@ -1,16 +1,16 @@
 """Operator 2, approximate nearest neighbours: a hash-prefix forest.
 
-``TREES`` trees each give every vector a string of ``BITS`` bits (signs of random projections) and keep the
-vectors sorted by it. A query descends in all trees to its longest matching prefix and ascends in all of them at
-the same pace, one bit at a time, until the entries that share that many bits with it, summed over the trees, reach
-``TREES * ASCENT * sqrt(N)``, and k + 1 different ones for certain; all of them are then scored exactly, in double
-precision.
-
-Distribution. A tree's sorted array is cut by leading bits into buckets of about ``BUCKET`` entries; a bucket that
-holds more is dealt over several blocks, which every query of that bucket visits. Per-level counts come first from
-the (tree, bucket) histogram and, below bucket level, from the sorted blocks; a query that must ascend above bucket
-level visits the sibling buckets. Equal vectors are one entry with their smallest ids, so copies cost nothing. Each
-block's rows and queries are the only things a task holds.
+``TREES`` trees each give every vector a string of ``BITS`` bits (signs of random projections) and keep the entries
+sorted by it. A query descends in all trees to its longest matching prefix and ascends in all of them at the same
+pace, one bit at a time, until the entries that share that many bits with it, summed over the trees, reach
+``ASCENT`` times the entries of the forest (and hold k + 1 different ones for certain). An entry counts once for
+every bit level at which it was met in a tree; the ``SHARE`` of the entries met most deeply and most often are
+scored exactly, in double precision.
+
+Distribution. Equal vectors are one entry with their smallest ids, so copies cost nothing. Entries are stored once
+and dealt by a hash of their vector into blocks of at most ``BLOCK``, each with its own forest, built where it lies:
+neither strings nor candidates are ever shuffled, only the entries, once, and the queries, which are sent to every
+block and stream through it in batches. A block returns k + 1 entries a query. A task holds one block and one batch.
 
 Defined results: vectors null, empty, zero or with null or non-finite components take no part, nor do null ids;
 vectors of different lengths never meet; rows repeating an id count as other rows' candidates once per id.
@@ -18,7 +18,6 @@ vectors of different lengths never meet; rows repeating an id count as other row
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import parts_for, table, written
+from docloom.llm.common import table, written
 
-TREES, BITS, ASCENT, BUCKET = 64, 32, 2.0, 8192
+TREES, BITS, ASCENT, SHARE = 128, 20, 2.0, 0.08
+#: Entries of a block at most, and at least where blocks are fewer than tasks; entries scored at least; queries at once.
+BLOCK, LEAST_BLOCK, LEAST, STEP = 1 << 16, 8192, 512, 64
 SEED = 20240229
 _PLANES: dict[tuple[int, int, int], np.ndarray] = {}
 
@@ -42,10 +43,14 @@ def planes(dim: int, trees: int, bits: int = BITS) -> np.ndarray:
 
 
 def hash_strings(vectors: np.ndarray, trees: int = TREES) -> np.ndarray:
-    """rows x trees, BITS bits in an int64."""
-    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    bits = (unit.astype(np.float32) @ planes(vectors.shape[1], trees) > 0).reshape(len(vectors), trees, BITS)
-    return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+    """rows x trees, BITS bits in an int32."""
+    out = np.empty((len(vectors), trees), dtype=np.int32)
+    weights = (1 << np.arange(BITS - 1, -1, -1)).astype(np.float32)
+    for at in range(0, len(vectors), 256):
+        unit = vectors[at : at + 256] / np.abs(vectors[at : at + 256]).max(axis=1, keepdims=True)
+        bits = (unit.astype(np.float32) @ planes(vectors.shape[1], trees) > 0).reshape(len(unit), trees, BITS)
+        out[at : at + 256] = bits.astype(np.float32) @ weights
+    return out
 
 
 def element(vectors: DataFrame, vec_col: str):
@@ -94,106 +99,118 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, keep: int, i
     )
 
 
-def _hashed(entries: DataFrame, trees: int) -> DataFrame:
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Doubles times the power of two that brings each row's largest component below one; cosines stay the same."""
+    v = vectors.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
+class Forest:
+    """Sorted strings of a block's vectors of one length, and the ascent of queries in them."""
+
+    def __init__(self, vectors: np.ndarray, ids: list[list[int]], trees: int, ascent: float, share: float):
+        self.trees, self.ids, self.n = trees, ids, len(vectors)
+        self.v = scaled(vectors)
+        self.norm = np.sqrt((self.v * self.v).sum(axis=1))
+        self.least = np.array([i[0] for i in ids], dtype=np.int64)
+        strings = hash_strings(self.v, trees).T
+        order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(strings, order, axis=1)
+        self.places = order.ravel()
+        self.ascent, self.take = ascent, min(self.n, max(LEAST, math.ceil(share * self.n)))
+
+    def intervals(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) of the entries that share 0, 1, ... BITS bits: trees x queries x levels."""
+        shift = np.arange(BITS, -1, -1)
+        first = hash_strings(vectors, self.trees).T[:, :, None] >> shift << shift
+        ask = np.concatenate([first, first + (np.int32(1) << shift)], axis=2).reshape(self.trees, -1)
+        at = np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, ask)]).reshape(self.trees, len(vectors), 2, BITS + 1)
+        return at[:, :, 0], at[:, :, 1]
+
+    def candidates(self, first: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+        """Entries to score for one query, from its intervals (trees x levels)."""
+        size = end - first
+        wanted = max(self.ascent * self.n, self.trees * min(self.n, k))
+        level = int(np.flatnonzero(size.sum(axis=0) >= wanted).max())
+        lengths, start = size[:, level:].ravel(), (first[:, level:] + np.arange(self.trees)[:, None] * self.n).ravel()
+        ends = np.cumsum(lengths)
+        met = np.bincount(self.places[np.repeat(start - ends + lengths, lengths) + np.arange(ends[-1])], minlength=self.n)
+        pick = np.argpartition(-met, self.take - 1)[: self.take]
+        return pick[met[pick] > 0]
+
+    def nearest(self, vectors: np.ndarray, k: int) -> Iterator[tuple[int, list[int], float]]:
+        """(query, ids, score) of the k best entries found, for each query of a batch."""
+        q = scaled(vectors)
+        norm = np.sqrt((q * q).sum(axis=1))
+        for at in range(0, len(q), STEP):
+            first, end = self.intervals(q[at : at + STEP])
+            for i in range(first.shape[1]):
+                pick = self.candidates(first[:, i], end[:, i], k)
+                score = (self.v[pick] * q[at + i]).sum(axis=1) / (self.norm[pick] * norm[at + i])
+                best = np.lexsort((self.least[pick], -score))[:k]
+                for e in best:
+                    yield at + i, self.ids[pick[e]], float(score[e])
+
+
+def _matrices(vec: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) of each vector length in a column."""
+    lengths = vec.value_lengths().to_numpy()
+    flat, ends = vec.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)
+    for dim in np.unique(lengths):
+        rows = np.flatnonzero(lengths == dim)
+        yield rows, flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
+
+
+def _search(k: int, trees: int, ascent: float, share: float):
+    """Blocks in order, entries before queries: forests are built when a block's first query arrives."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, forests = None, {}, {}
         for batch in batches:
-            lengths = batch.column(0).value_lengths().to_numpy()
-            flat, ends = batch.column(0).flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)
-            out = np.zeros((len(lengths), trees), dtype=np.int64)
-            for dim in np.unique(lengths):
-                rows = np.flatnonzero(lengths == dim)
-                out[rows] = hash_strings(flat[(ends[rows] - dim)[:, None] + np.arange(dim)], trees)
-            hashes = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * trees, pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(lengths.astype(np.int32)), *batch.columns, hashes], names=["dim", "vec", "ids", "q", "hashes"])
-
-    return entries.mapInArrow(run, f"dim int, vec {entries.schema['vec'].dataType.simpleString()}, ids array<long>, q boolean, hashes array<long>")
-
-
-def _counts(batch: pa.Table, low: int) -> pa.Table:
-    """A block's entries that share at least low, low + 1, ... BITS bits with each of its queries."""
-    q = np.array(batch["q"].to_pylist(), dtype=bool)
-    h = batch["hash"].to_numpy()
-    own, ask = np.sort(h[~q]), h[q]
-    levels = np.arange(low, BITS + 1)
-    shift = (BITS - levels)[None, :]
-    first = (ask[:, None] >> shift) << shift
-    n = np.searchsorted(own, first + (np.int64(1) << shift)) - np.searchsorted(own, first)
-    return pa.table({"query": batch["id"].filter(pa.array(q)), "n": pa.array(list(n), pa.list_(pa.int64()))})
-
-
-def _nearest(batch: pa.Table, k: int) -> pa.Table:
-    """The k nearest entries of a block to each of its queries, among those that share the query's number of bits."""
-    q = np.array(batch["q"].to_pylist(), dtype=bool)
-    vec = batch["vec"].combine_chunks()
-    v = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(q), -1)
-    h, level, ids = batch["hash"].to_numpy(), batch["level"].to_numpy(), batch["ids"].to_pylist()
-    norm = np.sqrt((v * v).sum(axis=1))
-    rows = np.flatnonzero(~q)
-    rows = rows[np.argsort(h[rows], kind="stable")]
-    own, ov, on = h[rows], v[rows], norm[rows]
-    least = np.array([ids[r][0] for r in rows], dtype=np.int64)
-    out_q, out_ids, out_s = [], [], []
-    key = batch["id"].to_pylist()
-    for a in np.flatnonzero(q):
-        shift = BITS - int(level[a])
-        first = (int(h[a]) >> shift) << shift
-        lo, hi = np.searchsorted(own, [first, first + (1 << shift)])
-        if lo == hi:
-            continue
-        score = (ov[lo:hi] * v[a]).sum(axis=1) / (on[lo:hi] * norm[a])
-        pick = np.arange(hi - lo)
-        if len(pick) > k:
-            pick = np.flatnonzero(score >= np.partition(score, -k)[-k])
-        for i in pick[np.lexsort((least[lo:hi][pick], -score[pick]))][:k]:
-            out_q.append(key[a])
-            out_ids.append(ids[rows[lo + i]])
-            out_s.append(float(score[i]))
-    return pa.table({"query": pa.array(out_q, pa.binary()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "score": pa.array(out_s, pa.float64())})
-
-
-def nearest(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", is_query=None, trees: int = TREES, ascent: float = ASCENT, bucket: int = BUCKET) -> DataFrame:
+            numbers, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (numbers[1:] != numbers[:-1]) | (asks[1:] != asks[:-1])]))
+            for a, b in zip(cuts, np.append(cuts[1:], len(numbers))):
+                part = batch.slice(a, b - a)
+                if numbers[a] != block:
+                    block, held, forests = numbers[a], {}, {}
+                if not asks[a]:
+                    names = part.column(4).to_pylist()
+                    for rows, vectors in _matrices(part.column(3)):
+                        mine = held.setdefault(vectors.shape[1], ([], []))
+                        mine[0].append(vectors)
+                        mine[1].extend(names[r] for r in rows)
+                    continue
+                if held:
+                    forests = {dim: Forest(np.concatenate(v), ids, trees, ascent, share) for dim, (v, ids) in held.items()}
+                    held = {}
+                out_q, out_ids, out_s = [], [], []
+                for rows, vectors in _matrices(part.column(3)):
+                    if vectors.shape[1] in forests:
+                        for i, ids, score in forests[vectors.shape[1]].nearest(vectors, k):
+                            out_q.append(part.column(2)[int(rows[i])].as_py())
+                            out_ids.append(ids)
+                            out_s.append(score)
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.binary()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_s, pa.float64())], names=["query", "ids", "score"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", is_query=None, trees: int = TREES, ascent: float = ASCENT, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for every query row."""
     spark = vectors.sparkSession
     asks = is_query if is_query is not None else F.lit(True)
-    entries = written(_hashed(distinct_vectors(vectors, id_col, vec_col, k + 1, asks), trees).withColumn("id", F.unhex(F.sha2(F.to_json("vec"), 256))), "ann-entries")
+    entries = written(distinct_vectors(vectors, id_col, vec_col, k + 1, asks).withColumn("id", F.unhex(F.sha2(F.to_json("vec"), 256))), "ann-entries")
     n = entries.count()
-    # An entry counts once a tree at most: so many hold k + 1 different ones, the query's own among them.
-    wanted = max(int(trees * ascent * math.sqrt(max(n, 1))), trees * min(n, k + 1))
-    low = max(0, min(BITS - 1, round(math.log2(max(1.0, n / bucket)))))
-    strings = entries.select("id", "dim", "q", F.posexplode("hashes").alias("tree", "hash"))
-    strings = strings.withColumn("bucket", F.shiftright("hash", BITS - low))
-    # Entries per (tree, bucket); the levels above are its sums. Rows: dims x trees x 2^low, about trees x N / bucket.
-    histogram = written(strings.groupBy("dim", "tree", "bucket").agg(F.count(F.lit(1)).alias("n")), "ann-histogram").withColumn("blocks", F.ceil(F.col("n") / (2 * bucket)).cast("int"))
-    above = histogram.select("dim", "tree", F.explode(F.sequence(F.lit(0), F.lit(low))).alias("level"), "bucket", "n")
-    above = above.groupBy("dim", "tree", "level", F.expr(f"shiftright(bucket, {low} - level)").alias("prefix")).agg(F.sum("n").alias("n"))
-    asked = strings.filter("q").drop("q")
-    coarse = (
-        asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(low)))).withColumn("prefix", F.expr(f"shiftright(bucket, {low} - level)"))
-        .join(above, ["dim", "tree", "level", "prefix"]).groupBy("id", "level").agg(F.sum("n").alias("n"))
-        .groupBy("id").agg(F.coalesce(F.max(F.when(F.col("n") >= wanted, F.col("level"))), F.lit(0)).alias("coarse"))
-    )
-    asked = written(asked.join(coarse, "id"), "ann-queries")
-    blocks = ["dim", "tree", "bucket", "block"]
-    place = strings.drop("q").join(histogram.drop("n"), ["dim", "tree", "bucket"])
-    rows = written(place.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks"), "ann-rows")
-    visits = lambda df: df.join(histogram.drop("n"), ["dim", "tree", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    # Below bucket level: counts from the sorted blocks, the ascent stops at the deepest level that has enough.
-    deep = visits(asked.filter(F.col("coarse") == low).drop("coarse")).withColumn("q", F.lit(True)).unionByName(rows.withColumn("q", F.lit(False)))
-    parts = parts_for(spark, n * trees * 40)
-    fine = (
-        deep.repartition(parts, *blocks).groupBy(*blocks).applyInArrow(lambda t: _counts(t, low), "query binary, n array<long>")
-        .select("query", F.posexplode("n").alias("i", "n")).groupBy("query", "i").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= wanted).groupBy("query").agg((F.max("i") + low).alias("fine"))
+    # Smaller blocks only where there would be fewer than tasks.
+    blocks = max(1, -(-n // block), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST_BLOCK))
+    rows = entries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("q"), "id", "vec", "ids")
+    asked = entries.filter("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("q"), "id", "vec", F.lit(None).cast("array<long>").alias("ids"))
+    found = (
+        rows.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("block", "q")
+        .mapInArrow(_search(k + 1, trees, ascent, share), "query binary, ids array<long>, score double")
     )
-    levels = written(asked.select("id", "coarse").distinct().join(fine, F.col("id") == F.col("query"), "left").select("id", F.coalesce("fine", "coarse").alias("level")), "ann-levels")
-    stays = F.greatest(F.lit(low) - F.col("level"), F.lit(0))
-    start = F.expr(f"shiftleft(shiftright(bucket, greatest({low} - level, 0)), greatest({low} - level, 0))")
-    going = asked.drop("coarse").join(levels, "id").withColumn("bucket", F.explode(F.sequence(start, start + F.expr(f"shiftleft(1L, greatest({low} - level, 0))") - 1)))
-    vecs = entries.select("id", "vec", "ids")
-    final = visits(going).withColumn("q", F.lit(True)).unionByName(rows.withColumns({"level": F.lit(BITS), "q": F.lit(False)})).join(vecs, "id")
-    found = final.repartition(parts_for(spark, n * trees * 600), *blocks).groupBy(*blocks).applyInArrow(lambda t: _nearest(t, k + 1), "query binary, ids array<long>, score double")
     best = (
-        found.groupBy("query").agg(F.collect_set(F.struct((-F.col("score")).alias("s"), "ids")).alias("c"))
+        found.groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "ids")).alias("c"))
         .select("query", F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda e: F.transform(e["ids"], lambda i: F.struct(e["s"].alias("s"), i.alias("id"))))))), 1, k + 1).alias("c"))
     )
     own = vectors.filter(asks & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.unhex(F.sha2(F.to_json(F.transform(F.col(vec_col), lambda x: x + F.lit(0.0)).cast(f"array<{element(vectors, vec_col)[0]}>")), 256)).alias("query"))

@@ -28,13 +28,13 @@ def frame(spark, tables, rows):
     return d, spark.read.parquet(f"{d}/embeddings.parquet")
 
 
-@pytest.mark.parametrize("bucket", [8192, 64])
-def test_recall_and_exact_scores(spark, tables, bucket):
+@pytest.mark.parametrize("block", [8192, 300])
+def test_recall_and_exact_scores(spark, tables, block):
     rows = rows_of(1500)
     _, df = frame(spark, tables, rows)
     want = brute(rows, 5, 50)
     got = {}
-    for r in nearest(df, is_query=F.col("vec_id") % 50 == 0, bucket=bucket).collect():
+    for r in nearest(df, is_query=F.col("vec_id") % 50 == 0, block=block).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     assert set(got) == set(want) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
     hits = sum(len({j for _, j in want[q]} & {v for v, _ in got[q].values()}) for q in want)
@@ -53,20 +53,43 @@ def test_copies_ties_nulls_and_lengths(spark, tables):
     rows += [(3000, [1.0, 0.0]), (3001, [0.0, 1.0]), (3050, [-0.0, 1.0])]
     d, df = frame(spark, tables, rows)
     want, got = brute(rows, 5, 50), {}
-    for r in nearest(df, is_query=F.col("vec_id") % 50 == 0, bucket=64).collect():
+    for r in nearest(df, is_query=F.col("vec_id") % 50 == 0, block=64).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert {q: [j for _, j in sorted(g)] for q, g in got.items()} == {q: [j for _, j in w] for q, w in want.items() if w}
     assert op2_nearest(spark, d).count() == sum(len(w) for w in want.values())
 
 
-def test_ascends_above_the_buckets(spark, tables):
+def test_scores_a_tenth_and_finds_nine_tenths():
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((20_000, 64))
+    forest = ann.Forest(v, [[i] for i in range(len(v))], ann.TREES, ann.ASCENT, ann.SHARE)
+    unit, found = v / np.sqrt((v * v).sum(axis=1))[:, None], 0
+    first, end = forest.intervals(v[:40])
+    for i in range(40):
+        assert len(forest.candidates(first[:, i], end[:, i], 6)) <= 0.1 * len(v)
+    got = [[] for _ in range(40)]
+    for i, ids, _ in forest.nearest(v[:40], 6):
+        got[i] += ids
+    for i in range(40):
+        found += len(set(got[i]) & set(np.argsort(-(unit @ unit[i]))[1:6].tolist()))
+    assert found >= 0.9 * 5 * 40
+
+
+def test_few_trees_and_many_small_blocks(spark, tables):
     rows = rows_of(600, dim=8, seed=3)
     _, df = frame(spark, tables, rows)
-    got = nearest(df, is_query=F.col("vec_id") % 50 == 0, bucket=4, trees=4, ascent=50.0).collect()
+    got = nearest(df, is_query=F.col("vec_id") % 50 == 0, block=40, trees=4).collect()
     want = brute(rows, 5, 50)
     assert {(r.query_id, r.vec_id) for r in got} == {(q, j) for q, w in want.items() for _, j in w}
 
 
+def test_components_whose_squares_overflow():
+    v = np.array([[1e200, 1e200], [1e200, -1e200], [3e-200, 3e-200]])
+    forest = ann.Forest(v, [[0], [1], [2]], 4, 2.0, 1.0)
+    scores = {ids[0]: s for _, ids, s in forest.nearest(v[:1], 3)}
+    assert scores == {0: pytest.approx(1.0), 1: pytest.approx(0.0), 2: pytest.approx(1.0)}
+
+
 def test_six_vectors_of_which_five_share_all_bits(spark, tables):
     rows = [(i, [s * x for x in (1.0, 2.0, 3.0)]) for i, s in enumerate((1, 2, 4, 8, 16, -1))]
     d, _ = frame(spark, tables, rows)
