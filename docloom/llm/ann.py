@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import table, written
 
-TREES, BITS, ASCENT, SHARE = 128, 20, 2.0, 0.08
+TREES, BITS, ASCENT, SHARE = 192, 20, 3.0, 0.09
 #: Entries of a block at most, and at least where blocks are fewer than tasks; entries scored at least; queries at once.
 BLOCK, LEAST_BLOCK, LEAST, STEP = 1 << 16, 8192, 512, 64
 SEED = 20240229
