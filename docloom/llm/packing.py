@@ -38,14 +38,18 @@ class Tokens:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        model, letters = library.model, re.compile("[a-z]+").fullmatch
+        model, letters, normal = library.model, re.compile("[a-z]+").fullmatch, library.normalizer.normalize_str
+
+        def ends_in_letter(core: str) -> bool:
+            """Also as the tokenizer sees it: some letters become a letter and a mark, which joins what follows."""
+            return core[-1].isalpha() and (core.isascii() or normal(core)[-1:].isalpha())
 
         class Memo(dict):
             def __missing__(self, word: str) -> bytes:
                 if len(self) >= MAX_MEMO:
                     self.clear()
                 core = word.rstrip(_TAIL)
-                if len(word) > 64 or not core or core == word or not core[-1].isalpha():
+                if len(word) > 64 or not core or core == word or not ends_in_letter(core):
                     small = word.lower() if word.isascii() and "<" not in word else word
                     if small != word:
                         ids = self[small]

@@ -31,6 +31,20 @@ def test_word_by_word_equals_whole_texts():
         assert np.frombuffer(tokens_of(PATH).ids(text), dtype="<u4").tolist() == library_ids(text), repr(text)
 
 
+def test_letters_before_punctuation_equal_the_library():
+    """Every alphabetic character below U+30000, before each mark that may be split off it."""
+    from docloom.llm.packing import _TAIL
+
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    mine = tokens_of(PATH)
+    for tail in _TAIL:
+        for at in range(0, len(letters), 20_000):
+            text = " ".join(x + tail for x in letters[at : at + 20_000])
+            assert np.frombuffer(mine.ids(text), dtype="<u4").tolist() == library_ids(text), tail
+    text = "İstanbul'da Aİ. Sİ, dedi"
+    assert np.frombuffer(mine.ids(text), dtype="<u4").tolist() == library_ids(text)
+
+
 def test_pack_keeps_every_token_once():
     rng = np.random.default_rng(0)
     for lengths in (np.array([1]), np.array([5000]), np.array([2048, 2048]), rng.integers(1, 3000, 500), np.ones(3000, dtype=np.int64)):
