@@ -4,7 +4,8 @@ Writing. Each page becomes a ``response`` record whose HTTP body is sent chunked
 page_id is the response and the others are ``revisit`` records that refer to it. A block beyond ``SEGMENT`` bytes
 is cut: the first record carries segment number 1, ``continuation`` records name their origin, and the last gives
 the total length. Each record is a gzip member; the text writer's line separator is an empty gzip member, which
-readers skip, so the files are ordinary .warc.gz content, at most ``FILE_RECORDS`` records each.
+readers skip, so the files are ordinary .warc.gz content of at most ``FILE_RECORDS`` records, each with a block of at
+most ``SEGMENT`` bytes: some 17 MB a file, whatever the pages' lengths. A revisit names the response's record id.
 
 Reading. Files are parsed member by member where they lie. Whole records are decoded at once; only segments are
 shuffled, grouped by their origin, ordered by number, checked against the total length, and joined; then the
@@ -12,7 +13,8 @@ chunked framing is undone and the payload's digest verified. A group is one payl
 
 Defined results: null html is the empty payload, which takes part like any other unless ``least`` excludes it;
 rows that repeat both page_id and payload of a response are responses too; null ids are written as empty and read
-as null; a damaged or incomplete record gives a row with ``error`` set instead of failing the job.
+as null. A record that is damaged, cut short or incomplete (gzip data or checksum, lengths, ids, numbers, chunks,
+digest, segments) gives a row with ``error`` set and what else could be told; the records around it are read.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ def unchunked(body: bytes) -> bytes:
         if end < 0:
             raise ValueError("chunk size line missing")
         n = int(body[at:end].split(b";")[0].strip(), 16)
+        if n < 0:
+            raise ValueError("chunk size below zero")
         at = end + 2
         if n == 0:
             return b"".join(out)
@@ -82,34 +86,75 @@ def records_of(headers: list[tuple[str, object]], block: bytes, name: str, segme
         yield record(more, part)
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """What each gzip member of a file holds; plain bytes are one member. A member cut short ends the file."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        if view[at : at + 2] != b"\x1f\x8b":
-            yield bytes(view[at:])
-            return
-        unpack, out = zlib.decompressobj(31), []
+def _inflated(view: memoryview) -> tuple[bytes, int, str | None]:
+    """(what a gzip member holds, as far as it can be read; its bytes; what is wrong with it)."""
+    unpack, out, at = zlib.decompressobj(31), [], 0
+    try:
         while not unpack.eof and at < len(view):
             piece = view[at : at + (32 << 10)]
             out.append(unpack.decompress(piece))
             at += len(piece) - len(unpack.unused_data)
-        if unpack.eof:
-            yield b"".join(out)
+        return b"".join(out), at, None if unpack.eof else "gzip member cut short"
+    except zlib.error as e:
+        unpack, out = zlib.decompressobj(31), []
+        try:  # again in small steps, for what comes before the damage
+            for i in range(0, len(view), 64):
+                out.append(unpack.decompress(view[i : i + 64]))
+        except zlib.error:
+            pass
+        return b"".join(out), at, f"gzip member damaged: {e}"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a file of gzip members (or of plain records)."""
-    for text in members(data):
+def members(data: bytes) -> Iterator[tuple[int, bytes, str | None]]:
+    """(place, content, error) of each gzip member of a file; plain bytes are one member. After a damaged member,
+    reading goes on at the next place that looks like one."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if data[at : at + 2] != b"\x1f\x8b":
+            then = data.find(b"\x1f\x8b\x08", at) if at else -1
+            yield at, bytes(view[at : then if then >= 0 else len(view)]), None
+            if then < 0:
+                return
+            at = then
+            continue
+        text, size, error = _inflated(view[at:])
+        if error is None:
+            yield at, text, None
+            at += size
+            continue
+        then = data.find(b"\x1f\x8b\x08", at + 3)
+        yield at, text, error
+        at = then if then >= 0 else len(view)
+
+
+def parse(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes, str | None]]:
+    """(place, headers, block, error) of the records of a file of gzip members (or of plain records). What cannot be
+    read as a record is one with an error and the headers that could be told."""
+    for place, text, error in members(data):
         at = 0
-        while text.startswith(b"WARC/", at):
+        while at < len(text) or error:
             end = text.find(b"\r\n\r\n", at)
-            lines = text[at : max(at, end)].decode("utf-8", "replace").split("\r\n")[1:]
+            head = text[at : end if end >= 0 else len(text)]
+            lines = head.decode("utf-8", "replace").split("\r\n")[1:]
             headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-            n = int(headers.get("content-length", len(text)))
-            if end < 0 or end + 4 + n > len(text):
-                break
-            yield headers, text[end + 4 : end + 4 + n]
+            wrong = error
+            if not wrong and (end < 0 or not head.startswith(b"WARC/")):
+                wrong = "not a WARC record"
+            length = headers.get("content-length", "")
+            if not wrong and not (length.isascii() and length.isdigit()):
+                wrong = f"content length is {length or 'missing'}"
+            if not wrong and end + 4 + int(length) > len(text):
+                wrong = f"record holds {len(text) - end - 4} bytes of {length}"
+            if not wrong and "warc-record-id" not in headers:
+                wrong = "record id missing"
+            for name in ("warc-segment-number", "warc-segment-total-length"):
+                if not wrong and not headers.get(name, "0").isdigit():
+                    wrong = f"{name} is {headers[name]}"
+            if wrong:
+                yield f"{place}+{at}", headers, b"", wrong
+                break  # where the next record of this member begins is not known
+            n = int(length)
+            yield f"{place}+{at}", headers, text[end + 4 : end + 4 + n], None
             at = end + 4 + n + 4
 
 
@@ -127,24 +172,29 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     spark = pages.sparkSession
     small_batches(spark)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
-    base = base.withColumn("sha", F.unhex(F.sha1("payload")))
-    groups = base.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    base = base.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("place", F.monotonically_increasing_id())
+    # By page first, so that rows which repeat a response's page and payload are known: ``place`` tells them apart.
+    by_page = base.filter(F.octet_length("payload") >= least).groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+    groups = by_page.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), F.col("page_id").alias("first"), F.col("n").alias("same"), F.col("place").alias("at"))).alias("f"), F.sum("n").alias("n"))
     # Only payloads that occur again; written first, so that Spark knows its size when it chooses the join.
-    again = written(groups.filter("n > 1").drop("n"), "warc-again")
+    again = written(groups.filter("n > 1").select("sha", "f.first", "f.same", "f.at"), "warc-again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             out, size = [], 0
-            for page, url, payload, sha, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, payload, sha, place, first, same, at in zip(*(c.to_pylist() for c in batch.columns)):
                 count += 1
-                name = f"{page_urn(page)}:{part}-{count}"
-                digest = "sha1:" + base64.b32encode(sha).decode()
+                letters = base64.b32encode(sha).decode()
+                # The record others refer to has a name they can tell; all other names are told apart by their place.
+                named = page is not None and page == first and (same == 1 or place == at)
+                name = f"{page_urn(page)}:{letters}" if named else f"{page_urn(page)}:{part}-{count}"
+                digest = "sha1:" + letters
                 target = [("WARC-Target-URI", re.sub(r"[\r\n]", " ", url))] if url else []
                 common = [("WARC-Date", DATE), *target, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
                 status = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 if first is not None and page != first:
-                    headers = [("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{page_urn(first)}>")]
+                    headers = [("WARC-Type", "revisit"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{page_urn(first)}:{letters}>")]
                     block = status + b"Content-Length: %d\r\n\r\n" % len(payload)
                 else:
                     headers = [("WARC-Type", "response"), *common]
@@ -157,7 +207,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
                         out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows = base.join(again, "sha", "left").select("page_id", "url", "payload", "sha", "first").mapInArrow(run, "value binary")
+    rows = base.join(again, "sha", "left").select("page_id", "url", "payload", "sha", "place", "first", "same", "at").mapInArrow(run, "value binary")
     rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -190,16 +240,21 @@ def read_archives(spark, path: str) -> DataFrame:
         names = [f.split()[0] for f in _PARSED.split(", ")]
         schema = pa.schema([pa.field(n, t) for n, t in zip(names, [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()])])
         for batch in batches:
-            for content in batch.column(0):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out = []
-                for h, block in parse(content.as_py()):
-                    kind, number = h.get("warc-type"), int(h.get("warc-segment-number", 0))
+                for place, h, block, wrong in parse(content.as_py()):
+                    kind = h.get("warc-type")
+                    name = h.get("warc-segment-origin-id") or h.get("warc-record-id")
+                    if wrong:
+                        out.append(dict.fromkeys(names) | {"origin": f"{path}@{place}", "page_id": page_of(name), "record_type": kind, "error": wrong})
+                        continue
                     if kind not in ("response", "revisit", "continuation"):
                         continue
-                    name = h.get("warc-segment-origin-id") or h["warc-record-id"]
+                    number = int(h.get("warc-segment-number", 0))
                     digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     total = h.get("warc-segment-total-length")
-                    row = dict.fromkeys(names) | {"origin": name, "page_id": page_of(name), "number": number, "total": int(total) if total else None}
+                    origin = name if number else f"{path}@{place}"  # whole records meet no other
+                    row = dict.fromkeys(names) | {"origin": origin, "page_id": page_of(name), "number": number, "total": int(total) if total else None}
                     if kind != "continuation":
                         row |= {"record_type": kind, "refers_to": page_of(h.get("warc-refers-to")), "digest": digest}
                     if number:
@@ -224,7 +279,7 @@ def read_archives(spark, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())]))
 
     first = lambda c: F.max(c).alias(c)  # noqa: E731  one record of a group at most has it
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     whole = files.mapInArrow(take, _PARSED).groupBy("origin").agg(
         *map(first, ("page_id", "record_type", "refers_to", "digest", "total", "payload_bytes", "payload_digest", "error")),
         F.collect_list(F.when(F.col("part").isNotNull(), F.struct("number", "part"))).alias("parts"),

@@ -46,6 +46,10 @@ def test_write_and_read(spark, tables, tmp_path, segment):
         text = gzip.decompress(f.read_bytes()) if f.stat().st_size else b""
         assert not text or text.startswith(b"WARC/1.1\r\n")
         assert len(list(parse(text))) == len(list(parse(f.read_bytes())))
+    heads = [h for f in Path(out).glob("part-*") for _, h, _, wrong in parse(f.read_bytes()) if not wrong]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids)) and {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= set(ids)
+    assert {h["warc-segment-origin-id"] for h in heads if "warc-segment-origin-id" in h} <= set(ids)
 
 
 def test_query_and_empty_table(spark, tables):
@@ -70,3 +74,29 @@ def test_damage_is_reported(spark, tmp_path):
     assert sorted(got) == [1, 2, 3] and "digest" in got[1].error and got[1].payload_bytes == 5000
     assert got[2].error == "segments missing" and "head" in got[3].error
     assert warc.EMPTY_MEMBER and gzip.decompress(warc.EMPTY_MEMBER) == b""
+
+
+def test_damaged_files_give_rows_and_spare_their_neighbours(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)) * 8
+    whole = [record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{page_urn(i)}:a>")], block) for i in range(4)]
+    flipped, checksum = bytearray(whole[1]), bytearray(whole[1])
+    flipped[len(flipped) // 2] ^= 0x55
+    checksum[-6] ^= 1
+    (tmp_path / "flipped").write_bytes(whole[0] + bytes(flipped) + whole[2])
+    (tmp_path / "checksum").write_bytes(whole[0] + bytes(checksum) + whole[2])
+    (tmp_path / "cut").write_bytes(whole[0] + whole[1][:-30])
+    raw = lambda headers, body: ("WARC/1.1\r\nWARC-Type: response\r\n" + headers + "\r\n\r\n").encode() + body
+    for name, length in (("negative", "Content-Length: -5"), ("absent", "X: y"), ("words", "Content-Length: ten"), ("long", "Content-Length: 900"), ("nameless", "Content-Length: 1")):
+        more = "" if name == "nameless" else f"WARC-Record-ID: <{page_urn(7)}:a>\r\n"
+        (tmp_path / name).write_bytes(gzip.compress(raw(more + length, b"z")) + whole[3])
+    (tmp_path / "number").write_bytes(gzip.compress(raw(f"WARC-Record-ID: <{page_urn(7)}:a>\r\nWARC-Segment-Number: x\r\nContent-Length: 1", b"z")))
+    (tmp_path / "noise").write_bytes(b"nothing of the kind")
+    (tmp_path / "empty").write_bytes(b"")
+    for path in sorted(tmp_path.iterdir()):
+        rows = [r.asDict() for r in read_archives(spark, str(path)).collect()]
+        good, bad = [r for r in rows if r["error"] is None], [r for r in rows if r["error"]]
+        assert (len(bad) > 0) == (path.name != "empty"), path.name
+        want = {"flipped": {0, 2}, "checksum": {0, 2}, "cut": {0}, "noise": set(), "empty": set(), "number": set()}.get(path.name, {3})
+        assert {r["page_id"] for r in good} == want and all(r["payload_bytes"] == 2048 for r in good), path.name
+        if path.name == "checksum":
+            assert bad[0]["page_id"] == 1
