@@ -142,12 +142,16 @@ class Transducer:
         return out
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.configs) > MAX_STATES:
-            self._reset()
         out: list[int] = []
         state, moves = self.start, self.moves
         for b in piece:
-            step = moves[state].get(b) or self._move(state, b)
+            step = moves[state].get(b)
+            if step is None:
+                if len(self.configs) > MAX_STATES:  # within a piece too: only the state we are in is carried over
+                    here = self.configs[state]
+                    self._reset()
+                    state, moves = self._state(here), self.moves
+                step = self._move(state, b)
             state = step[0]
             if step[1]:
                 out += step[1]

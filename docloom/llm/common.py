@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,15 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: More tasks than this a stage never gets; beyond it partitions grow instead.
+MAX_PARTS = 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master may go without (tests): there a
+    temporary folder, one for each session, is shared by definition; a cluster without the setting is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _LOCAL:
+            _LOCAL[key] = tempfile.mkdtemp(prefix="docloom-")
+            atexit.register(shutil.rmtree, _LOCAL[key], ignore_errors=True)
+        at = "file://" + _LOCAL[key]
     return at.rstrip("/")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the files again, so lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -58,8 +73,8 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def parts_for(spark: SparkSession, n_bytes: int, target: int = 16 << 20) -> int:
-    """Partitions for so many bytes, never fewer than the session's own setting."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // target))
+    """Partitions for so many bytes, never fewer than the session's own setting and at most ``MAX_PARTS``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTS, -(-int(n_bytes) // target)))
 
 
 def text_bytes(df: DataFrame, col: str = "text") -> int:

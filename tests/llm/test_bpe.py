@@ -58,6 +58,23 @@ def test_few_states_are_kept_and_results_stay(monkeypatch, library):
         assert machine.encode(text.encode()) == library.encode_ordinary(text)
 
 
+def test_states_are_bounded_within_one_piece(monkeypatch, library):
+    from docloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "MAX_STATES", 500)
+    machine, rng = bpe.Transducer(load_ranks(PATH)), random.Random(8)
+    piece, most = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(20_000)), 0
+    move = machine._move
+
+    def watched(state, byte):
+        nonlocal most
+        most = max(most, len(machine.configs))
+        return move(state, byte)
+
+    machine._move = watched
+    assert machine.encode(piece.encode()) == library.encode_ordinary(piece) and most <= 502
+
+
 def test_query(spark, tables, library):
     import hashlib
     import struct
