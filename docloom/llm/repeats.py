@@ -3,15 +3,18 @@
 A full suffix array or tree of every position would move many times the corpus. Only some suffixes can matter: the
 k-gram with the smallest hash in a window, its anchor, is the same in equal windows, at the same offset. So
 
-1. every document's anchors, with the windows each owns, are met by k-gram hash. Anchors seen once are done. Anchors
-   whose whole context (all owned windows) equals another's are decided by its hash alone; each Arrow batch first
-   settles its own, so a hot passage sends one entry per batch;
-2. what is left, one per distinct context of a k-gram with several, are suffixes to compare: tokens from the anchor
-   on, and backwards before it. They go to groups that fit in memory (how is the operator's choice), are sorted by a
-   breadth-first multikey quicksort, and the longest common prefixes of neighbours, right and left of the anchor,
-   tell which windows are equal. K-grams with more than ``HOT_GROUP`` contexts go window by window through an
-   aggregation instead, which is as exact and needs no group in one place;
-3. the ranges of repeated windows return to their documents.
+1. ``candidates``: every document's anchors meet by the hash of their k-gram. Anchors whose k-gram is alone (in words:
+   in no other document) are done, nothing else is decided here. K-grams that a bounded sample of documents shows to
+   be common are candidates without meeting, so that no task receives all their anchors;
+2. ``compare``: a candidate becomes a suffix: the tokens from the anchor on, and backwards before it, as far as the
+   windows it owns reach. Suffixes go to groups that fit in memory, by their leading tokens (how is the operator's
+   choice: ``Place``). A group first puts equal suffixes together, token by token, then sorts the others by multikey
+   quicksort; the common prefixes of neighbours, right and left of the anchor, are the inner nodes of the suffix trees
+   and tell which windows are equal;
+3. ``across``: where a k-gram is so common that a group's border runs through it, windows whose part right of the
+   anchor is shorter than what the group shares can have an equal on the other side. They are compared across borders,
+   one row a window;
+4. the ranges of repeated windows return to their documents.
 
 A row is known by its id and a hash of its text, so rows that repeat an id are kept apart unless they are equal.
 """
@@ -19,26 +22,34 @@ A row is known by its id and a hash of its text, so rows that repeat an id are k
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import parts_for, small_batches, text_bytes, written
+from docloom.llm.common import parts_for, small_batches, written
 from docloom.llm.words import _powers, buffers, mixed, slices, word_hashes, word_spans
 
-HOT_GROUP = 1 << 16
 #: Tokens handled at once of a long document; below 2^24.
 SEGMENT = 1 << 21
+#: Bytes of the suffixes of a group; bytes of a suffix that may serve to place it; suffixes put together at once.
+GROUP_BYTES, KEY, TOGETHER = 16 << 20, 64, 1 << 15
+#: Samples that only balance the load: documents looked at for common k-grams, how often such a one occurs there and
+#: how many are kept; documents and suffixes of each that tell where suffixes are dense.
+LOOK_DOCS, COMMON, MOST_COMMON = 2048, 8, 1 << 16
+SAMPLE_DOCS, SAMPLE_SUFFIXES = 1024, 32
 NO_ID = -(1 << 63)
-_C1, _C2 = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
-ENTRY = np.dtype([("h", "<u8"), ("c", "<u8"), ("pos", "<u4"), ("doc", "<u2"), ("o1", "u1"), ("o2", "u1"), ("many", "u1")])
-REP = np.dtype([("h", "<u8"), ("pos", "<u4"), ("o1", "u1"), ("o2", "u1"), ("flags", "u1")])
+ENTRY = np.dtype([("h", "<u8"), ("pos", "<u4"), ("doc", "<u2"), ("o1", "u1"), ("o2", "u1")])
+REP = np.dtype([("pos", "<u4"), ("o1", "u1"), ("o2", "u1"), ("flags", "u1")])
 SPAN = np.dtype([("x1", "<u4"), ("x2", "<u4")])
-#: Flags of a suffix to compare: its windows await a decision; its context occurs more than once.
+#: Flags of a suffix: its windows await a decision; it stands for several equal ones.
 ASKS, MANY = 1, 2
 
 
@@ -50,6 +61,11 @@ class Kind:
     window: int
     gram: int
 
+    @property
+    def unit(self) -> int:
+        """Bytes of a token."""
+        return 8 if self.words else 1
+
     @property
     def reach(self) -> int:
         return self.window - self.gram + 1
@@ -63,7 +79,7 @@ class Kind:
 
 
 def _anchors(kind: Kind, tokens: np.ndarray, first: np.ndarray):
-    """(k-gram hash, context hash, anchor, first and last window it owns), positions in tokens."""
+    """(k-gram hash, anchor, first and last window it owns, document), positions in tokens."""
     n, w = len(tokens), kind.reach
     if n < kind.window:
         return None
@@ -87,9 +103,7 @@ def _anchors(kind: Kind, tokens: np.ndarray, first: np.ndarray):
     s = np.flatnonzero(new)
     e = np.concatenate([s[1:], [len(x)]]) - 1
     p, x1, x2 = p[s], x[s], x[e]
-    end = x2 + kind.window
-    context = (total[end] - total[x1]) * down[x1] + (end - x1).astype(np.uint64) * _C1
-    return grams[p] >> np.uint64(16), mixed(mixed(context) + (p - x1).astype(np.uint64) * _C2), p, x1, x2, owner[x1]
+    return grams[p] >> np.uint64(16), p, x1, x2, owner[x1]
 
 
 def document_anchors(kind: Kind, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -102,9 +116,9 @@ def document_anchors(kind: Kind, data: np.ndarray, at: np.ndarray) -> np.ndarray
             part = tokens[s : s + step + kind.window - 1]
             got = _anchors(kind, part, first if step >= len(tokens) else np.array([0, len(part)]))
             if got is not None:
-                h, c, p, x1, x2, owner = got
+                h, p, x1, x2, owner = got
                 rows = np.zeros(len(h), dtype=ENTRY)
-                rows["h"], rows["c"], rows["pos"], rows["doc"] = h, c, p + s - first[owner], owner + i
+                rows["h"], rows["pos"], rows["doc"] = h, p + s - first[owner], owner + i
                 rows["o1"], rows["o2"] = p - x2, p - x1
                 out.append(rows)
     return np.concatenate(out) if out else np.zeros(0, dtype=ENTRY)
@@ -125,81 +139,53 @@ def _spans(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle_batch(kind: Kind, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entries to send, entries that repeat for certain)."""
-    order = np.lexsort((ids[rows["doc"]], rows["c"], rows["h"]))
-    rows = rows[order]
-    s = _starts(rows["h"], rows["c"])
-    counts = np.diff(np.append(s, len(rows)))
-    if kind.words:
-        doc = ids[rows["doc"]]
-        later = doc > np.repeat(doc[s], counts)
-        return rows[~later], rows[later]
-    several = np.repeat(counts > 1, counts)
-    sent = rows[s]
-    sent["many"] = counts > 1
-    return sent, rows[several]
-
-
-def settle(kind: Kind, rows: np.ndarray, ids: np.ndarray, hot_group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of some k-grams: which repeat for certain, which suffixes to compare, their flags, which are hot."""
-    order = np.lexsort((ids, rows["c"], rows["h"]))
-    h, c, doc = rows["h"][order], rows["c"][order], ids[order]
-    sc, sh = _starts(h, c), _starts(h)
-    per_c = np.diff(np.append(sc, len(h)))
-    group = np.searchsorted(sh, np.arange(len(h)), side="right") - 1
-    of_c = np.repeat(np.arange(len(sc)), per_c)
-    contexts = np.bincount(group[sc], minlength=len(sh))[group]
-    if kind.words:
-        first_c, first_h = doc[sc][of_c], np.minimum.reduceat(doc, sh)[group]
-        certain = doc > first_c
-        # One partner per context, and every place whose windows await a decision.
-        lead = np.zeros(len(h), dtype=bool)
-        lead[sc] = True
-        asks = (doc == first_c) & (doc > first_h)
-        rep = (contexts > 1) & (asks | lead)
-        flags = np.where(asks, ASKS, 0)
-    else:
-        many_c = (np.maximum.reduceat(rows["many"][order], sc) > 0) | (per_c > 1)
-        many = many_c[of_c]
-        certain = many & (rows["many"][order] == 0)
-        lead = np.zeros(len(h), dtype=bool)
-        lead[sc] = True
-        rep = lead & (contexts > 1)
-        asks = ~many
-        flags = np.where(asks, ASKS, MANY)
-    useful = np.bincount(group, weights=asks & rep, minlength=len(sh))[group] > 0
-    rep &= useful
-    size = np.bincount(group, weights=rep, minlength=len(sh))[group]
-    r = np.flatnonzero(rep)
-    return order[certain], order[r], flags[r].astype(np.uint8), size[r] > hot_group
-
-
-def _by_document(ids: np.ndarray, hashes: np.ndarray, data: np.ndarray, number: int) -> pa.RecordBatch:
-    """One row per document: kind, rid1, rid2, its records as bytes."""
+def _by_document(ids: np.ndarray, hashes: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    """One row per document: rid1, rid2, its records as bytes."""
     order = np.lexsort((hashes, ids))
     ids, hashes, data = ids[order], hashes[order], data[order]
     s = _starts(ids, hashes)
     e = np.append(s[1:], len(ids))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(s), number, dtype=np.int32)), pa.array(ids[s]), pa.array(hashes[s]), pa.array([data[a:b].tobytes() for a, b in zip(s, e)], pa.binary())],
-        names=["kind", "rid1", "rid2", "data"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(hashes[s]), pa.array([data[a:b].tobytes() for a, b in zip(s, e)], pa.binary())], names=["rid1", "rid2", "data"])
 
 
-RANGES, COMPARE, HOT = 0, 1, 2
-_DECIDED = "kind int, rid1 long, rid2 long, data binary"
+_RECORDS = "rid1 long, rid2 long, data binary"
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """rid1, rid2, text and, as a struct, the columns that go along. Both joins use these rows, so they shuffle once."""
+    """rid1, rid2, text and, as a struct, the columns that go along. All joins use these rows, so they shuffle once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     extra = [F.struct(*keep).alias("extra")] if keep else []
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid1"), F.xxhash64(text).alias("rid2"), text.alias("text"), *extra)
 
 
-def decide(kind: Kind, docs: DataFrame, parts: int, hot_group: int) -> DataFrame:
-    """Step 1: ranges of windows that repeat for certain, and suffixes to compare, per document."""
+def _share(wanted: int, of: int):
+    """A test of (rid1, rid2) that about ``wanted`` of so many rows pass, the same ones each time."""
+    return F.pmod(F.xxhash64("rid2", "rid1"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, wanted / max(1, of)))
+
+
+def common_grams(kind: Kind, docs: DataFrame, rows: int) -> np.ndarray:
+    """Hashes of k-grams that a sample of documents shows to be common: a bounded, sorted array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = buffers(batch.column(0))
+            found = document_anchors(kind, data, at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found[["h", "doc"]])["h"].astype(np.int64))], names=["h"])
+
+    some = docs.filter(_share(LOOK_DOCS, rows)).select("text").mapInArrow(run, "h long")
+    often = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON)
+    return np.array(sorted(r["h"] for r in often.collect()), dtype=np.int64).view(np.uint64)
+
+
+def candidates(kind: Kind, docs: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
+    """Step 1: the suffixes whose k-gram occurs elsewhere, REP records per document."""
+
+    def records(rows: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows), dtype=REP)
+        for f in ("pos", "o1", "o2"):
+            out[f] = rows[f]
+        out["flags"] = flags
+        return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,21 +194,21 @@ def decide(kind: Kind, docs: DataFrame, parts: int, hot_group: int) -> DataFrame
             rows = document_anchors(kind, data, at)
             if not len(rows):
                 continue
-            sent, done = settle_batch(kind, rows, ids)
-            to = ((sent["h"] >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
+            known = np.searchsorted(common, rows["h"])
+            known = common[np.minimum(known, len(common) - 1)] == rows["h"] if len(common) else np.zeros(len(rows), dtype=bool)
+            to = ((rows["h"] >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
+            to[known] = parts  # these need no meeting: any one bucket takes them, see below
             order = np.argsort(to, kind="stable")
             s = _starts(to[order])
-            out = [(int(to[order][a]), sent[order[a:b]]) for a, b in zip(s, np.append(s[1:], len(order)))]
-            if len(done):
-                out.append((int(done["h"][0] % np.uint64(parts)), done))
             dest, blob, docs_of, final = [], [], [], []
-            for k, (b, part) in enumerate(out):
-                used, part = np.unique(part["doc"]), part.copy()
+            for a, b in zip(s, np.append(s[1:], len(order))):
+                bucket, part = int(to[order][a]), rows[order[a:b]].copy()
+                used = np.unique(part["doc"])
                 part["doc"] = np.searchsorted(used, part["doc"])
-                dest.append(b)
+                final.append(bucket == parts)
+                dest.append(int(hashes[used[0]] % parts) if bucket == parts else bucket)
                 blob.append(part.view(np.uint8).reshape(len(part), ENTRY.itemsize).T.tobytes())  # by byte: the upper ones compress
                 docs_of.append(np.stack([ids[used], hashes[used]]).tobytes())
-                final.append(len(done) > 0 and k == len(out) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array(blob, pa.binary()), pa.array(docs_of, pa.binary()), pa.array(final, pa.bool_())], names=["bucket", "entries", "docs", "final"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +218,7 @@ def decide(kind: Kind, docs: DataFrame, parts: int, hot_group: int) -> DataFrame
                 rows = np.ascontiguousarray(np.frombuffer(blob.as_py(), dtype=np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY)[:, 0]
                 names = np.frombuffer(table.as_py(), dtype=np.int64).reshape(2, -1)
                 if final:
-                    yield _by_document(names[0][rows["doc"]], names[1][rows["doc"]], _spans(rows), RANGES)
+                    yield _by_document(names[0][rows["doc"]], names[1][rows["doc"]], records(rows, np.uint8(ASKS)))
                 else:
                     held.append(rows)
                     ids.append(names[0][rows["doc"]])
@@ -240,17 +226,76 @@ def decide(kind: Kind, docs: DataFrame, parts: int, hot_group: int) -> DataFrame
         if not held:
             return
         rows, ids, hashes = np.concatenate(held), np.concatenate(ids), np.concatenate(hashes)
-        certain, reps, flags, hot = settle(kind, rows, ids, hot_group)
-        yield _by_document(ids[certain], hashes[certain], _spans(rows[certain]), RANGES)
-        out = np.empty(len(reps), dtype=REP)
-        for f in ("h", "pos", "o1", "o2"):
-            out[f] = rows[f][reps]
-        out["flags"] = flags
-        for number, pick in ((COMPARE, ~hot), (HOT, hot)):
-            yield _by_document(ids[reps][pick], hashes[reps][pick], out[pick], number)
+        order = np.lexsort((ids, rows["h"]))
+        h, doc = rows["h"][order], ids[order]
+        s = _starts(h)
+        size = np.diff(np.append(s, len(h)))
+        if kind.words:  # a smaller document must have it; the smallest one's own windows stay
+            asks = doc > np.repeat(doc[s], size)
+            stays = np.repeat(np.logical_or.reduceat(asks, s), size)
+        else:
+            asks = stays = np.repeat(size > 1, size)
+        at = order[stays]
+        if len(at):
+            yield _by_document(ids[at], hashes[at], records(rows[at], np.where(asks[stays], ASKS, 0).astype(np.uint8)))
 
     sent = docs.mapInArrow(send, "bucket int, entries binary, docs binary, final boolean")
-    return sent.repartitionById(parts, "bucket").mapInArrow(meet, _DECIDED)
+    return sent.repartitionById(parts, "bucket").mapInArrow(meet, _RECORDS)
+
+
+@dataclass
+class Place:
+    """Groups of suffixes by their leading tokens. ``cuts`` are border strings (ranges), or ``longer`` holds the
+    prefixes that are lengthened by a token (prefixes, by hash). Called with a suffix, it gives its group and the
+    smallest offset at which a window of it might have an equal in another group."""
+
+    kind: Kind
+    groups: int
+    cuts: list[bytes] | None = None
+    longer: set[bytes] = field(default_factory=set)
+
+    @property
+    def divides(self) -> bool:
+        """Whether any border runs through a k-gram."""
+        short = self.kind.gram * self.kind.unit
+        return bool(self.longer) or any(len(c) > short for c in self.cuts or ())
+
+    def __call__(self, right: bytes) -> tuple[int, int]:
+        kind, short = self.kind, self.kind.gram * self.kind.unit
+        if self.cuts is None:
+            n = short
+            while n <= len(right) and right[:n] in self.longer:
+                n += kind.unit
+            return crc32(right[:n]) % self.groups, kind.window + 1 if n == short else kind.window - n // kind.unit + 1
+        at, shared = bisect_right(self.cuts, right[:KEY]), 0
+        for cut in self.cuts[max(0, at - 1) : at + 1]:
+            if len(cut) > short and right.startswith(cut[:short]):
+                n = short
+                while n < KEY - 1 and right[n : n + 1] == cut[n : n + 1] != b"":
+                    n += 1
+                shared = max(shared, n)
+        return at, kind.window - shared // kind.unit if shared else kind.window + 1
+
+
+def ranges_of(kind: Kind, sample: list[bytes], groups: int) -> Place:
+    """Borders at the quantiles of a sample: at its k-gram, so that none is divided, unless one k-gram fills several
+    groups; then as many more tokens as tell its quantiles apart (``KEY`` bytes at most)."""
+    keys, short, cuts = sorted(r[:KEY] for r in sample), kind.gram * kind.unit, set()
+    for i in range(1, groups) if keys else ():
+        key = keys[len(keys) * i // groups]
+        cuts.add(key if key[:short] in cuts else key[:short])
+    return Place(kind, len(cuts) + 1, sorted(cuts))
+
+
+def prefixes_of(kind: Kind, sample: list[bytes], groups: int) -> Place:
+    """Prefixes of variable length: a k-gram, lengthened token by token while a sample shows more than a group's share."""
+    longer, most = set(), max(8, len(sample) / groups)
+    n, left = kind.gram * kind.unit, sample
+    while left and n < KEY:
+        found = {p for p, c in Counter(r[:n] for r in left if len(r) >= n).items() if c > most}
+        longer |= found
+        left, n = [r for r in left if r[:n] in found], n + kind.unit
+    return Place(kind, groups, None, longer)
 
 
 def contexts_of(kind: Kind, tokens: np.ndarray, reps: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -261,17 +306,54 @@ def contexts_of(kind: Kind, tokens: np.ndarray, reps: np.ndarray) -> tuple[list[
     return right, left
 
 
-def _asked(docs: DataFrame, decided: DataFrame, number: int) -> DataFrame:
-    reps = decided.filter(F.col("kind") == number).groupBy("rid1", "rid2").agg(F.collect_list("data").alias("data"))
-    return docs.join(reps, ["rid1", "rid2"])
+def _asked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    reps = found.groupBy("rid1", "rid2").agg(F.collect_list("data").alias("data"))
+    return docs.select("rid1", "rid2", "text").join(reps, ["rid1", "rid2"])
 
 
 def _each_document(kind: Kind, batch: pa.RecordBatch):
     for rid1, rid2, text, data in zip(*(batch.column(c) for c in ("rid1", "rid2", "text", "data"))):
         raw = np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
         tokens, _ = kind.tokens(raw, np.array([0, len(raw)]))
-        reps = np.unique(np.frombuffer(b"".join(data.as_py()), dtype=REP))
-        yield rid1.as_py(), rid2.as_py(), tokens, reps
+        yield rid1.as_py(), rid2.as_py(), tokens, np.unique(np.frombuffer(b"".join(data.as_py()), dtype=REP))
+
+
+def sampled_suffixes(kind: Kind, docs: DataFrame, found: DataFrame, rows: int) -> list[bytes]:
+    """Leading bytes of some suffixes of a bounded sample of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, tokens, reps in _each_document(kind, batch):
+                reps = reps[:: -(-len(reps) // SAMPLE_SUFFIXES)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[:KEY] for r in contexts_of(kind, tokens, reps)[0]], pa.binary())], names=["lead"])
+
+    # Bounded: SAMPLE_DOCS rows of at most 512 records.
+    some = found.filter(_share(SAMPLE_DOCS, rows)).select("rid1", "rid2", F.array(F.substring("data", 1, 512 * REP.itemsize)).alias("data")).limit(SAMPLE_DOCS)
+    joined = docs.select("rid1", "rid2", "text").join(F.broadcast(some), ["rid1", "rid2"])
+    return [r["lead"] for r in joined.mapInArrow(run, "lead binary").collect()]
+
+
+def together(kind: Kind, right: list[bytes], left: list[bytes], ids: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which suffixes go on, which repeat for certain, flags): equal ones, token by token, are put together."""
+    first: dict[tuple[bytes, bytes], int] = {}
+    slot = np.array([first.setdefault(key, i) for i, key in enumerate(zip(right, left))], dtype=np.int64)
+    lead = slot == np.arange(len(slot))
+    if kind.words:
+        least = np.full(len(slot), np.iinfo(np.int64).max)
+        np.minimum.at(least, slot, ids)
+        certain = ids > least[slot]
+        # The smallest document's suffixes stay, one of them at least; so does each that awaits a decision.
+        rest = np.flatnonzero(~certain)
+        keep = np.zeros(len(slot), dtype=bool)
+        keep[rest[np.unique(slot[rest], return_index=True)[1]]] = True
+        keep |= ~certain & (flags & ASKS > 0)
+        return keep, certain & (flags & ASKS > 0), flags
+    many = np.bincount(slot, minlength=len(slot))
+    several = np.maximum.reduceat((flags & MANY)[np.argsort(slot, kind="stable")], np.flatnonzero(np.diff(np.sort(slot), prepend=-1)))
+    standing = np.zeros(len(slot), dtype=bool)
+    standing[np.flatnonzero(lead)] = (several > 0) | (many[lead] > 1)
+    again = standing[slot]
+    return lead, again & (flags & ASKS > 0), np.where(again, MANY, flags).astype(np.uint8)
 
 
 def matrix(rows: list[bytes], width: int) -> np.ndarray:
@@ -281,23 +363,25 @@ def matrix(rows: list[bytes], width: int) -> np.ndarray:
 
 
 def multikey_sort(m: np.ndarray) -> np.ndarray:
-    """Order of the rows: each round sorts the runs still tied by their next word and keeps only the tied ones."""
-    order = np.argsort(m[:, 0], kind="stable")
-    run = np.cumsum(np.concatenate([[0], (np.diff(m[order, 0]) != 0).astype(np.int64)]))[: len(order)]
-    tied = np.flatnonzero(np.bincount(run)[run] > 1)
-    for d in range(1, m.shape[1]):
-        if not len(tied):
-            break
-        word = m[order[tied], d]
-        by = np.lexsort((word, run[tied]))
-        order[tied] = order[tied][by]
-        key, word = run[tied][by], word[by]
-        new = np.concatenate([[False], (key[1:] == key[:-1]) & (word[1:] != word[:-1])])
-        # Runs are numbered by their first place, so numbers stay in order and distinct.
-        label = np.where(np.concatenate([[True], key[1:] != key[:-1]]) | new, tied, 0)
-        run[tied] = np.maximum.accumulate(label) + len(order)
-        _, inverse, counts = np.unique(run[tied], return_inverse=True, return_counts=True)
-        tied = tied[counts[inverse] > 1]
+    """Order of the rows by multikey quicksort, all runs of a round at once: a run is split by a pivot of its current
+    word into smaller, equal and larger; the equal ones go on to the next word."""
+    n, width = m.shape
+    order, depth = np.arange(n), np.zeros(n, dtype=np.int64)
+    start, active = np.zeros(n, dtype=np.int64), np.arange(n if n > 1 else 0)
+    while len(active):
+        word = m[order[active], depth[active]]
+        heads = _starts(start[active])
+        size = np.diff(np.append(heads, len(active)))
+        pivot = np.sort([word[heads], word[heads + size // 2], word[heads + size - 1]], axis=0)[1]
+        pivot, run = np.repeat(pivot, size), np.repeat(np.arange(len(heads)) * 3, size)
+        side = (word >= pivot).astype(np.int64) + (word > pivot)
+        by = np.argsort(run + side, kind="stable")
+        order[active] = order[active][by]
+        heads = _starts((run + side)[by])
+        size = np.diff(np.append(heads, len(active)))
+        start[active] = np.repeat(active[heads], size)
+        depth[active] += side[by] == 1
+        active = active[(np.repeat(size, size) > 1) & (depth[active] < width)]
     return order
 
 
@@ -317,12 +401,12 @@ def common_prefix(m: np.ndarray, order: np.ndarray, unit: int) -> np.ndarray:
     return out
 
 
-def equal_windows(kind: Kind, right: np.ndarray, left: np.ndarray, h: np.ndarray, ids: np.ndarray, o1: np.ndarray, o2: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def equal_windows(kind: Kind, right: np.ndarray, left: np.ndarray, ids: np.ndarray, o1: np.ndarray, o2: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix, offset) of the windows that repeat, of those that await a decision.
 
     Windows at offset o are equal where the suffixes share window - o tokens to the right and o to the left: the
     intervals of the sorted orders at those depths, that is, the nodes of the suffix trees."""
-    unit = 8 if kind.words else 1
+    unit = kind.unit
     by_right, by_left = multikey_sort(right), multikey_sort(left)
     prefix, back = common_prefix(right, by_right, unit), common_prefix(left, by_left, unit)
     found_s, found_o = [], []
@@ -330,10 +414,10 @@ def equal_windows(kind: Kind, right: np.ndarray, left: np.ndarray, h: np.ndarray
         own = np.flatnonzero((o1 <= o) & (o <= o2))
         if len(own) < 2:
             continue
-        node_r, node_l = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        node_r, node_l = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
         node_r[by_right] = np.cumsum(prefix < kind.window - o)
         node_l[by_left] = np.cumsum(back < o)
-        key = node_r[own] * (len(h) + 1) + node_l[own]
+        key = node_r[own] * (len(ids) + 1) + node_l[own]
         order = np.lexsort((ids[own], key))
         key = key[order]
         s = _starts(key)
@@ -348,54 +432,106 @@ def equal_windows(kind: Kind, right: np.ndarray, left: np.ndarray, h: np.ndarray
     return np.concatenate(found_s), np.concatenate(found_o)
 
 
-_CONTEXT = "bucket int, h long, rid1 long, rid2 long, pos long, o1 int, o2 int, flags int, right binary, left binary"
+_SUFFIX = "bucket int, rid1 long, rid2 long, pos int, o int, right binary, left binary"
+
 
+def compare(kind: Kind, docs: DataFrame, found: DataFrame, place: Place) -> DataFrame:
+    """Step 2: ranges of repeated windows within the groups."""
+    names = [f.split()[0] for f in _SUFFIX.split(", ")]
 
-def compare(kind: Kind, docs: DataFrame, decided: DataFrame, parts: int, place) -> DataFrame:
-    """Step 2: ranges of repeated windows among the suffixes to compare. place(h, right) gives each one's group."""
+    def settled(ids, hashes, spans, at) -> pa.RecordBatch:
+        """Ranges that are certain travel along as rows without a suffix."""
+        r = _by_document(ids, hashes, spans)
+        n = len(r)
+        none = pa.nulls(n, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, at, dtype=np.int32)), r.column(0), r.column(1), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), none, r.column(2)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            right, left = [x for r, _, _, _, _ in held for x in r], [x for _, l, _, _, _ in held for x in l]
+            reps = np.concatenate([r for _, _, r, _, _ in held])
+            ids, hashes = (np.concatenate([np.full(len(x[2]), x[k]) for x in held]) for k in (3, 4))
+            keep, certain, flags = together(kind, right, left, ids, reps["flags"])
+            if certain.any():
+                yield settled(ids[certain], hashes[certain], _spans(reps[certain]), int(hashes[0] % place.groups))
+            at = np.flatnonzero(keep)
+            o = reps["o1"].astype(np.int32) | reps["o2"].astype(np.int32) << 8 | flags.astype(np.int32) << 16
+            for a in range(0, len(at), 4096):
+                some = at[a : a + 4096]
+                columns = [pa.array([place(right[i])[0] for i in some], pa.int32()), pa.array(ids[some]), pa.array(hashes[some]), pa.array(reps["pos"][some].astype(np.int32)), pa.array(o[some])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([right[i] for i in some], pa.binary()), pa.array([left[i] for i in some], pa.binary())], names=names)
+
         for batch in batches:
             for rid1, rid2, tokens, reps in _each_document(kind, batch):
-                for at in range(0, len(reps), 4096):
-                    part = reps[at : at + 4096]
-                    right, left = contexts_of(kind, tokens, part)
-                    n = len(part)
-                    columns = [pa.array(place(part["h"], right).astype(np.int32)), pa.array(part["h"].astype(np.int64)), pa.array(np.full(n, rid1)), pa.array(np.full(n, rid2)), pa.array(part["pos"].astype(np.int64))]
-                    columns += [pa.array(part[f].astype(np.int32)) for f in ("o1", "o2", "flags")] + [pa.array(right, pa.binary()), pa.array(left, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _CONTEXT.split(", ")])
+                for at in range(0, len(reps), TOGETHER):
+                    part = reps[at : at + TOGETHER]
+                    held.append((*contexts_of(kind, tokens, part), part, rid1, rid2))
+                    n += len(part)
+                    if n >= TOGETHER:
+                        yield from flush()
+                        held, n = [], 0
+        if held:
+            yield from flush()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        if not len(t):
+        held = []
+        for batch in batches:
+            has = batch.column("right").is_valid()
+            done = batch.filter(pa.compute.invert(has))
+            if len(done):
+                yield pa.RecordBatch.from_arrays([done.column("rid1"), done.column("rid2"), done.column("left")], names=["rid1", "rid2", "data"])
+            held.append(batch.filter(has))
+        t = pa.Table.from_batches(held) if held else None
+        if t is None or not len(t):
             return
         get = lambda c: t[c].to_numpy()
-        size = 8 if kind.words else 1
-        wide = lambda n: -(-n * size // 8) * 8
-        right, left = matrix(t["right"].to_pylist(), wide(kind.window)), matrix(t["left"].to_pylist(), max(8, wide(kind.reach - 1)))
-        s, o = equal_windows(kind, right, left, get("h"), get("rid1"), get("o1"), get("o2"), get("flags"))
-        out = np.empty(len(s), dtype=SPAN)
-        out["x1"] = out["x2"] = get("pos")[s] - o
-        yield _by_document(get("rid1")[s], get("rid2")[s], out, RANGES)
+        rows = np.zeros(len(t), dtype=REP)
+        rows["pos"], rows["o1"], rows["o2"] = get("pos"), get("o") & 255, get("o") >> 8 & 255
+        right, left = t["right"].to_pylist(), t["left"].to_pylist()
+        keep, certain, flags = together(kind, right, left, get("rid1"), (get("o") >> 16).astype(np.uint8))
+        if certain.any():
+            yield _by_document(get("rid1")[certain], get("rid2")[certain], _spans(rows[certain]))
+        at = np.flatnonzero(keep)
+        wide = lambda n: max(8, -(-n * kind.unit // 8) * 8)
+        first = matrix([right[i] for i in at], wide(kind.window))
+        order = multikey_sort(first)
+        shared = common_prefix(first, order, kind.unit)
+        # Alone in its k-gram: nothing to compare.
+        near = np.zeros(len(at), dtype=bool)
+        near[order] = np.maximum(shared, np.append(shared[1:], -1)) >= kind.gram
+        at, first = at[near], first[near]
+        if not len(at) or not (flags[at] & ASKS).any():
+            return
+        back = matrix([left[i] for i in at], wide(max(1, kind.reach - 1)))
+        s, o = equal_windows(kind, first, back, get("rid1")[at], rows["o1"][at].astype(np.int64), rows["o2"][at].astype(np.int64), flags[at])
+        if len(s):
+            out = np.empty(len(s), dtype=SPAN)
+            out["x1"] = out["x2"] = rows["pos"][at][s] - o
+            yield _by_document(get("rid1")[at][s], get("rid2")[at][s], out)
 
-    contexts = _asked(docs, decided, COMPARE).mapInArrow(cut, _CONTEXT)
-    return contexts.repartitionById(parts, "bucket").mapInArrow(group, _DECIDED)
+    return _asked(docs, found).mapInArrow(cut, _SUFFIX).repartitionById(place.groups, "bucket").mapInArrow(group, _RECORDS)
 
 
-def compare_hot(kind: Kind, docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Step 2 for k-grams with very many contexts: one row per window, met by its digest."""
+def across(kind: Kind, docs: DataFrame, found: DataFrame, place: Place) -> DataFrame:
+    """Step 3: windows that may have an equal beyond their group's border, one row each, met by a 128-bit digest."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid1, rid2, tokens, reps in _each_document(kind, batch):
-                rows = [(hashlib.blake2b(tokens[p - o : p - o + kind.window].tobytes(), digest_size=16).digest(), rid1, rid2, p - o, int(f)) for _, p, a, b, f in reps.tolist() for o in range(a, b + 1)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("w", "rid1", "rid2", "x", "flags"), r)) for r in rows], schema=pa.schema([("w", pa.binary()), ("rid1", pa.int64()), ("rid2", pa.int64()), ("x", pa.int64()), ("flags", pa.int32())]))
-
-    rows = _asked(docs, decided, HOT).mapInArrow(windows, "w binary, rid1 long, rid2 long, x long, flags int")
-    met = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("rid1").alias("least"))
+                w, x, f = [], [], []
+                for rep, right in zip(reps, contexts_of(kind, tokens, reps)[0]):
+                    for o in range(max(int(rep["o1"]), place(right)[1]), int(rep["o2"]) + 1):
+                        at = int(rep["pos"]) - o
+                        w.append(hashlib.blake2b(tokens[at : at + kind.window].tobytes(), digest_size=16).digest())
+                        x.append(at)
+                        f.append(int(rep["flags"]))
+                n = len(w)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(np.full(n, rid1)), pa.array(np.full(n, rid2)), pa.array(x, pa.int64()), pa.array(f, pa.int32())], names=["w", "rid1", "rid2", "x", "flags"])
+
+    rows = _asked(docs, found).mapInArrow(windows, "w binary, rid1 long, rid2 long, x long, flags int")
+    met = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("rid1").alias("least")).filter("n > 1")
     again = F.col("rid1") > F.col("least") if kind.words else F.col("n") > 1
     hits = rows.filter(F.col("flags").bitwiseAND(ASKS) > 0).join(met, "w").filter(again)
 
@@ -405,25 +541,26 @@ def compare_hot(kind: Kind, docs: DataFrame, decided: DataFrame) -> DataFrame:
             out = np.empty(len(x), dtype=SPAN)
             out["x1"] = out["x2"] = x
             if len(x):
-                yield _by_document(batch.column(0).to_numpy(), batch.column(1).to_numpy(), out, RANGES)
+                yield _by_document(batch.column(0).to_numpy(), batch.column(1).to_numpy(), out)
 
-    return hits.select("rid1", "rid2", "x").mapInArrow(pack, _DECIDED)
+    return hits.select("rid1", "rid2", "x").mapInArrow(pack, _RECORDS)
 
 
-def repeated_windows(kind: Kind, docs: DataFrame, id_col: str, text_col: str, place_of, hot_group: int = HOT_GROUP, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents, their repeated windows: rid1, rid2, data as an array of SPAN bytes)."""
+def repeated_windows(kind: Kind, docs: DataFrame, id_col: str, text_col: str, placed, keep: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(keyed documents, their repeated windows: rid1, rid2, data as an array of SPAN bytes). ``placed`` makes the
+    ``Place`` of a sample of suffixes and a number of groups."""
     spark = docs.sparkSession
     small_batches(spark)
     base = keyed(docs, id_col, text_col, keep)
-    parts = parts_for(spark, text_bytes(base))
-    decided = written(decide(kind, base.select("rid1", "rid2", "text"), parts, hot_group), "repeats")
-    sizes = {r["kind"]: r["n"] for r in decided.groupBy("kind").agg(F.sum(F.octet_length("data")).alias("n")).collect()}
-    ranges = decided.filter(F.col("kind") == RANGES)
-    if sizes.get(COMPARE):
-        groups = parts_for(spark, sizes[COMPARE] // REP.itemsize * 400)
-        ranges = ranges.unionByName(compare(kind, base, decided, groups, place_of(base, groups)))
-    if sizes.get(HOT):
-        ranges = ranges.unionByName(compare_hot(kind, base, decided))
+    size = base.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = parts_for(spark, size["bytes"] or 0)
+    found = written(candidates(kind, base.select("rid1", "rid2", "text"), parts, common_grams(kind, base, size["rows"])), "suffixes")
+    size = found.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("data")).alias("bytes")).first()
+    groups = parts_for(spark, (size["bytes"] or 0) // REP.itemsize * (kind.window * 2 * kind.unit), group_bytes)
+    place = placed(kind, sampled_suffixes(kind, base, found, size["rows"]), groups)
+    ranges = compare(kind, base, found, place)
+    if place.divides:
+        ranges = ranges.unionByName(across(kind, base, found, place))
     return base, ranges.groupBy("rid1", "rid2").agg(F.collect_list("data").alias("data"))
 
 

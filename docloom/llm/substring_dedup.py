@@ -1,9 +1,10 @@
 """Operator 6, substring deduplication: words covered by a window of ``WINDOW`` words that a smaller document has too.
 
-The suffixes that can matter (see ``repeats``) are split by their prefix: the k-gram they begin with, by hash, into
-groups that fit in memory, and k-grams with very many contexts further, by the whole window. A group's sorted
-suffixes with the common prefixes of neighbours are its suffix tree; internal nodes deep enough that hold a smaller
-document than the leaf's own are the repeats.
+The suffixes that can matter (see ``repeats``) are split by prefixes of variable length: the four words they begin with,
+lengthened word by word (to eight) where a sample shows more than a group's share; each prefix goes to one of the
+memory-sized groups. A group's sorted suffixes with the common prefixes of neighbours are its suffix tree; the inner
+nodes deep enough for a window are the maximal repeats, and a leaf whose node holds a smaller document loses it. Windows
+that a lengthened prefix does not cover are compared across groups. Words are compared as 64-bit hashes.
 
 Defined results: null texts have no words; texts shorter than a window lose nothing; repeats inside one document or
 between rows of one id alone remove nothing; a null id counts as smaller than all others.
@@ -20,16 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table
-from docloom.llm.repeats import HOT_GROUP, NO_ID, Kind, covered, repeated_windows
+from docloom.llm.repeats import GROUP_BYTES, NO_ID, Kind, covered, prefixes_of, repeated_windows
 from docloom.llm.words import word_spans
 
 WINDOW, GRAM = 13, 4
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, hot_group: int = HOT_GROUP) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 (and the kept words, if asked for)."""
     kind = Kind(True, window, gram)
-    base, ranges = repeated_windows(kind, docs, id_col, text_col, lambda base, groups: lambda h, right: (h >> np.uint64(4)) % np.uint64(groups), hot_group)
+    base, ranges = repeated_windows(kind, docs, id_col, text_col, prefixes_of, (), group_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

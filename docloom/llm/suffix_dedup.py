@@ -1,9 +1,10 @@
 """Operator 4, suffix-array deduplication: bytes covered by a string of ``LENGTH`` bytes that starts anywhere else.
 
-The suffixes that can matter (see ``repeats``) are range-partitioned by their leading eight bytes with splitters
-sampled from the documents' own anchors; each bucket sorts its suffixes by multikey quicksort and compares
-neighbours. Splitters fall between leading tokens, so no two equal strings stand on different sides of a boundary;
-what would make a bucket too large, a k-gram with very many contexts, is compared by window instead.
+The suffixes that can matter (see ``repeats``) are range-partitioned by their leading tokens with splitters sampled from
+the suffixes themselves; each bucket sorts its suffixes by multikey quicksort and compares neighbours, byte by byte.
+Splitters fall between the leading 32 bytes that all suffixes to compare share, so nothing faces a boundary, unless one
+such string fills several buckets: then splitters take up to 64 bytes, and what may be equal to something beyond a
+boundary is compared across it.
 
 Defined results: null counts as empty; matches never cross documents; texts shorter than ``LENGTH`` lose nothing;
 equal rows are occurrences of each other. As a stage, characters that lose any byte go whole.
@@ -21,51 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import table
-from docloom.llm.repeats import HOT_GROUP, NO_ID, Kind, covered, document_anchors, repeated_windows
-from docloom.llm.words import buffers
+from docloom.llm.repeats import GROUP_BYTES, NO_ID, Kind, covered, ranges_of, repeated_windows
 
 LENGTH, GRAM = 200, 32
-#: Documents that give splitters, at most about so many per bucket.
-SAMPLE_DOCS = 4
 
 
-def leading(right: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(r[:8].ljust(8, b"\0") for r in right), dtype=">u8").astype(np.uint64)
-
-
-def splitters(kind: Kind, base: DataFrame, buckets: int) -> np.ndarray:
-    """buckets - 1 leading tokens at most, from the anchors of a hash-chosen sample of documents."""
-    rows = base.count()
-    some = base.filter(F.pmod("rid2", F.lit(1_000_003)) <= int(1_000_003 * min(1.0, SAMPLE_DOCS * buckets / max(1, rows))))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = buffers(batch.column(0))
-            rows = document_anchors(kind, data, at)[:: 8]
-            start = at[rows["doc"]] + rows["pos"]
-            lead = leading([data[s : s + 8].tobytes() for s in start])[:4096]
-            yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64))], names=["lead"])
-
-    lead = np.array([r["lead"] for r in some.select("text").mapInArrow(tokens, "lead long").collect()], dtype=np.int64).view(np.uint64)
-    if not len(lead):
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(np.sort(lead)[np.linspace(0, len(lead) - 1, buckets + 1).astype(int)[1:-1]])
-
-
-def suffix_spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot_group: int, keep: tuple[str, ...] = ()):
-    kind = Kind(False, length, gram)
-
-    def place_of(base, buckets):
-        cuts = splitters(kind, base, buckets)
-        return lambda h, right: np.searchsorted(cuts, leading(right), side="right")
-
-    return repeated_windows(kind, docs, id_col, text_col, place_of, hot_group, keep)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), hot_group: int = HOT_GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep``, also the kept text and those
     columns, as the struct ``extra``."""
-    base, ranges = suffix_spans(docs, id_col, text_col, length, gram, hot_group, keep)
+    base, ranges = repeated_windows(Kind(False, length, gram), docs, id_col, text_col, ranges_of, keep, group_bytes)
     names = ("rid1", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +63,6 @@ def op4_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-
-
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
 w AS MATERIALIZED (SELECT doc_id, i, md5(substr(b, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT doc_id, b, unnest(range(0, length(b) // 2 - {LENGTH - 1})) AS i FROM d)),

@@ -68,18 +68,18 @@ def frame(spark, tables, rows):
     return spark.read.parquet(tables(documents=(SCHEMA, [(*r, 1, "x", 2) for r in rows])) + "/documents.parquet")
 
 
-@pytest.mark.parametrize("length,gram,hot,segment", [(20, 6, 1 << 16, 1 << 21), (33, 8, 4, 64), (9, 9, 1, 1 << 21)])
-def test_bytes_equal_brute_force(spark, tables, monkeypatch, length, gram, hot, segment):
+@pytest.mark.parametrize("length,gram,size,segment", [(20, 6, 16 << 20, 1 << 21), (33, 8, 30_000, 64), (20, 5, 2000, 1 << 21), (9, 9, 20_000, 1 << 21)])
+def test_bytes_equal_brute_force(spark, tables, monkeypatch, length, gram, size, segment):
     monkeypatch.setattr(repeats, "SEGMENT", segment)
     rows = corpus(length)
-    got = sorted(map(tuple, remove_repeats(frame(spark, tables, rows), length=length, gram=gram, hot_group=hot).collect()), key=repr)
+    got = sorted(map(tuple, remove_repeats(frame(spark, tables, rows), length=length, gram=gram, group_bytes=size).collect()), key=repr)
     assert got == brute_bytes(rows, length)
 
 
-@pytest.mark.parametrize("window,gram,hot", [(13, 4, 1 << 16), (5, 2, 3), (6, 6, 1)])
-def test_words_equal_brute_force(spark, tables, window, gram, hot):
+@pytest.mark.parametrize("window,gram,size", [(13, 4, 16 << 20), (13, 2, 6000), (5, 2, 2000), (6, 6, 20_000)])
+def test_words_equal_brute_force(spark, tables, window, gram, size):
     rows = corpus(window + 100)
-    got = sorted(map(tuple, remove_repeated_words(frame(spark, tables, rows), window=window, gram=gram, hot_group=hot).collect()), key=repr)
+    got = sorted(map(tuple, remove_repeated_words(frame(spark, tables, rows), window=window, gram=gram, group_bytes=size).collect()), key=repr)
     assert got == brute_words(rows, window)
 
 
@@ -110,3 +110,20 @@ def test_multikey_sort_and_prefixes():
     lcp = common_prefix(m, order, 1)
     for a, b, n in zip(order, order[1:], lcp[1:]):
         assert n == next((k for k in range(24) if padded[a][k] != padded[b][k]), 24)
+
+
+def test_places_divide_only_what_is_common():
+    rng = random.Random(1)
+    common, rare = b"c" * 32, [bytes(rng.randrange(97, 120) for _ in range(80)) for _ in range(200)]
+    many = [common + bytes(rng.randrange(97, 120) for _ in range(48)) for _ in range(300)]
+    place = repeats.ranges_of(repeats.Kind(False, 200, 32), rare + many, 20)
+    assert place.divides and {place(r)[1] for r in rare} == {201} and len({place(r)[0] for r in many}) > 5
+    for a in many:
+        for b in many:
+            shared = next((k for k in range(80) if a[k] != b[k]), 80)
+            # Windows with more to the right than two suffixes of different groups share are told apart there.
+            assert place(a)[0] == place(b)[0] or place(a)[1] <= 200 - shared
+    assert not repeats.ranges_of(repeats.Kind(False, 200, 32), rare, 20).divides
+    words = repeats.Kind(True, 13, 4)
+    place = repeats.prefixes_of(words, rare + many, 20)
+    assert place.divides and {place(r)[1] for r in rare} == {14} and len({place(r)[0] for r in many}) > 5
