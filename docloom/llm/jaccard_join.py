@@ -1,13 +1,19 @@
-"""Operator 7, n-gram Jaccard join: MinHash banding with exact verification, in place of an LSH forest.
+"""Operator 7, n-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 A document is the set of its five-word shingles (a shorter one is the single shingle of all its words). Equal sets
-are one node. Each of ``TREES`` tries is one key a node: the hash of its first MinHash values, as many (of ``DEPTH`` at
-most) as let a pair at the similarity threshold meet in some trie with probability ``RECALL``; the length is the same
-for every table. Nodes that share such a prefix are candidates, and every candidate pair is verified on the shingle sets.
-
-Distribution. Prefixes met once are dropped by an aggregated count; prefixes with the same members are handled
+are one node. Each of ``TREES`` trees gives a node a string of ``DEPTH`` MinHash values; the sorted strings of a tree are
+its prefix trie, whose inner nodes are runs of neighbours with a common prefix. A prefix of ``LEAST`` values is so short
+that a pair at the similarity threshold misses the common prefix in all trees with a chance far below
+1 - ``RECALL``. Where such a prefix is common (more than ``CROWD`` nodes share it), its nodes use longer ones: each node
+starts from whole strings in its crowded trees and shortens the one where that adds the fewest candidates for the
+chance it gains, until its recall, over all trees, reaches ``RECALL``. The trie is cut above what any of the nodes
+below needs, so that the parts are disjoint and every node gets at least its recall. Nodes of one part are candidates,
+and every candidate pair is verified on the shingle sets.
+
+Distribution. Strings are range-partitioned and sorted, the node being part of the order, so a common prefix spreads over
+partitions; runs that touch a border are added up. Parts met once are dropped; parts with the same members are handled
 once (order-free member checksums); large ones are dealt into tiles of at most ``TILE`` nodes or ``TILE_SHINGLES``
-shingles a side, so no task holds a whole group, and a pair counts only in the first trie where it meets. A tile
+shingles a side, so no task holds a whole part, and a pair counts only in the first tree where it meets. A tile
 returns one row per linked node (number of links, a spanning edge), never pairs. Classes are the connected components,
 by alternating large and small stars with every round written to the shared folder.
 
@@ -18,6 +24,7 @@ Defined results: null, empty and blank texts have no shingles: their class is th
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,21 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import small_batches, table, written
+from docloom.llm.common import parts_for, small_batches, table, written
 from docloom.llm.words import buffers, gram_hashes, mixed, slices, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, (4, 5)
-TREES, DEPTH, RECALL = 24, 6, 0.99999
-TILE, TILE_SHINGLES = 256, 1 << 20
+TREES, DEPTH, LEAST, RECALL = 24, 8, 3, 0.99999
+#: Nodes that share a shortest prefix before longer ones are used; sides of a tile at most.
+CROWD = 512
+TILE, TILE_SHINGLES = 512, 1 << 20
 SEED = 77
 
 
-def prefix_length(trees: int = TREES, depth: int = DEPTH, similarity: float = SIMILARITY[0] / SIMILARITY[1], recall: float = RECALL) -> int:
-    """The longest prefix at which two sets of this similarity meet in some trie with probability ``recall``."""
-    k = depth
-    while k > 1 and 1 - (1 - similarity**k) ** trees < recall:
-        k -= 1
-    return k
+def misses(length: int, similarity: float = SIMILARITY[0] / SIMILARITY[1]) -> float:
+    """Logarithm of the chance that two sets of this similarity differ within the first values of one tree."""
+    return math.log1p(-(similarity**length))
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -61,28 +67,28 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield i, sets
 
 
-def trie_keys(sets: list[np.ndarray], trees: int, length: int) -> np.ndarray:
-    """sets x trees: the first ``length`` MinHash values of each trie, as one hash. No set is empty."""
+def signature_strings(sets: list[np.ndarray], trees: int) -> list[bytes]:
+    """Per set, the strings of its trees one after the other: DEPTH MinHash values of 16 bits each. No set is empty."""
     rng = np.random.default_rng(SEED)
-    factors = rng.integers(0, 1 << 63, (trees, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    masks = rng.integers(0, 1 << 63, (trees, DEPTH), dtype=np.uint64)
+    factors = (rng.integers(0, 1 << 31, (trees, DEPTH), dtype=np.uint32) << np.uint32(1)) + np.uint32(1)
+    masks = rng.integers(0, 1 << 32, (trees, DEPTH), dtype=np.uint32)
     flat = np.concatenate(sets)
+    flat = (flat ^ flat >> np.uint64(32)).astype(np.uint32)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.zeros((len(sets), trees), dtype=np.uint64)
+    out = np.zeros((len(sets), trees, DEPTH), dtype=np.uint32)
     for t in range(trees):
-        key = np.full(len(sets), t, dtype=np.uint64)
-        for d in range(length):
-            key = mixed(key * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat((flat ^ masks[t, d]) * factors[t, d], at))
-        out[:, t] = key
-    return out.view(np.int64)
+        for d in range(DEPTH):
+            out[:, t, d] = np.minimum.reduceat((flat ^ masks[t, d]) * factors[t, d], at)
+    out = (mixed(out.astype(np.uint64)) >> np.uint64(48)).astype(">u2")
+    return [row.tobytes() for row in out]
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, length: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """id, node (null without words), n shingles, keys, and the struct ``more`` of columns that go along."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """id, node (null without words), n shingles, strings, and the struct ``more`` of columns that go along."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,18 +97,112 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, length:
                 has = [k for k, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 if has:
-                    for k, row in zip(has, trie_keys([sets[k] for k in has], trees, length)):
+                    for k, row in zip(has, signature_strings([sets[k] for k in has], trees)):
                         keys[k] = row
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(sets)), batch.column(2).slice(i, len(sets)), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "more", "node", "n", "keys"],
+                    [batch.column(0).slice(i, len(sets)), batch.column(2).slice(i, len(sets)), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())],
+                    names=["id", "more", "node", "n", "strings"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *more).alias("more"))
-    schema = T.StructType([rows.schema["id"], rows.schema["more"]]).add("node", T.BinaryType()).add("n", T.LongType()).add("keys", T.ArrayType(T.LongType()))
+    schema = T.StructType([rows.schema["id"], rows.schema["more"]]).add("node", T.BinaryType()).add("n", T.LongType()).add("strings", T.BinaryType())
     return rows.mapInArrow(run, schema)
 
 
+def runs_of(strings: DataFrame, parts: int, crowd: int) -> DataFrame:
+    """The inner nodes of the tries that matter: tree, level, prefix, members, weight and two checksums of the members.
+
+    Sorted neighbours with a common prefix are a run; levels below the shortest are given where a run may be crowded."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        tree, n = t["tree"].to_numpy(), t["n"].to_numpy()
+        text = np.frombuffer(b"".join(t["string"].to_pylist()), dtype=">u2").reshape(len(tree), DEPTH)
+        node = np.frombuffer(b"".join(t["node"].to_pylist()), dtype=np.int64).reshape(len(tree), 2)
+        same = np.where(tree[1:] == tree[:-1], np.cumprod(text[1:] == text[:-1], axis=1).sum(axis=1), -1)
+        wide = np.zeros(len(tree), dtype=bool)
+        for level in range(LEAST, DEPTH + 1):
+            s = np.flatnonzero(np.concatenate([[True], same < level]))
+            size = np.diff(np.append(s, len(tree)))
+            border = (s == 0) | (s + size == len(tree))
+            if level == LEAST:
+                take = border | (size > 1)
+                wide = np.repeat(border | (size > crowd), size)
+            else:
+                take = wide[s] & (border | (size > 1))
+            if take.any():
+                at = s[take]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tree[at].astype(np.int32)), pa.array(np.full(len(at), level, np.int32)), pa.array([text[k, :level].tobytes() for k in at], pa.binary()), pa.array(size[take].astype(np.int64))]
+                    + [pa.array(v) for v in (np.add.reduceat(n, s)[take], np.bitwise_xor.reduceat(node[:, 0], s)[take], np.bitwise_xor.reduceat(node[:, 1], s)[take])],
+                    names=["tree", "level", "key", "members", "weight", "x", "y"],
+                )
+
+    order = ("tree", "string", "node")
+    found = strings.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(scan, "tree int, level int, key binary, members long, weight long, x long, y long")
+    return found.groupBy("tree", "level", "key").agg(F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("members > 1")
+
+
+def lengths_needed(sizes: np.ndarray, crowded: np.ndarray, recall: float) -> np.ndarray:
+    """Prefix lengths, nodes x trees, from the members at each length (nodes x trees x levels): crowded trees start from
+    whole strings and are shortened where a gained chance costs the fewest members, until the recall is reached."""
+    chance = np.array([misses(k) for k in range(LEAST, DEPTH + 1)])
+    at = np.where(crowded, DEPTH - LEAST, 0)
+    target, rows = math.log1p(-recall), np.arange(len(at))
+    for _ in range(at.shape[1] * (DEPTH - LEAST)):
+        short = chance[at].sum(axis=1) > target
+        if not (short & (at > 0).any(axis=1)).any():
+            break
+        below = np.maximum(at - 1, 0)
+        gain = chance[at] - chance[below]
+        cost = 1 + np.take_along_axis(sizes, below[:, :, None], 2)[:, :, 0] - np.take_along_axis(sizes, at[:, :, None], 2)[:, :, 0]
+        pick = np.where(at > 0, gain / cost, -1).argmax(axis=1)
+        at[rows, pick] -= short & (at[rows, pick] > 0)
+    return at + LEAST
+
+
+def _needs(trees: int, recall: float):
+    """Crowded strings of a node, with members by level -> the length that each needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            sizes = np.ones((len(nodes), trees, DEPTH - LEAST + 1), dtype=np.int64)
+            crowded, strings = np.zeros((len(nodes), trees), dtype=bool), {}
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                for e in found:
+                    sizes[i, e["tree"], e["level"] - LEAST] = e["members"]
+                    crowded[i, e["tree"]] = True
+                    strings[i, e["tree"]] = e["string"]
+            need = lengths_needed(sizes, crowded, recall)
+            keys = list(strings)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[i] for i, _ in keys], pa.binary()), pa.array([t for _, t in keys], pa.int32()), pa.array([strings[k] for k in keys], pa.binary()), pa.array([int(need[k]) for k in keys], pa.int32())],
+                names=["node", "tree", "string", "need"],
+            )
+
+    return run
+
+
+def crowded_parts(strings: DataFrame, runs: DataFrame, trees: int, recall: float, crowd: int) -> DataFrame:
+    """node, tree, key: the part of the trie that each node of a crowded prefix belongs to."""
+    crowds = runs.filter((F.col("level") == LEAST) & (F.col("members") > crowd)).select("tree", F.col("key").alias("short"))
+    inside = strings.select("node", "tree", "string", F.substring("string", 1, 2 * LEAST).alias("short")).join(crowds, ["tree", "short"])
+    at = lambda length: F.expr(f"substring(string, 1, 2 * {length})")
+    levels = inside.withColumn("level", F.explode(F.sequence(F.lit(LEAST), F.lit(DEPTH)))).withColumn("key", at("level"))
+    sized = levels.join(runs.select("tree", "level", "key", "members"), ["tree", "level", "key"])
+    needs = written(
+        sized.groupBy("node").agg(F.collect_list(F.struct("tree", "level", "string", "members")).alias("found")).mapInArrow(_needs(trees, recall), "node binary, tree int, string binary, need int"), "needs"
+    )
+    # Cut the trie above whatever any string below a prefix needs.
+    cuts = needs.select("tree", F.col("need").alias("level"), at("need").alias("key")).distinct()
+    above = needs.withColumn("level", F.explode(F.sequence(F.lit(LEAST), F.col("need")))).withColumn("key", at("level"))
+    return above.join(cuts, ["tree", "level", "key"]).groupBy("node", "tree").agg(F.min(F.struct("level", "key"))["key"].alias("key"))
+
+
 def _sets_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,32 +295,45 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL, tile: int = TILE, more: tuple[str, ...] = (), choose: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL, tile: int = TILE, crowd: int = CROWD, more: tuple[str, ...] = (), choose: bool = False) -> DataFrame:
     """One row per document: id, class_id, n_links (other documents of similarity 0.8 or more), n_texts (different sets among them); with ``more``, those columns too.
 
     With ``choose`` also chosen: true for one id and ``more`` of a class (the class id, by the smallest node and ``more``) and where there are no shingles."""
     num, den = SIMILARITY
-    length = prefix_length(trees, DEPTH, num / den, recall)
-    signed = written(signatures(docs, id_col, text_col, trees, length, more), "signatures")
+    signed = written(signatures(docs, id_col, text_col, trees, more), "signatures")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max(F.struct("keys"))["keys"].alias("keys"),
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("strings").alias("strings"),
         *([F.min(F.struct(F.col("id").isNull().alias("null"), "id", "more"))["more"].alias("first")] if choose else []),
     )
     nodes = written(nodes, "nodes")
-    strings = nodes.select("node", "n", F.posexplode("keys").alias("tree", "key"))
-    met = strings.groupBy("tree", "key").agg(
-        F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
-    ).filter("members > 1")
+    string = lambda t: F.substring("strings", 2 * DEPTH * t + 1, 2 * DEPTH)
+    strings = nodes.select("node", "n", F.posexplode(F.array(*[string(t) for t in range(trees)])).alias("tree", "string"))
+    parts = parts_for(docs.sparkSession, nodes.count() * trees * 64)
+    runs = written(runs_of(strings, parts, crowd), "runs")
+    key = F.substring("string", 1, 2 * LEAST)
+    met = runs.filter((F.col("level") == LEAST) & (F.col("members") <= crowd)).drop("level")
+    places, longer = strings.select("node", "tree", key.alias("key")), None
+    if runs.filter((F.col("level") == LEAST) & (F.col("members") > crowd)).limit(1).count():
+        longer = written(crowded_parts(strings, runs, trees, recall, crowd), "parts")
+        half = lambda k: F.conv(F.hex(F.substring("node", 8 * k + 1, 8)), 16, -10).cast("long")
+        sized = longer.join(nodes.select("node", "n"), "node").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), F.bit_xor(half(0)).alias("x"), F.bit_xor(half(1)).alias("y"))
+        met = met.unionByName(sized.filter("members > 1"))
+        places = places.unionByName(longer.filter(F.octet_length("key") > 2 * LEAST).select("node", "tree", "key"))  # the shortest are there
     kept = met.groupBy("members", "weight", "x", "y").agg(F.min(F.struct("tree", "key")).alias("k")).select(
         "k.tree", "k.key", F.greatest(F.ceil(F.col("members") / tile), F.ceil(F.col("weight") / TILE_SHINGLES)).cast("int").alias("sides")
     )
-    members = written(strings.drop("n").join(kept, ["tree", "key"]), "members")
+    members = written(places.join(kept, ["tree", "key"]), "members")
     own = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     placed = (
         members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
         .select("node", "tree", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"))
     )
-    asked = members.select("node").distinct().join(nodes, "node").select("node", "least", "n", "copies", "keys")
+    asked = members.select("node").distinct().join(nodes, "node")
+    own_key = lambda t: F.substring("strings", 2 * DEPTH * t + 1, 2 * LEAST)
+    if longer is not None:
+        asked = asked.join(longer.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("longer")), "node", "left")
+        own_key = lambda t: F.coalesce(F.try_element_at("longer", F.lit(t)), F.substring("strings", 2 * DEPTH * t + 1, 2 * LEAST))
+    asked = asked.select("node", "least", "n", "copies", F.array(*[F.xxhash64(own_key(t)) for t in range(trees)]).alias("keys"))
     texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("text"))
     sets = _sets_of(texts.join(asked.filter("least IS NOT NULL").select("least").distinct(), "least", "left_semi").select("text"))
     nameless = _sets_of(texts.filter("least IS NULL").select("text"))

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from docloom.llm import jaccard_join
-from docloom.llm.jaccard_join import near_duplicates, op7_jaccard_join, prefix_length
+from docloom.llm.jaccard_join import CROWD, DEPTH, LEAST, RECALL, TREES, lengths_needed, misses, near_duplicates, op7_jaccard_join
 
 
 def sets_of(rows):
@@ -62,14 +62,23 @@ def run(spark, tables, rows, **kw):
 
 
 def test_prefixes_shorten_to_the_target():
-    assert prefix_length(24, 6, 0.8, 0.99) == 6 and prefix_length(24, 6, 0.8, 0.99999) == 4 and prefix_length(1, 6, 0.5, 0.9) == 1
+    import numpy as np
+
+    assert TREES * misses(LEAST) < np.log1p(-RECALL) < TREES * misses(5)
+    sizes = np.ones((3, TREES, DEPTH - LEAST + 1), dtype=np.int64)
+    crowded = np.zeros((3, TREES), dtype=bool)
+    crowded[1, :5], crowded[2] = True, True  # few crowded trees may stay whole; where all are, they shorten
+    sizes[1, :5] = sizes[2] = np.linspace(5000, 100, DEPTH - LEAST + 1)
+    need = lengths_needed(sizes, crowded, RECALL)
+    assert (need[0] == LEAST).all() and (need[1, :5] == DEPTH).all() and (need[1, 5:] == LEAST).all()
+    assert all(sum(misses(int(k)) for k in row) <= np.log1p(-RECALL) for row in need) and (need[2] == LEAST).any() and (need[2] > LEAST).any()
 
 
-@pytest.mark.parametrize("tile", [256, 4])
-def test_equals_brute_force(spark, tables, tile):
+@pytest.mark.parametrize("tile,crowd", [(256, CROWD), (4, 6)])
+def test_equals_brute_force(spark, tables, tile, crowd):
     rows = corpus(1, [(1, 80)] * 20 + [(2, 90)] * 10 + [(25, 120), (12, 400), (3, 6)])
     rows += [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "one  two"), (905, rows[0][1]), (905, rows[0][1]), (None, rows[0][1] + " tail"), (906, "z " * 3000), (907, "z " * 4000)]
-    assert run(spark, tables, rows, tile=tile) == brute(rows)
+    assert run(spark, tables, rows, tile=tile, crowd=crowd) == brute(rows)
 
 
 def test_large_tiles_and_few_pairs_agree():
