@@ -515,25 +515,53 @@ def compare(kind: Kind, docs: DataFrame, found: DataFrame, place: Place) -> Data
 
 
 def across(kind: Kind, docs: DataFrame, found: DataFrame, place: Place) -> DataFrame:
-    """Step 3: windows that may have an equal beyond their group's border, one row each, met by a 128-bit digest."""
+    """Step 3: windows that may have an equal beyond their group's border, one row each, met by a 128-bit digest; equal
+    ones that come together are one row."""
+
+    names = ["w", "rid1", "rid2", "x", "flags", "n", "sure"]
+
+    def reduced(w: list[bytes], rid1: np.ndarray, rid2: np.ndarray, x: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        """One row of equal windows goes to the meeting; the others that await a decision have it."""
+        slot = np.unique(np.frombuffer(b"".join(w), dtype="V16"), return_inverse=True)[1]
+        count = np.bincount(slot)[slot]
+        if kind.words:
+            least = np.full(slot.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, slot, rid1)
+            sure = (rid1 > least[slot]) & (f & ASKS > 0)
+            stays = rid1 == least[slot]
+            one = np.zeros(len(w), dtype=bool)
+            one[np.flatnonzero(stays)[np.unique(slot[stays], return_index=True)[1]]] = True
+            goes = one | stays & (f & ASKS > 0)
+        else:
+            sure = (count > 1) & (f & ASKS > 0)
+            goes = np.zeros(len(w), dtype=bool)
+            goes[np.unique(slot, return_index=True)[1]] = True
+        f = np.where(sure, 0, f)
+        at = np.flatnonzero(goes | sure)
+        n = np.where(goes, 1 if kind.words else count, 0)
+        columns = [pa.array([w[i] for i in at], pa.binary()), pa.array(rid1[at]), pa.array(rid2[at]), pa.array(x[at]), pa.array(f[at].astype(np.int32)), pa.array(n[at].astype(np.int64)), pa.array(sure[at])]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, rows = [], []
         for batch in batches:
             for rid1, rid2, tokens, reps in _each_document(kind, batch):
-                w, x, f = [], [], []
-                for rep, right in zip(reps, contexts_of(kind, tokens, reps)[0]):
+                for rep in reps:
+                    p, f = int(rep["pos"]), int(rep["flags"])
+                    right = tokens[p : p + kind.window - int(rep["o1"])].tobytes()
                     for o in range(max(int(rep["o1"]), place(right)[1]), int(rep["o2"]) + 1):
-                        at = int(rep["pos"]) - o
-                        w.append(hashlib.blake2b(tokens[at : at + kind.window].tobytes(), digest_size=16).digest())
-                        x.append(at)
-                        f.append(int(rep["flags"]))
-                n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(np.full(n, rid1)), pa.array(np.full(n, rid2)), pa.array(x, pa.int64()), pa.array(f, pa.int32())], names=["w", "rid1", "rid2", "x", "flags"])
-
-    rows = _asked(docs, found).mapInArrow(windows, "w binary, rid1 long, rid2 long, x long, flags int")
-    met = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("rid1").alias("least")).filter("n > 1")
-    again = F.col("rid1") > F.col("least") if kind.words else F.col("n") > 1
-    hits = rows.filter(F.col("flags").bitwiseAND(ASKS) > 0).join(met, "w").filter(again)
+                        w.append(hashlib.blake2b(tokens[p - o : p - o + kind.window].tobytes(), digest_size=16).digest())
+                        rows.append((rid1, rid2, p - o, f))
+                if len(w) >= 1 << 17:
+                    yield reduced(w, *np.array(rows, dtype=np.int64).T)
+                    w, rows = [], []
+        if w:
+            yield reduced(w, *np.array(rows, dtype=np.int64).T)
+
+    rows = written(_asked(docs, found).mapInArrow(windows, "w binary, rid1 long, rid2 long, x long, flags int, n long, sure boolean"), "across")
+    met = rows.filter("n > 0").groupBy("w").agg(F.sum("n").alias("times"), F.min("rid1").alias("least")).filter("times > 1")
+    again = F.col("rid1") > F.col("least") if kind.words else F.col("times") > 1
+    hits = rows.filter(F.col("flags").bitwiseAND(ASKS) > 0).join(met, "w").filter(again).select("rid1", "rid2", "x").unionByName(rows.filter("sure").select("rid1", "rid2", "x"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -543,7 +571,7 @@ def across(kind: Kind, docs: DataFrame, found: DataFrame, place: Place) -> DataF
             if len(x):
                 yield _by_document(batch.column(0).to_numpy(), batch.column(1).to_numpy(), out)
 
-    return hits.select("rid1", "rid2", "x").mapInArrow(pack, _RECORDS)
+    return hits.mapInArrow(pack, _RECORDS)
 
 
 def repeated_windows(kind: Kind, docs: DataFrame, id_col: str, text_col: str, placed, keep: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
