@@ -1,11 +1,11 @@
-"""Operator 10, exact duplicates: a tree of grouped aggregates over digest runs, in DataFrame operations only.
+"""Operator 10, exact duplicates: a tree merge of sorted digest runs, in DataFrame operations only.
 
-Each input partition is a run: its (digest, length, second hash) keys, one entry per key with the smallest
-identifier and a count. In rounds, ``FAN_IN`` neighbouring runs merge into one by an aggregate grouped on run and
-key (no merge makes use of the order within runs); every merge keeps the smallest identifier of a key, so the last
-run holds the answer for the whole table. A key
-is verified by SHA-256, byte length and an independent 64-bit hash, at every level. A hot text is one entry per
-run after the first level, so no task receives its copies.
+Each input partition is a run: its (digest, length, second hash) keys in order, one entry per key with the smallest
+identifier and a count. In binomial rounds, run 2i + 1 goes to run 2i: the two runs' slices (entries whose digests begin
+alike) are exchanged, brought into one order and merged by a sorted aggregate, which keeps the smallest identifier of a
+key. The last run holds the answer for the whole table. A key is verified by SHA-256, byte length and an independent
+64-bit hash, at every level. A hot text is one entry per run after the first level, so no task receives its copies; the
+slices of a run spread over all tasks, so the last rounds use all of them too.
 
 Defined results: null text counts as the empty text; null ids lose to others and form the kept row only where a
 group has no other; rows repeating both id and text share their fate; extra columns are ignored or passed on.
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import SPACES, table, without, written
 
-#: Runs that meet in one merge; a round costs one shuffle of the distinct keys of each run.
-FAN_IN = 32
+#: Runs that meet in one merge; a round costs one shuffle of the distinct keys of each run, some 80 bytes a key.
+FAN_IN = 2
+KEY = ("digest", "n_bytes", "check")
 
 
 def normalised(text: Column) -> Column:
@@ -38,18 +39,22 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).sortWithinPartitions("digest")
 
 
+def _merged(entries: DataFrame, count: Column) -> DataFrame:
+    """One entry per run and key; entries that come in order leave in order. A null identifier loses to any other."""
+    least = F.min(F.struct(F.col("keep_id").isNull().alias("none"), F.col("keep_id").alias("id")))
+    return entries.groupBy("run", "slice", *KEY).agg(least["id"].alias("keep_id"), count.alias("group_size"))
+
+
 def merge_runs(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """The last run of the merge tree: one row per distinct key with ``keep_id`` and ``group_size``."""
-    key = ["digest", "n_bytes", "check"]
-    level = runs.groupBy("run", *key).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = runs.select("run", F.substring("digest", 1, 2).alias("slice"), *KEY, F.col("id").alias("keep_id"))
+    level = _merged(sliced, F.count(F.lit(1)))
     while n_runs > 1:
         n_runs = -(-n_runs // fan_in)
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", *key)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
-    return level.drop("run")
+        meeting = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition(parts, "run", "slice")
+        level = _merged(meeting.sortWithinPartitions("run", "slice", *KEY), F.sum("group_size"))
+    return level.drop("run", "slice")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
@@ -57,7 +62,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = written(digest_runs(docs, id_col, text_col), "digest-runs")
     n_runs = (runs.agg(F.max("run").alias("m")).first()["m"] or 0) + 1
     best = merge_runs(runs, n_runs, fan_in)
-    return runs.drop("run").join(best, ["digest", "n_bytes", "check"]).select(
+    return runs.drop("run").join(best, list(KEY)).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
