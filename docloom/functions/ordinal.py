@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,12 +11,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new place in the folder of ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
+    """A new place in the folder of ``spark.checkpoint.dir``. Only a local master may go without: there a temporary
+    folder, one for each session, is shared by definition; a cluster without the setting is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        key = spark.sparkContext.applicationId
+        if key not in _LOCAL:
+            _LOCAL[key] = tempfile.mkdtemp(prefix="docloom-")
+            atexit.register(shutil.rmtree, _LOCAL[key], ignore_errors=True)
+        at = "file://" + _LOCAL[key]
     return f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -54,7 +54,8 @@ def claude(df: DataFrame, prompt: str = "", out: str = "message") -> DataFrame:
     said = F.array_join(F.filter(F.array(_prompt(df, prompt), F.col("text")), lambda t: F.length(t) > 0), "\n\n")
     ok = lambda i: _usable(i) & (~i.startswith("data:image/") | i.contains(","))
     bare = lambda i: F.when(i.startswith("data:image/"), F.regexp_extract(i, r"(?s)\A[^,]*,(.*)\z", 1)).otherwise(i)
-    pictures = F.transform(F.filter(_images(df), ok), lambda i: F.to_json(F.struct(F.lit("image").alias("type"), F.struct(F.lit("base64").alias("type"), F.lit("image/png").alias("media_type"), bare(i).alias("data")).alias("source"))))
+    kind = lambda i: F.when(i.startswith("data:image/"), F.regexp_extract(i, r"\Adata:([^;,]*)", 1)).otherwise(F.lit("image/png"))
+    pictures = F.transform(F.filter(_images(df), ok), lambda i: F.to_json(F.struct(F.lit("image").alias("type"), F.struct(F.lit("base64").alias("type"), kind(i).alias("media_type"), bare(i).alias("data")).alias("source"))))
     text = F.to_json(F.struct(F.lit("text").alias("type"), said.alias("text")))
     return df.withColumn(out, _message(F.concat(_some(text, F.length(said) > 0), pictures)))
 

@@ -1,4 +1,4 @@
-"""Ordered folds of many attachments into one: one shuffle on the group, never an unordered collection.
+"""Ordered folds of many rows into one: one shuffle on the group, never an unordered collection.
 
 A fold's result is one value by definition; groups are what a message or a document holds, so their size is the
 caller's. Texts are gathered as (order, text) and sorted before they are joined.

@@ -248,11 +248,18 @@ def image_markdown(df: DataFrame) -> DataFrame:
 
 
 def images(df: DataFrame) -> DataFrame:
-    """PNG content as data URLs; other formats need a decoder that is not here and set ``images_error``."""
-    png = F.hex(F.substring("content", 1, 4)) == "89504E47"
+    """Content as data URLs of its own type, told by its first bytes; formats that no data URL can carry need a renderer
+    that is not here and set ``images_error``."""
+    head = F.hex(F.substring("content", 1, 12))
+    brand = F.substring("content", 9, 4).cast("string")
+    kind = (
+        F.when(head.startswith("89504E47"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("47494638"), "gif").when(head.startswith("424D"), "bmp")
+        .when(head.rlike("^52494646.{8}57454250"), "webp").when(head.rlike("^.{8}66747970") & brand.isin("heic", "heix", "heif", "mif1", "msf1", "hevc"), "heic")
+        .when(F.decode(F.substring("content", 1, 1024), "ISO-8859-1").rlike(r"(?i)\A\s*<[\s\S]*?svg[\s>]"), "svg+xml")
+    )
     return df.withColumns({
-        "images": F.when(png, F.array(F.concat(F.lit("data:image/png;base64,"), F.base64("content")))).otherwise(F.expr("cast(array() as array<string>)")),
-        "images_error": F.when(~F.coalesce(png, F.lit(False)), F.lit("no renderer for this format is registered")),
+        "images": F.when(kind.isNotNull(), F.array(F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64("content")))).otherwise(F.expr("cast(array() as array<string>)")),
+        "images_error": F.when(kind.isNull(), F.lit("no renderer for this format is registered")),
     })
 
 

@@ -56,27 +56,33 @@ def sentences(df: DataFrame, text: str = "text") -> DataFrame:
     return _spread(df, _parts(F.col(text), rf"[.!?]+{W}+"), _numbered("sentence"), "sentence", {}, True)
 
 
-def custom(df: DataFrame, separator: str = "\n---\n", text: str = "text") -> DataFrame:
-    quoted = r"\Q" + separator.replace(r"\E", r"\E\\E\Q") + r"\E"
+def _given(value) -> Column:
+    """An option as a column: a value for all rows, or each row's own."""
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def custom(df: DataFrame, separator: str | Column = "\n---\n", text: str = "text") -> DataFrame:
+    separator = _given(separator)
+    quoted = F.concat(F.lit(r"\Q"), F.replace(separator, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     pieces = F.filter(F.transform(F.split(F.col(text), quoted, -1), lambda p: strip(p)), lambda p: p != "")
-    return _spread(df, pieces, _numbered("custom"), "custom", {"separator": lambda p, i: F.lit(separator)}, True)
+    return _spread(df, pieces, _numbered("custom"), "custom", {"separator": lambda p, i: separator}, True)
 
 
-def characters(df: DataFrame, limit: int = 1000, text: str = "text") -> DataFrame:
-    c, n = F.col(text), F.length(text)
-    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(limit)), lambda s: F.struct(
-        F.substring(c, s + 1, F.lit(limit)).alias("text"), s.alias("start"), F.least(s + limit, n).alias("end"))))
-    fields = {"char_start": lambda p, i: p["start"], "char_end": lambda p, i: p["end"], "char_limit": lambda p, i: F.lit(limit)}
+def characters(df: DataFrame, limit: int | Column = 1000, text: str = "text") -> DataFrame:
+    c, n, limit = F.col(text), F.length(text), _given(limit)
+    pieces = F.when((n > 0) & (limit > 0), F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.greatest(limit, F.lit(1))), lambda s: F.struct(
+        F.substring(c, s + 1, limit).alias("text"), s.alias("start"), F.least(s + limit, n).alias("end"))))
+    fields = {"char_start": lambda p, i: p["start"], "char_end": lambda p, i: p["end"], "char_limit": lambda p, i: limit}
     label = lambda p, i: F.concat(F.lit("chars-"), (p["start"] + 1).cast("string"), F.lit("-"), p["end"].cast("string"))
     return _spread(df, pieces, label, "characters", fields, False)
 
 
-def lines(df: DataFrame, per_chunk: int = 50, text: str = "text") -> DataFrame:
-    every = F.split(F.col(text), "\n", -1)
+def lines(df: DataFrame, per_chunk: int | Column = 50, text: str = "text") -> DataFrame:
+    every, per_chunk = F.split(F.col(text), "\n", -1), _given(per_chunk)
     n = F.size(every)
-    pieces = F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(per_chunk)), lambda s: F.struct(
-        F.array_join(F.slice(every, s + 1, F.lit(per_chunk)), "\n").alias("text"), (s + 1).alias("first"), F.least(s + per_chunk, n).alias("last"))))
-    fields = {"line_start": lambda p, i: p["first"], "line_end": lambda p, i: p["last"], "lines_per_chunk": lambda p, i: F.lit(per_chunk)}
+    pieces = F.when((F.length(text) > 0) & (per_chunk > 0), F.transform(F.sequence(F.lit(0), n - 1, F.greatest(per_chunk, F.lit(1))), lambda s: F.struct(
+        F.array_join(F.slice(every, s + 1, F.greatest(per_chunk, F.lit(1))), "\n").alias("text"), (s + 1).alias("first"), F.least(s + per_chunk, n).alias("last"))))
+    fields = {"line_start": lambda p, i: p["first"], "line_end": lambda p, i: p["last"], "lines_per_chunk": lambda p, i: per_chunk}
     label = lambda p, i: F.concat(F.lit("lines-"), p["first"].cast("string"), F.lit("-"), p["last"].cast("string"))
     return _spread(df, pieces, label, "lines", fields, False)
 
@@ -96,16 +102,19 @@ def token_windows(text: str, limit: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def tokens(df: DataFrame, limit: int = 500, text: str = "text") -> DataFrame:
+def tokens(df: DataFrame, limit: int | Column = 500, text: str = "text") -> DataFrame:
+    limit = _given(limit)
+
     @F.pandas_udf("array<struct<text:string,start:int,end:int>>")
-    def windows(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [{"text": c, "start": a, "end": b} for c, a, b in token_windows(t, limit)])
+    def windows(texts: pd.Series, limits: pd.Series) -> pd.Series:
+        given = ([] if t is None or not n > 0 else token_windows(t, int(n)) for t, n in zip(texts, limits))
+        return pd.Series([[{"text": c, "start": a, "end": b} for c, a, b in found] for found in given], dtype=object)
 
     fields = {
-        "token_limit": lambda p, i: F.lit(limit), "estimated_tokens": lambda p, i: (F.length(p["text"]) / 4).cast("int"),
+        "token_limit": lambda p, i: limit, "estimated_tokens": lambda p, i: (F.length(p["text"]) / 4).cast("int"),
         "char_start": lambda p, i: p["start"], "char_end": lambda p, i: p["end"],
     }
-    return _spread(df, windows(F.col(text)), _numbered("tokens"), "tokens", fields, False)
+    return _spread(df, windows(F.col(text), limit.cast("int")), _numbered("tokens"), "tokens", fields, False)
 
 
 def rows(df: DataFrame, keys: list, per_chunk: int = 100) -> DataFrame:

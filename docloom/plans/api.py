@@ -24,7 +24,7 @@ REFERENCES = (
 )
 
 
-class Attachments:
+class Context:
     """``df`` is the processed table, made when first asked for and kept; the properties fold it."""
 
     def __init__(self, spark: SparkSession, *paths: str | list[str], prompt: str | None = None):
@@ -42,7 +42,8 @@ class Attachments:
             if described:
                 more = canonical(self.spark.createDataFrame(described, "ord long, attachy string, path string, commands map<string,string>, kind string, text string")).withColumn("processor", F.lit("directory")).select(*route.RENDERED)
                 done = more if done is None else done.unionByName(more)
-            split = route.split_as_asked(done if done is not None else rows.withColumn("processor", F.lit("universal")).select(*route.RENDERED))
+            splits = any("split" in r[3] for r in plain)
+            split = (route.split_as_asked if splits else route.unsplit)(done if done is not None else rows.withColumn("processor", F.lit("universal")).select(*route.RENDERED))
             self._df = split.persist()  # each property folds it anew
         return self._df
 
@@ -98,7 +99,10 @@ class Attachments:
     def metadata(self) -> dict:
         if not self.references:
             return {"prompt_only": True, "original_prompt": self.prompt}
-        return {"file_count": len(self), "image_count": len(self.images), "files": [r["path"] for r in self.df.orderBy(*self._order()).select("path").toLocalIterator()]}
+        real = F.size(F.filter("images", lambda i: ~i.endswith("_placeholder")))
+        rows = self.df.orderBy(*self._order()).select("path", F.coalesce(F.length("text"), F.lit(0)).alias("text_length"), real.alias("image_count"), "metadata")
+        files = [{**r.asDict(), "metadata": dict(r["metadata"] or {})} for r in rows.toLocalIterator()]
+        return {"file_count": len(files), "image_count": sum(f["image_count"] for f in files), "files": files}
 
     def __len__(self) -> int:
         return self.df.count() if self.references else 0
@@ -107,7 +111,11 @@ class Attachments:
         return iter(self.df.orderBy(*self._order()).toLocalIterator()) if self.references else iter(())
 
     def __getitem__(self, i: int):
-        return self.df.orderBy(*self._order()).collect()[i]
+        at = i if i >= 0 else len(self) + i
+        rows = self.df.orderBy(*self._order()).offset(at).limit(1).collect() if at >= 0 else []
+        if not rows:
+            raise IndexError(i)
+        return rows[0]
 
     def __getattr__(self, name: str):
         if name not in adapt.ADAPTERS:
@@ -120,8 +128,8 @@ class Attachments:
         return message
 
 
-def process(spark: SparkSession, *paths: str) -> Attachments:
-    return Attachments(spark, *paths)
+def process(spark: SparkSession, *paths: str) -> Context:
+    return Context(spark, *paths)
 
 
 simple = process
@@ -132,7 +140,7 @@ def referenced(prompt: str) -> list[str]:
     return list(dict.fromkeys(m for p in REFERENCES for m in re.findall(p, prompt)))
 
 
-def auto_attach(spark: SparkSession, prompt: str, root_dir: str | list[str] | None = None) -> Attachments:
+def auto_attach(spark: SparkSession, prompt: str, root_dir: str | list[str] | None = None) -> Context:
     roots = [os.getcwd()] if root_dir is None else [root_dir] if isinstance(root_dir, str) else list(root_dir)
     found = []
     for ref in referenced(prompt):
@@ -144,7 +152,7 @@ def auto_attach(spark: SparkSession, prompt: str, root_dir: str | list[str] | No
             if not re.match("https?://", root) and os.path.exists(at.split("[")[0]):
                 found.append(ref if os.path.isabs(ref) else at)
                 break
-    return Attachments(spark, *found, prompt=prompt)
+    return Context(spark, *found, prompt=prompt)
 
 
 def references_in(df: DataFrame, text: str = "text") -> DataFrame:

@@ -1,7 +1,6 @@
 """The catalogue: each operator applied to a table, and the same in DuckDB SQL.
 
-Queries return flat scalar columns; digests stand for long texts. Every query runs over its whole table, but ``suggest_command``
-and ``scanned_heuristic`` cut texts short, as their SQL does.
+Queries return flat scalar columns; digests stand for long texts. Every query runs over its whole table and whole texts.
 """
 
 from __future__ import annotations
@@ -12,11 +11,11 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import dsl, matchers, ordinal
+from docloom.functions import dsl, matchers, ordinal, register as user
 from docloom.functions import text as text_fn
 from docloom.operators import adapt, fold, html, modify, present, refine, split
-from docloom.plans import api, route
-from docloom.sources import decode, directories
+from docloom.plans import api, route, verbs
+from docloom.sources import decode, directories, files
 from docloom.streaming import apply as streaming
 
 QUERIES: dict = {}
@@ -169,17 +168,17 @@ def modify_pages_spec(spark, sf):
 
 @query(r"""
 WITH v AS (SELECT unnest(['plain', 'text', 'txt', 'markdown', 'md', 'html', 'code', 'xml', 'csv', 'structured']) AS v, unnest(range(0, 10)) AS i),
-w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(substr(text, 1, 400), ' ')) AS word FROM documents) WHERE regexp_matches(word, '^[a-zA-Z]{2,8}$'))
+w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE regexp_matches(word, '^[a-zA-Z]+$'))
 SELECT word, (SELECT v FROM v WHERE levenshtein(word, v) <= 2 ORDER BY levenshtein(word, v), i LIMIT 1) AS suggestion FROM w""")
 def suggest_command(spark, sf):
-    words = t(spark, sf, "documents").select(F.explode(F.split(F.substring("text", 1, 400), " ")).alias("word")).filter(F.col("word").rlike(r"\A[a-zA-Z]{2,8}\z")).distinct()
+    words = t(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word")).filter(F.col("word").rlike(r"\A[a-zA-Z]+\z")).distinct()
     return words.select("word", dsl.suggestion(F.col("word"), dsl.FORMATS).alias("suggestion"))
 
 
 @query(r"""
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '''format''' WHEN 1 THEN '''limit''' WHEN 3 THEN '''lines'', ''select''' END AS unused FROM documents""")
+SELECT doc_id, replace(CASE doc_id % 5 WHEN 0 THEN '`format` (did you mean `format`?)' WHEN 1 THEN '`limit` (did you mean `limit`?)' WHEN 3 THEN '`lines` (did you mean `lines`?), `select` (did you mean `select`?)' END, '`', '''') AS unused FROM documents""")
 def unused_commands(spark, sf):
-    return refine.report_unused_commands(dsl.parsed(notation(spark, sf)), ["pages"]).select("doc_id", F.regexp_replace("unused_commands", r" \(did you mean '[a-z_]+'\?\)", "").alias("unused"))
+    return refine.report_unused_commands(dsl.parsed(notation(spark, sf)), ["pages"]).select("doc_id", F.col("unused_commands").alias("unused"))
 
 
 @query(r"""
@@ -431,12 +430,11 @@ def metadata_bullets(spark, sf):
 
 
 @query(r"""
-WITH g AS (SELECT source AS path, count(*) AS total_pages, count(*) FILTER (length(trim(text, E' \n\t\r')) > 0) AS pages_with_text, sum(length(trim(text, E' \n\t\r')))::DOUBLE AS n FROM (SELECT source, CASE WHEN doc_id % 3 = 0 OR source IN ('src1', 'src2') THEN left(text, 15) ELSE text END AS text FROM documents) GROUP BY source)
+WITH g AS (SELECT source AS path, count(*) AS total_pages, count(*) FILTER (length(trim(text, E' \n\t\r')) > 0) AS pages_with_text, sum(length(trim(text, E' \n\t\r')))::DOUBLE AS n FROM documents GROUP BY source)
 SELECT path, total_pages, pages_with_text, round(n / total_pages, 6) AS avg_text_per_page, pages_with_text = 0 OR n / total_pages < 50 OR pages_with_text / total_pages < 0.3 AS is_likely_scanned,
   CASE WHEN NOT (pages_with_text = 0 OR n / total_pages < 50 OR pages_with_text / total_pages < 0.3) THEN 'good' WHEN n / total_pages < 20 THEN 'poor' ELSE 'limited' END AS text_extraction_quality FROM g""")
 def scanned_heuristic(spark, sf):
-    short = F.when((F.col("doc_id") % 3 == 0) | F.col("source").isin("src1", "src2"), F.left("text", F.lit(15))).otherwise(F.col("text"))
-    return present.scanned(t(spark, sf, "documents").select(F.col("source").alias("path"), short.alias("text"))).withColumn("avg_text_per_page", F.round("avg_text_per_page", 6))
+    return present.scanned(t(spark, sf, "documents").select(F.col("source").alias("path"), "text")).withColumn("avg_text_per_page", F.round("avg_text_per_page", 6))
 
 
 # --- pages -------------------------------------------------------------------------------------------------------
@@ -499,12 +497,11 @@ def glob_filter(spark, sf):
 
 
 @query(r"""
-SELECT conv_id, turn, 'data_' || conv_id || '.csv' || chr(10) || 'my report.pdf[pages:1-' || turn || ']' || chr(10) || 'https://example.com/p' AS refs FROM conversations""")
+SELECT conv_id, turn, 'data_' || conv_id || '.csv' || chr(10) || 'report.pdf' || chr(10) || 'example.com' || chr(10) || 'my report.pdf[pages:1-' || turn || ']' || chr(10) || 'https://example.com/p' AS refs FROM conversations""")
 def auto_attach_refs(spark, sf):
     said = F.concat(F.lit("see data_"), F.col("conv_id").cast("string"), F.lit('.csv and "my report.pdf[pages:1-'), F.col("turn").cast("string"), F.lit(']" at https://example.com/p now'))
     found = api.references_in(t(spark, sf, "conversations").select("conv_id", "turn", said.alias("prompt")), "prompt")
-    keep = F.filter("references", lambda r: r.startswith("data_") | r.startswith("my report") | r.startswith("https"))
-    return found.select("conv_id", "turn", F.array_join(keep, "\n").alias("refs"))
+    return found.select("conv_id", "turn", F.array_join("references", "\n").alias("refs"))
 
 
 @query(r"""
@@ -681,6 +678,321 @@ def stream_sentences(spark, sf):
     return spark.read.schema("doc_id long, text string").parquet(f"{at}/out")
 
 
+# --- more of the notation, loaders and splitters ----------------------------------------------------------------------
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '"[pages:' || doc_id || ']"' ELSE 'f' || doc_id END AS path, (doc_id % 2)::INT AS n_commands FROM documents""")
+def only_commands_guard(spark, sf):
+    no = F.col("doc_id").cast("string")
+    given = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"[pages:'), no, F.lit(']"'))).otherwise(F.concat(F.lit("f"), no, F.lit("[limit:3]")))
+    p = dsl.parsed(t(spark, sf, "documents").select("doc_id", given.alias("attachy")))
+    return p.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("attachy")).otherwise(F.col("path")).alias("path"), F.size("commands").alias("n_commands"))
+
+
+@query("SELECT doc_id, array_to_string(list_concat(range(1, 2 + doc_id % 4), [8]), ',') AS selected FROM documents")
+def slide_list_spec(spark, sf):
+    spec = F.concat(F.lit("2-"), (2 + F.col("doc_id") % 4).cast("string"), F.lit(",-1"))
+    return t(spark, sf, "documents").select("doc_id", F.array_join(F.transform(dsl.slide_list(spec, F.lit(9)), lambda p: p.cast("string")), ",").alias("selected"))
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT (SELECT count(*) - 7 FROM part)")
+def modify_limit_negative(spark, sf):
+    return modify.limit(t(spark, sf, "part").select("p_partkey"), -7, ["p_partkey"])
+
+
+@query("""
+WITH d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS slide_number FROM documents)
+SELECT source, slide_number::INT AS slide_number, CASE slide_number WHEN 3 THEN 0 ELSE 1 END::INT AS page_order FROM d WHERE slide_number IN (1, 3)""")
+def modify_slides(spark, sf):
+    return modify.slides(_numbered_documents(spark, sf).withColumnsRenamed({"page_number": "slide_number", "total_pages": "total_slides"}), "3,1").select("source", "slide_number", "page_order")
+
+
+def _numbered_documents(spark, sf) -> DataFrame:
+    """Each source as a document whose pages are its rows."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source")
+    return t(spark, sf, "documents").withColumns({"path": F.col("source"), "page_number": F.row_number().over(w.orderBy("doc_id")), "total_pages": F.count(F.lit(1)).over(w).cast("int")})
+
+
+@query("""SELECT doc_id, source || '#page-' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS path, 'page' AS chunk_type, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS chunk_index,
+  (count(*) OVER (PARTITION BY source))::INT AS total_pages, source AS original_path, text FROM documents""")
+def split_pages(spark, sf):
+    return split.pages(_numbered_documents(spark, sf)).select("doc_id", "path", "chunk_type", "chunk_index", "total_pages", "original_path", "text")
+
+
+@query("""SELECT doc_id, source || '#slide-' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS path, 'slide' AS chunk_type, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS chunk_index,
+  (count(*) OVER (PARTITION BY source))::INT AS total_slides, text FROM documents""")
+def split_slides(spark, sf):
+    return split.slides(_numbered_documents(spark, sf).withColumnsRenamed({"page_number": "slide_number", "total_pages": "total_slides"})).select("doc_id", "path", "chunk_type", "chunk_index", "total_slides", "text")
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' WHEN 2 THEN 'svg' WHEN 3 THEN 'eps' WHEN 4 THEN 'image' ELSE 'text' END AS kind, doc_id % 6 = 4 AS is_binary FROM documents""")
+def morph_to_detected(spark, sf):
+    """Files without an ending, told by content type or first bytes."""
+    k = F.col("doc_id") % 6
+    heads = ("%PDF-1.4", "a,b\n1,2", '<svg xmlns="http://www.w3.org/2000/svg"/>', "%!PS-Adobe-3.0", None, "plain words")
+    content = F.unhex(F.lit("89504E470D0A1A0A00"))
+    for i, h in enumerate(heads):
+        if h is not None:
+            content = F.when(k == i, F.encode(F.lit(h), "UTF-8")).otherwise(content)
+    given = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.lit("").alias("content_type"), content.alias("content"))
+    return modify.morph_to_detected_type(given).select("doc_id", "kind", "is_binary")
+
+
+@query("SELECT doc_id, text, 'text' AS kind FROM documents")
+def load_text(spark, sf):
+    given = docs(spark, sf).select("doc_id", "path", F.encode("text", "UTF-8").alias("content"), F.lit("").alias("text"))
+    return verbs.load.text_to_string(given).select("doc_id", "text", "kind")
+
+
+@query("SELECT page_id, html, '' AS text, 'html' AS kind FROM pages")
+def load_html(spark, sf):
+    given = t(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit("").alias("text"))
+    return verbs.load.html_to_bs4(given).select("page_id", "html", "text", "kind")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+def load_csv(spark, sf):
+    at = ordinal.shared_path(spark, "csv")
+    t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").write.csv(at, header=True)
+    return files.csv_table(spark, at, "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN '# doc/' || doc_id || '.txt' || chr(10) || chr(10) || left(text, 100) || '...' ELSE '# doc/' || doc_id || '.txt' || chr(10) || chr(10) || text END AS text FROM documents")
+def verb_pipeline(spark, sf):
+    plan = verbs.refine.no_op | verbs.refine.truncate(100) + verbs.refine.add_headers
+    return (verbs.Flow(docs(spark, sf)) | plan).df.select("doc_id", "text")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE text END AS text FROM documents")
+def verb_fallback(spark, sf):
+    first = verbs.Verb("first", lambda df: df.withColumn("error", F.when(F.col("ord") % 3 == 0, "fails")))
+    second = verbs.Verb("second", lambda df: df.withColumns({"error": F.lit(None).cast("string"), "text": F.lit("second")}))
+    return verbs.fallback(first, second)(docs(spark, sf).withColumn("ord", F.col("doc_id"))).select("doc_id", "text")
+
+
+@query("SELECT source, sum(length(text))::BIGINT AS characters, max(upper(left(text, 5))) AS last_start FROM documents GROUP BY source")
+def user_functions(spark, sf):
+    shout = user.scalar("string")(lambda v: v[:5].upper())
+    total = user.reducer("bigint")(lambda v: int(v.sum()))
+    d = t(spark, sf, "documents").select("source", shout(F.col("text")).alias("start"), F.length("text").alias("n"))
+    return d.groupBy("source").agg(total(F.col("n")).alias("characters")).join(d.groupBy("source").agg(F.max("start").alias("last_start")), "source")
+
+
+@query("SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations")
+def user_table_function(spark, sf):
+    words = user.table("word string")(lambda v: ((w,) for w in v.split(" ")))
+    spark.udtf.register("docloom_words", words)
+    t(spark, sf, "conversations").select("conv_id", "turn", "text").createOrReplaceTempView("docloom_talk")
+    return spark.sql("SELECT conv_id, turn, w.word FROM docloom_talk, LATERAL docloom_words(text) w")
+
+
+@query(f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1\\s*>', 1) AS a FROM pages)
+SELECT page_id, 'h1' AS selector, len(a)::INT AS selected_count, {_HTML_TEXT.format('a[1]')} AS selected_text FROM a""")
+def html_select_text(spark, sf):
+    return modify.select_html(t(spark, sf, "pages"), "h1").select("page_id", "selector", F.col("selected_count").cast("int"), "selected_text")
+
+
+# --- whole messages ---------------------------------------------------------------------------------------------------
+
+_PNG_URL = "data:image/png;base64,QUJDREVGRw=="
+
+
+@query(f"""SELECT doc_id, '[{{"role":"user","content":[{{"type":"text","text":"What is it?"}},{{"type":"text","text":' || to_json(text) || '}},{{"type":"image_url","image_url":{{"url":"{_PNG_URL}"}}}}]}}]' AS message FROM documents""")
+def message_openai(spark, sf):
+    d = docs(spark, sf).withColumn("images", F.array(F.lit(_PNG_URL), F.lit("page_1_placeholder")))
+    return adapt.openai(d, "What is it?").select("doc_id", "message")
+
+
+@query(f"""SELECT doc_id, '[{{"role":"user","content":[{{"type":"input_text","text":"What is it?"}},{{"type":"input_text","text":' || to_json(text) || '}},{{"type":"input_image","image_url":"{_PNG_URL}"}}]}}]' AS message FROM documents""")
+def message_openai_responses(spark, sf):
+    d = docs(spark, sf).withColumn("images", F.array(F.lit(_PNG_URL), F.lit("page_1_placeholder")))
+    return adapt.openai_responses(d, "What is it?").select("doc_id", "message")
+
+
+@query("""SELECT doc_id, '[{"role":"user","content":[{"type":"text","text":' || to_json('Look:' || chr(10) || chr(10) || text) || '},{"type":"image","source":{"type":"base64","media_type":"image/jpeg","data":"QUJDREVGRw=="}}]}]' AS message FROM documents""")
+def message_claude(spark, sf):
+    d = docs(spark, sf).withColumn("images", F.array(F.lit("data:image/jpeg;base64,QUJDREVGRw=="), F.lit("page_1_placeholder")))
+    return adapt.claude(d, "Look:").select("doc_id", "message")
+
+
+@query("""SELECT doc_id, '{"message":' || to_json('Sum up. ' || text) || ',"images":[{"url":"QUJDREVGR0hJSg=="}]}' AS message FROM documents""")
+def message_agno(spark, sf):
+    d = docs(spark, sf).withColumn("images", F.array(F.lit("QUJDREVGR0hJSg=="), F.lit("page_1_placeholder")))
+    return adapt.agno(d, "Sum up.").select("doc_id", "message")
+
+
+@query("""SELECT doc_id, '{"text":' || to_json(text) || ',"images":["QUJDREVGR0hJSg=="],"audio":[],"path":"doc/' || doc_id || '.txt","metadata":{}}' AS message FROM documents""")
+def message_dspy(spark, sf):
+    d = docs(spark, sf).withColumn("images", F.array(F.lit("QUJDREVGR0hJSg=="), F.lit("page_1_placeholder")))
+    return adapt.dspy(d).select("doc_id", "message")
+
+
+# --- texts of decoded documents -----------------------------------------------------------------------------------------
+
+@query(f"""SELECT 'f' || doc_id || '.pdf' AS path, 'PDF Document: f' || doc_id || '.pdf' || chr(10) || repeat('=', length('PDF Document: f' || doc_id || '.pdf')) || chr(10) || chr(10)
+  || '[Page 1]' || chr(10) || {_PDF_LINE} || chr(10) || chr(10) || '[Page 2]' || chr(10) || {_PDF_LINE} || chr(10) || chr(10) AS text FROM documents""")
+def present_pdf_text(spark, sf):
+    return present.pdf(decode.pdf(_pdfs(spark, sf)), "text").select("path", "text")
+
+
+@query(f"""SELECT 'f' || doc_id || '.pdf' AS path, '# PDF Document: f' || doc_id || '.pdf' || chr(10) || chr(10) || '## Page 1' || chr(10) || chr(10) || {_PDF_LINE} || chr(10) || chr(10)
+  || '## Page 2' || chr(10) || chr(10) || {_PDF_LINE} || chr(10) || chr(10) || '*Total pages processed: 2*' || chr(10) || chr(10) AS text FROM documents""")
+def present_pdf_markdown(spark, sf):
+    return present.pdf(decode.pdf(_pdfs(spark, sf))).select("path", "text")
+
+
+def _docx_of(spark, sf) -> DataFrame:
+    """One decoded document per source: its rows are paragraphs, every fifth one a heading."""
+    style = F.when(F.col("doc_id") % 5 == 0, "Heading 2").otherwise("Normal")
+    return t(spark, sf, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("number"), style.alias("style"), "text")
+
+
+_PARAGRAPHS = "string_agg({0} || text || chr(10) || chr(10), '' ORDER BY doc_id) FILTER (regexp_matches(text, '[^ \\n\\t\\r]'))"
+
+
+@query(f"""SELECT source AS path, '# Document: ' || source || chr(10) || chr(10) || {_PARAGRAPHS.format("CASE WHEN doc_id % 5 = 0 THEN '### ' ELSE '' END")} || '*Document processed: ' || count(*) || ' paragraphs*' || chr(10) || chr(10) AS text FROM documents GROUP BY source""")
+def present_docx_markdown(spark, sf):
+    return present.document(_docx_of(spark, sf))
+
+
+@query(f"""SELECT source AS path, 'Document: ' || source || chr(10) || repeat('=', 10 + length(source)) || chr(10) || chr(10) || {_PARAGRAPHS.format("''")} || '*Document processed: ' || count(*) || ' paragraphs*' || chr(10) || chr(10) AS text FROM documents GROUP BY source""")
+def present_docx_text(spark, sf):
+    return present.document(_docx_of(spark, sf), "text")
+
+
+@query("""SELECT 'talk' || conv_id AS path, 'Presentation: talk' || conv_id || chr(10) || repeat('=', length('Presentation: talk' || conv_id)) || chr(10) || chr(10)
+  || string_agg('[Slide ' || (turn + 1) || ']' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) || 'Slides processed: ' || count(*) || chr(10) || chr(10) AS text FROM conversations GROUP BY conv_id""")
+def present_pptx_text(spark, sf):
+    rows = t(spark, sf, "conversations").select(F.concat(F.lit("talk"), F.col("conv_id").cast("string")).alias("path"), (F.col("turn") + 1).alias("slide_number"), F.lit(0).alias("shape"), "text")
+    return present.slides(rows, "text")
+
+
+@query("""SELECT 'n' || n_regionkey AS path, '# Workbook: n' || n_regionkey || chr(10) || chr(10) || '## Sheet 1: nations' || chr(10) || chr(10) || '**Dimensions**: ' || count(*) || ' rows × 2 columns' || chr(10) || chr(10) || '**Data**:' || chr(10) || chr(10)
+  || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) || CASE WHEN k = 1 THEN '|---|---|' || chr(10) ELSE '' END, '' ORDER BY k) || chr(10) || '*Workbook processed: 1 sheets*' || chr(10) || chr(10) AS text
+  FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) GROUP BY n_regionkey""")
+def present_xlsx_markdown(spark, sf):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    rows = t(spark, sf, "nation").select(
+        F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("path"), F.lit(1).alias("sheet_number"), F.lit("nations").alias("title"), k.alias("row_number"),
+        F.array(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("cells"), F.lit(2).alias("columns"),
+    )
+    return present.workbook(rows)
+
+
+@query("""SELECT 'talk' || conv_id AS path, '# PPTX XML Content: talk' || conv_id || chr(10) || chr(10) || '```xml' || chr(10) || '<!-- PPTX Structure Overview -->' || chr(10) || '<!-- XML Files: all.xml -->' || chr(10) || chr(10)
+  || string_agg('<!-- m' || turn || ' -->' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) || '```' || chr(10) || chr(10) AS text FROM conversations GROUP BY conv_id""")
+def present_office_xml(spark, sf):
+    rows = t(spark, sf, "conversations").select(F.concat(F.lit("talk"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("part"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("member"), F.lit("all.xml").alias("members"), "text")
+    return present.office_xml(rows)
+
+
+@query("""SELECT 'd' || doc_id AS path, chr(10) || '## Document Metadata' || chr(10) || chr(10) || '- **Author**: ' || source || chr(10) || '- **Title**: Doc ' || doc_id || chr(10) || chr(10) AS text FROM documents""")
+def present_pdf_metadata(spark, sf):
+    no = F.col("doc_id").cast("string")
+    made = t(spark, sf, "documents").select(F.concat(F.lit("d"), no).alias("path"), _bytes("%PDF-1.4\n9 0 obj\n<</Title (Doc ", no, ") /Author (", F.col("source"), ")>>\nendobj\ntrailer <</Info 9 0 R>>").alias("content"))
+    return present.pdf_metadata(decode.pdf_info(made).filter("error IS NULL"))
+
+
+@query("""SELECT doc_id, text || chr(10) || '## Object Summary' || chr(10) || chr(10) || '- **Type**: str' || chr(10) || '- **Length**: ' || length(text) || chr(10) || '- **String representation**: ' || left(text, 100) || '...' || chr(10) || chr(10) AS summary,
+  text || chr(10) || '## Preview' || chr(10) || chr(10) || left(text, 200) || chr(10) || chr(10) AS preview,
+  text || chr(10) || '## OCR Text Extraction' || chr(10) || chr(10) || '*OCR not available: no recognition engine is registered.*' || chr(10) || chr(10) AS ocr FROM documents""")
+def present_objects(spark, sf):
+    """The fallback summary and preview, and what the text recognition says without an engine."""
+    d = docs(spark, sf).withColumn("content_text", F.col("text"))
+    plain = F.col("content_text")
+    one = present.object_summary(d).withColumnRenamed("text", "summary").withColumn("text", plain)
+    two = present.object_preview(one).withColumnRenamed("text", "preview").withColumn("text", plain)
+    return present.ocr(two).select("doc_id", "summary", "preview", F.col("text").alias("ocr"))
+
+
+@query("SELECT doc_id, 'contact_sheet_placeholder' AS first, 1::INT AS n FROM documents")
+def present_contact_sheet(spark, sf):
+    return present.contact_sheet(docs(spark, sf)).select("doc_id", F.get("images", F.lit(0)).alias("first"), F.size("images").alias("n"))
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_SIZE} FROM part)
+SELECT p_partkey, 400::INT AS new_width, greatest(1, floor(400 * (h / w)))::INT AS new_height FROM s""")
+def refine_resize_images(spark, sf):
+    return refine.resize_images(sizes(spark, sf), "400").select("p_partkey", "new_width", "new_height")
+
+
+@query("""SELECT '## Directory Map' || chr(10) || chr(10) || '**Base Path**: `/base`' || chr(10) || chr(10) || '**Files Found**: ' || count(*) || chr(10) || chr(10) || '```' || chr(10) || 'Size     Modified            File' || chr(10) || '-------- ------------------- ----------------------------------------' || chr(10)
+  || string_agg(lpad(CASE WHEN n_chars < 1024 THEN printf('%.1fB', n_chars::DOUBLE) ELSE printf('%.1fKB', n_chars / 1024.0::DOUBLE) END, 8, ' ') || ' 2024-01-02 03:04:05 f' || lpad(doc_id::VARCHAR, 9, '0') || chr(10), '' ORDER BY doc_id) || '```' || chr(10) || chr(10) AS text FROM documents""")
+def directory_map(spark, sf):
+    listed = t(spark, sf, "documents").select(F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("rel"), F.col("n_chars").alias("length"), F.to_timestamp(F.lit("2024-01-02 03:04:05")).alias("modificationTime"))
+    return directories.directory_map(listed, "/base")
+
+
+# --- processors, by content made from the tables ---------------------------------------------------------------------------
+
+def _asked(df: DataFrame, key: str, path, **commands: str) -> DataFrame:
+    given = F.create_map(*[F.lit(x) for kv in commands.items() for x in kv]) if commands else F.expr("cast(map() as map<string,string>)")
+    return df.withColumns({"ord": F.col(key), "path": path, "attachy": path, "commands": given})
+
+
+@query(f"""SELECT p_partkey, '# Image: i' || p_partkey || '.png' || chr(10) || chr(10) || '- **Format**: PNG' || chr(10) || '- **Size**: (' || w || ', ' || h || ')' || chr(10) || '- **Mode**: RGBA' || chr(10) || chr(10) || '*Image converted to base64 and available in images list*' || chr(10) || chr(10) AS text, 1::INT AS images
+  FROM (SELECT p_partkey, {_SIZE} FROM part)""")
+def processor_image(spark, sf):
+    asked = _asked(_pngs(spark, sf), "p_partkey", F.concat(F.lit("i"), F.col("p_partkey").cast("string"), F.lit(".png")))
+    return route.processed(asked, ["image"]).select(F.col("ord").alias("p_partkey"), "text", F.size("images").alias("images"))
+
+
+@query("""SELECT doc_id, '# s' || doc_id || '.svg' || chr(10) || chr(10) || 's' || doc_id || '.svg: <svg xmlns="http://www.w3.org/2000/svg" width="' || doc_id || '"/>' || chr(10) || chr(10) AS text,
+  'data:image/svg+xml;base64,' || to_base64(encode('<svg xmlns="http://www.w3.org/2000/svg" width="' || doc_id || '"/>')) AS image FROM documents""")
+def processor_svg(spark, sf):
+    no = F.col("doc_id").cast("string")
+    made = t(spark, sf, "documents").select("doc_id", _bytes('<svg xmlns="http://www.w3.org/2000/svg" width="', no, '"/>').alias("content"))
+    done = route.processed(_asked(made, "doc_id", F.concat(F.lit("s"), no, F.lit(".svg"))), ["svg"])
+    return refine.add_headers(done).select(F.col("ord").alias("doc_id"), "text", F.get("images", F.lit(0)).alias("image"))
+
+
+@query("""SELECT doc_id, 'e' || doc_id || '.eps: %!PS-Adobe-3.0' || chr(10) || '%%Title: ' || doc_id || chr(10) || chr(10) || chr(10) AS text, 0::INT AS images FROM documents""")
+def processor_eps(spark, sf):
+    no = F.col("doc_id").cast("string")
+    made = t(spark, sf, "documents").select("doc_id", _bytes("%!PS-Adobe-3.0\n%%Title: ", no, "\n").alias("content"))
+    return route.processed(_asked(made, "doc_id", F.concat(F.lit("e"), no, F.lit(".eps"))), ["eps"]).select(F.col("ord").alias("doc_id"), "text", F.size("images").alias("images"))
+
+
+@query("""SELECT doc_id, '# t' || doc_id || '.txt' || chr(10) || chr(10) || 'text' || chr(10) || text AS text FROM documents""")
+def processor_universal(spark, sf):
+    made = t(spark, sf, "documents").select("doc_id", F.encode(F.concat(F.lit("text\n"), "text"), "UTF-8").alias("content"))  # a comma in the first line would be a table
+    return route.processed(_asked(made, "doc_id", F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit(".txt"))), ["universal"]).select(F.col("ord").alias("doc_id"), "text")
+
+
+_OFFICE_TEXT = {
+    "docx": "'# Document: ' || path || chr(10) || chr(10) || '### Title' || chr(10) || chr(10) || 'Body' || chr(10) || chr(10) || '*Document processed: 2 paragraphs*' || chr(10) || chr(10)",
+    "pptx": "'# Presentation: ' || path || chr(10) || chr(10) || '## Slide 2' || chr(10) || chr(10) || 'Slide 2' || chr(10) || chr(10) || '*Slides processed: 1*' || chr(10) || chr(10)",
+    "xlsx": "'# ' || path || chr(10) || chr(10) || '# Workbook: ' || path || chr(10) || chr(10) || '## Sheet 1: One' || chr(10) || chr(10) || '**Dimensions**: 2 rows × 2 columns' || chr(10) || chr(10) || '**Data**:' || chr(10) || chr(10) || '| 1 | 2 |' || chr(10) || '|---|---|' || chr(10) || '|  | 3 |' || chr(10) || chr(10) || '*Workbook processed: 1 sheets*' || chr(10) || chr(10)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT r_regionkey, '{e}' AS ending, {text} AS text FROM (SELECT *, r_name || '.{e}' AS path FROM region)" for e, text in _OFFICE_TEXT.items()))
+def processor_office(spark, sf):
+    """Documents, presentations (the last slide alone) and workbooks, each by its plan."""
+    out = None
+    for ending, kind, content in (("docx", "docx", _DOCX), ("pptx", "pptx", _PPTX), ("xlsx", "excel", _XLSX)):
+        made = t(spark, sf, "region").select("r_regionkey", "r_name", F.lit(_zip(**content)).alias("content"))
+        asked = _asked(made, "r_regionkey", F.concat("r_name", F.lit(f".{ending}")), **({"pages": "-1"} if kind == "pptx" else {}))
+        part = route.processed(asked, [kind]).select(F.col("ord").alias("r_regionkey"), F.lit(ending).alias("ending"), "text")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH p AS (SELECT doc_id, '# PDF Document: f' || doc_id || '.pdf' || chr(10) || chr(10) || '## Page 1' || chr(10) || chr(10) || {_PDF_LINE} || chr(10) || chr(10) || '## Page 2' || chr(10) || chr(10) || {_PDF_LINE} || chr(10) || chr(10) || '*Total pages processed: 2*' || chr(10) || chr(10) AS text FROM documents)
+SELECT doc_id, unnest(['academic', 'legal', 'financial', 'medical']) AS plan, text FROM p""")
+def processor_named(spark, sf):
+    """The named plans of PDF files: their headers are there already, and no cell holds a tab."""
+    asked, out = _asked(_pdfs(spark, sf), "doc_id", F.col("path")), None
+    asked = files.detected(verbs.canonical(asked))
+    for name in ("academic", "legal", "financial", "medical"):
+        part = getattr(verbs.processors, f"{name}_pdf")(asked).select(F.col("ord").alias("doc_id"), F.lit(name).alias("plan"), "text")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Chunks of documents by sentences, counted."""
     return chunk_stats(spark, "/root/testdata/sf0.001")

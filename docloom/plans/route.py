@@ -19,7 +19,7 @@ RENDERED = ("ord", "attachy", "path", "commands", "kind", "processor", "text", "
 
 
 def _back(df: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rendered texts onto their attachments."""
+    """Rendered texts onto the rows they belong to."""
     return df.drop("text").join(texts.select("ord", "path", "text"), ["ord", "path"], "left").withColumn("text", F.coalesce("text", F.concat(F.lit("# "), "path", F.lit("\n\n*Could not be read*\n\n"))))
 
 
@@ -28,7 +28,7 @@ def _style(df: DataFrame) -> DataFrame:
 
 
 def _by_style(df: DataFrame, render) -> DataFrame:
-    """Render both styles lazily, each over the attachments that ask for it."""
+    """Render both styles lazily, each over the rows that ask for it."""
     styled, out = _style(df), None
     for s in ("markdown", "text"):
         mine = styled.filter(F.col("_style") == s).drop("_style")
@@ -122,7 +122,10 @@ def csv_to_llm(df: DataFrame) -> DataFrame:
 
 
 def _vector(df: DataFrame, decoded: DataFrame) -> DataFrame:
-    return _back(df, decoded.select("ord", "path", F.concat("path", F.lit(": "), "text", F.lit("\n\n")).alias("text")))
+    """The source as text; vector graphics that browsers know as an image too, others with an error in the metadata."""
+    shown = present.images(_back(df, decoded.select("ord", "path", F.concat("path", F.lit(": "), "text", F.lit("\n\n")).alias("text"))))
+    said = F.when(F.col("images_error").isNotNull(), F.create_map(F.concat("kind", F.lit("_images_error")), F.col("images_error"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    return shown.withColumn("metadata", F.map_concat("metadata", said)).drop("images_error")
 
 
 @verbs.processor
@@ -178,7 +181,7 @@ def available_processors(spark) -> DataFrame:
 
 
 def processed(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Attachments with content -> their texts, by the plan each one's kind chooses; only the plans in use are built."""
+    """Rows with content -> their texts, by the plan each one's kind chooses; only the plans in use are built."""
     df = files.detected(canonical(df))
     use = kinds if kinds is not None else [r["processor"] for r in df.select("processor").distinct().toLocalIterator()]
     out = None
@@ -188,25 +191,39 @@ def processed(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return out if out is not None else df.select(*RENDERED)
 
 
+def unsplit(df: DataFrame) -> DataFrame:
+    """The columns of chunks, empty: where nothing is to be split."""
+    return df.withColumns({"chunk_type": F.lit(None).cast("string"), "chunk_index": F.lit(None).cast("int"), "original_path": F.lit(None).cast("string")})
+
+
 def split_as_asked(df: DataFrame) -> DataFrame:
     """Apply each attachment's own ``[split:...]``; an unknown splitter changes nothing."""
-    asked, out = dsl.command("split"), None
+    asked = dsl.command("split")
     names = list(split.TEXT_SPLITTERS)
-    chunk = df.withColumns({"chunk_type": F.lit(None).cast("string"), "chunk_index": F.lit(None).cast("int"), "original_path": F.lit(None).cast("string")})
-    columns = [*df.columns, "chunk_type", "chunk_index", "original_path"]
+    chunk = unsplit(df)
+    columns = chunk.columns
     out = chunk.filter(F.coalesce(~asked.isin(*names), F.lit(True))).select(*columns)
     for name in names:
-        limits = [None]
-        mine = df.filter(asked == name)
-        if name in ("characters", "tokens", "lines", "custom"):
-            limits = [r["v"] for r in mine.select(dsl.command(name).alias("v")).distinct().toLocalIterator()]
-        for value in limits:
-            part = mine if value is None else mine.filter(dsl.command(name) == value)
-            if value is None:
-                done = split.TEXT_SPLITTERS[name](part)
-            elif name == "custom":
-                done = split.custom(part, value)
-            else:
-                done = split.TEXT_SPLITTERS[name](part, int(value))
-            out = out.unionByName(done.select(*columns))
+        mine, value = df.filter(asked == name), dsl.command(name)
+        if name == "custom":
+            done = split.custom(mine, value)
+        elif name in ("characters", "tokens", "lines"):  # each row's own limit; one that is no number changes nothing
+            done = split.TEXT_SPLITTERS[name](mine, value.try_cast("int"))
+        else:
+            done = split.TEXT_SPLITTERS[name](mine)
+        out = out.unionByName(done.select(*columns))
     return out
+
+
+def _as_format(name: str):
+    """A presenter of mixed rows: each by the plan of its kind, in one format."""
+
+    def run(df: DataFrame) -> DataFrame:
+        other = F.map_filter("commands", lambda k, v: k != "format")
+        return processed(canonical(df).withColumn("commands", F.map_concat(other, F.create_map(F.lit("format"), F.lit(name)))))
+
+    return run
+
+
+for _verb, _format in {"text": "plain", "markdown": "markdown", "html": "html", "csv": "csv"}.items():
+    verbs.present.register(_verb, _as_format(_format))

@@ -6,6 +6,7 @@ plan for rows that the first marks with ``error``. Nothing runs until the result
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from docloom.operators import present as present_ops
 from docloom.operators import refine as refine_ops
 from docloom.operators import split as split_ops
 from docloom.schema import canonical
-from docloom.sources import decode, files, urls
+from docloom.sources import decode, directories, files, urls
 
 
 class Verb:
@@ -41,7 +42,7 @@ class Verb:
 
 
 class Flow:
-    """A table of attachments with verbs applied to it."""
+    """A table of files or texts with verbs applied to it."""
 
     def __init__(self, df: DataFrame):
         self.df = df
@@ -106,19 +107,33 @@ def attach(spark, *references: str) -> Flow:
 A = attach
 
 
+def _existing(spark, paths: list[str]) -> list[tuple[str, str]]:
+    """(path, its full name) of those that are files, in whatever file system they name. A scan's files are listed by
+    the driver in any case; only names pass through it, no content."""
+    jvm, conf, out = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), []
+    for p in paths:
+        if not p or p.startswith(("http://", "https://")):
+            continue
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            system = at.getFileSystem(conf)
+            if system.getFileStatus(at).isFile():
+                out.append((p, system.makeQualified(at).toString()))
+        except Exception:  # noqa: BLE001  not there, or no name of a file: the row says so
+            continue
+    return out
+
+
 def _content(df: DataFrame) -> DataFrame:
     """Bring in each file's content by path; a file that is not there leaves it null and sets ``error``."""
-    import os
-
     spark = df.sparkSession
-    known = {r["path"] for r in df.select("path").distinct().toLocalIterator()}
-    there = sorted(p for p in known if os.path.isfile(p))
+    there = _existing(spark, [r["path"] for r in df.select("path").distinct().toLocalIterator()])
     if not there:
         return df.withColumn("error", F.lit("file not found"))
-    read = files.binary(spark, there).select(F.regexp_replace("path", "^file:(//)?", "").alias("_at"), F.col("content").alias("_c"))
-    absolute = {p: os.path.abspath(p) for p in there}
-    names = F.create_map(*[F.lit(x) for kv in absolute.items() for x in kv])
-    joined = df.withColumn("_at", F.try_element_at(names, F.col("path"))).join(read, "_at", "left")
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", at) for _, at in there]  # names, not patterns
+    read = files.binary(spark, sorted(set(literal))).select(F.col("path").alias("_at"), F.col("content").alias("_c"))
+    known = spark.createDataFrame(there, "path string, _at string")
+    joined = df.join(known, "path", "left").join(read, "_at", "left")
     return joined.withColumns({"content": F.col("_c"), "error": F.when(F.col("_c").isNull(), "file not found")}).drop("_at", "_c")
 
 
@@ -140,6 +155,7 @@ for _name in split_ops.SPLITTERS:
 for _name in ("page_text", "page_html", "page_markdown", "table_text", "table_markdown", "table_csv", "table_xml", "table_summary", "table_head", "metadata", "images", "thumbnails", "contact_sheet", "ocr", "pdf", "document", "workbook", "image_markdown", "fallback_text", "fallback_markdown", "unrendered", "office_xml", "pdf_metadata", "object_summary", "object_preview", "filtered"):
     present.register(_name, getattr(present_ops, _name))
 present.register("shapes", present_ops.slides)
+present.register("files", directories.directory_map)
 for _name in ("no_op", "truncate", "add_headers", "format_tables", "add_repo_headers", "report_unused_commands", "tile_layout", "resize_images"):
     refine.register(_name, getattr(refine_ops, _name))
 for _name, _f in adapt_ops.ADAPTERS.items():

@@ -25,6 +25,8 @@ SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Members of an archive that count as images.
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".heic", ".heif", ".webp")
+#: Brands of image files in the ISO container.
+HEIF_BRANDS = (b"heic", b"heix", b"heif", b"mif1", b"msf1", b"hevc")
 
 
 def parts(files: DataFrame, decode: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
@@ -149,8 +151,30 @@ def _pdf_text(stream: bytes) -> str:
     return "".join(out).strip()
 
 
+_IS_PAGE = re.compile(rb"/Type\s*/Page\b(?!s)")
+
+
+def _page_tree(objects: dict[int, bytes], content: bytes) -> list[bytes]:
+    """Pages from the root down, as their parents list them; empty where no tree can be told. The last root counts."""
+    roots = [m for body in (*objects.values(), content) for m in re.findall(rb"/Root\s+(\d+)\s+\d+\s+R", body)]
+    top = re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", objects.get(int(roots[-1]), b"")) if roots else None
+    out, seen, stack = [], set(), [int(top[1])] if top else []
+    while stack:
+        no = stack.pop()
+        body = objects.get(no, b"")
+        if no in seen:
+            continue
+        seen.add(no)
+        kids = re.search(rb"/Kids\s*\[([^\]]*)\]", body)
+        if _IS_PAGE.search(body):
+            out.append(body)
+        elif kids:
+            stack += [int(r) for r in re.findall(rb"(\d+)\s+\d+\s+R", kids[1])][::-1]
+    return out
+
+
 def _pdf_pages(content: bytes) -> list[dict]:
-    """Text that pages show by simple fonts; pages in file order. What it cannot read counts as without text."""
+    """Text that pages show by simple fonts, in the order of the page tree. What it cannot read counts as without text."""
     if not content.startswith(b"%PDF"):
         raise ValueError("not a PDF")
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
@@ -168,7 +192,7 @@ def _pdf_pages(content: bytes) -> list[dict]:
             ends = [*heads[3::2], len(data) - first]
             for no, a, b in zip(heads[::2], heads[1::2], ends):
                 objects.setdefault(no, data[first + a : first + b])
-    pages = [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
+    pages = _page_tree(objects, content) or [b for _, b in sorted(objects.items()) if _IS_PAGE.search(b)]
     out = []
     for no, body in enumerate(pages, 1):
         m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
@@ -205,6 +229,10 @@ def image_header(content: bytes) -> dict:
             if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 return {"format": "JPEG", "height": int.from_bytes(content[at + 5 : at + 7], "big"), "width": int.from_bytes(content[at + 7 : at + 9], "big"), "mode": {1: "L", 3: "RGB", 4: "CMYK"}.get(content[at + 9])}
             at += 2 + size
+    if content[4:8] == b"ftyp" and content[8:12] in HEIF_BRANDS:
+        at = content.find(b"ispe")
+        w, h = struct.unpack(">II", content[at + 8 : at + 16]) if at >= 0 else (None, None)
+        return {"format": "HEIF", "width": w, "height": h, "mode": "RGB"}
     raise ValueError("image format not known")
 
 

@@ -88,7 +88,7 @@ def in_glob(rel: Column, glob: str) -> Column:
 def listing(spark: SparkSession, base: str, ignore: str = "standard", glob: str = "", recursive: bool = True, max_files: int = 1000, include_binary: bool = False) -> DataFrame:
     """path, rel, length, modificationTime of the files kept, the first ``max_files`` in path order.
 
-    Content is read only where the binary test needs it, one KiB's worth of decision per file."""
+    The binary test looks at the first KiB, but the scan reads a file whole: ``include_binary`` reads no content at all."""
     base = os.path.abspath(base)
     rows = files.binary(spark, base, recursive=recursive)
     rel = F.regexp_replace(F.col("path"), "^(file:/*|" + re.escape("file:" + base) + ")", "/")

@@ -28,11 +28,12 @@ def html_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text_files(spark, paths).select("path", F.col("text").alias("html"), F.lit("html").alias("kind"), F.create_map(F.lit("content_type"), F.lit("text/html"), F.lit("file_size"), F.length("text").cast("string")).alias("metadata"))
 
 
-def csv_table(spark: SparkSession, path: str, schema: str | None = None, ordinal: str | None = None) -> DataFrame:
+def csv_table(spark: SparkSession, path: str, schema: str | None = None, ordinal: str | None = None, multi_line: bool = True) -> DataFrame:
     """A CSV file as a table; types are inferred where no schema is given (one more pass over the file).
 
-    With ``ordinal``, rows are numbered in file order (parts are numbered in path order)."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"')
+    With ``ordinal``, rows are numbered in file order (parts are numbered in path order). Cells may hold line breaks, so
+    a file is read by one task; ``multi_line=False`` lets large files without such cells be split."""
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     return df.withColumn(ordinal, F.monotonically_increasing_id()) if ordinal else df
 

@@ -104,19 +104,24 @@ def test_scans(spark, tree):
 def test_facade(spark, tree, tmp_path):
     (tmp_path / "x.pdf").write_bytes(PDF)
     (tmp_path / "p.png").write_bytes(PNG)
-    a = api.Attachments(spark, f"{tree}/docs/c.md", [f"{tree}/n.csv[limit:1]", f"{tree}/x.pdf[pages:1][format:plain]"], f"{tree}/p.png", "missing.txt")
+    a = api.Context(spark, f"{tree}/docs/c.md", [f"{tree}/n.csv[limit:1]", f"{tree}/x.pdf[pages:1][format:plain]"], f"{tree}/p.png", "missing.txt")
     text = str(a)
     assert len(a) == 5 and text.startswith("📄 Processing Summary: 5 files processed, 1 images extracted\n\n") and "missing.txt" in text
     assert "| A | 1 |" in text and "B, b" not in text and "[Page 1]\nHello (PDF)!" in text and a.images[0].startswith("data:image/png;base64,")
     assert [r.path for r in a][0].endswith("c.md") and a[0].text == a.df.orderBy("ord").first().text and "openai" not in a.metadata
+    meta = a.metadata
+    assert (meta["file_count"], meta["image_count"]) == (5, 1) and [f["path"] for f in meta["files"]][3] == f"{tree}/p.png" and meta["files"][0]["text_length"] == len(a[0].text)
+    assert a[-1].path == "missing.txt"
+    with pytest.raises(IndexError):
+        a[5]
     assert a.openai_chat("hi").startswith('[{"role":"user"') and a.claude("x") != a.openai_responses("x")
-    twice = api.Attachments(spark, f"{tree}/x.pdf[1]", f"{tree}/x.pdf[format:plain]", f"{tree}/x.pdf[pages:2]")
+    twice = api.Context(spark, f"{tree}/x.pdf[1]", f"{tree}/x.pdf[format:plain]", f"{tree}/x.pdf[pages:2]")
     assert [r.text[:14] for r in twice] == ["# PDF Document", "PDF Document: ", f"# {tree}"[:14]] and "could not be read" in twice[2].text.lower()
-    parts = api.Attachments(spark, f"{tree}/a.py[split:characters][characters:3]", f"{tree}/docs/c.md[split:nonsense]")
+    parts = api.Context(spark, f"{tree}/a.py[split:characters][characters:3]", f"{tree}/docs/c.md[split:nonsense]")
     assert [r.chunk_index for r in parts][0] == 0 and len(parts) > 3
     with pytest.raises(AttributeError):
         a.unknown_adapter
-    assert str(api.Attachments(spark)) == ""
+    assert str(api.Context(spark)) == ""
 
 
 def test_auto_attach(spark, tree):
@@ -166,12 +171,12 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_directories_and_patterns_in_the_facade(spark, tree):
-    told = api.Attachments(spark, tree)
+    told = api.Context(spark, tree)
     assert len(told) == 1 and "## Directory Structure" in str(told)
-    every = api.Attachments(spark, f"{tree}[files:true][glob:*.md,*.py]")
+    every = api.Context(spark, f"{tree}[files:true][glob:*.md,*.py]")
     assert [os.path.basename(r.path) for r in every] == [os.path.basename(tree), "a.py", "c.md"]
-    assert [os.path.basename(r.path) for r in api.Attachments(spark, f"{tree}/docs/*")] == ["c.md"]
-    assert [os.path.basename(r.path) for r in api.Attachments(spark, f"{tree}/**/*.txt")] == ["d.txt"]
+    assert [os.path.basename(r.path) for r in api.Context(spark, f"{tree}/docs/*")] == ["c.md"]
+    assert [os.path.basename(r.path) for r in api.Context(spark, f"{tree}/**/*.txt")] == ["d.txt"]
     assert directories.glob_base("/a/b/*.x") == "/a/b" and not directories.is_repository(tree)
 
 
@@ -197,3 +202,57 @@ def test_switched_off(spark):
     one = spark.sql("SELECT 'a' AS text, 'abc' AS content_text, map() AS metadata")
     assert "**Length**: 3" in present.object_summary(one).first().text and present.object_preview(one).first().text == "a\n## Preview\n\nabc\n\n"
     assert present.unrendered(one.withColumn("metadata", F.expr("cast(map() as map<string,string>)")), "pdf").first().metadata["pdf_images_error"]
+
+
+def test_images_of_every_kind_in_the_facade(spark, tmp_path):
+    heic = b"\0\0\0\x18ftypheic" + b"\0" * 20 + b"\0\0\0\x14ispe\0\0\0\0" + struct.pack(">II", 40, 30)
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08\0\x09\0\x08\x03" + b"\0" * 9
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + b"\x04\0\0\x05\0\0"
+    svg = b'<?xml version="1.0"?>\n<svg xmlns="http://www.w3.org/2000/svg" width="9"><text>t</text></svg>'
+    given = {"png": ("a.png", PNG), "gif": ("a.gif", b"GIF89a" + struct.pack("<HH", 3, 4) + b"\0" * 9), "jpeg": ("a.jpg", jpeg), "webp": ("a.webp", webp), "heic": ("a.HEIC", heic), "svg+xml": ("a.svg", svg)}
+    for name, data in given.values():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "b.eps").write_bytes(b"%!PS-Adobe-3.0\n%%Title: t\n")
+    paths = [str(tmp_path / name) for name, _ in given.values()] + [str(tmp_path / "b.eps")]
+    ctx = api.Context(spark, *paths)
+    rows, meta = list(ctx), ctx.metadata
+    for row, path, kind, told in zip(rows, paths, given, meta["files"]):
+        assert len(row.images) == 1 and row.images[0].startswith(f"data:image/{kind};base64,") and row.text, kind
+        assert told["path"] == path and told["image_count"] == 1
+    assert (meta["file_count"], meta["image_count"]) == (7, 6) and "svg" in rows[5].text
+    assert rows[6].images == [] and "eps_images_error" in meta["files"][6]["metadata"]
+    message = ctx.claude("x")
+    assert all(f'"media_type":"image/{kind}"' in message for kind in given)
+
+
+def test_pages_follow_the_page_tree(spark):
+    page = lambda no, text: b"%d 0 obj\n<</Type /Page /Contents %d 0 R>>\nendobj\n%d 0 obj\n<<>>\nstream\nBT (%s) Tj ET\nendstream\nendobj\n" % (no, no + 1, no + 1, text)
+    nodes = b"20 0 obj\n<</Type /Catalog /Pages 21 0 R>>\nendobj\n21 0 obj\n<</Type /Pages /Kids [7 0 R 22 0 R 3 0 R]>>\nendobj\n22 0 obj\n<</Type /Pages /Kids [5 0 R 21 0 R]>>\nendobj\n"
+    whole = b"%PDF-1.4\n" + page(3, b"third") + page(5, b"second") + page(7, b"first") + page(9, b"in no tree") + nodes + b"trailer <</Root 20 0 R>>"
+    assert [(r.page_number, r.text) for r in decode.pdf(contents(spark, ("f", whole))).orderBy("page_number").collect()] == [(1, "first"), (2, "second"), (3, "third")]
+
+
+def test_one_verb_for_mixed_rows_and_names_that_look_like_patterns(spark, tmp_path):
+    (tmp_path / "a[1].txt").write_text("plain")
+    (tmp_path / "n.csv").write_text("k,v\n1,2\n")
+    flow = verbs.attach(spark, f"{tmp_path}/n.csv") | verbs.load.content | verbs.present.csv
+    assert flow.df.first().text.endswith("k,v\n1,2\n")
+    rows = spark.createDataFrame([(0, f"{tmp_path}/a[1].txt"), (1, f"{tmp_path}/n.csv")], "ord long, path string")
+    mixed = (verbs.Flow(rows) | verbs.load.content | verbs.present.markdown).df.orderBy("ord").collect()
+    assert mixed[0].text.endswith("plain") and "| 1 | 2 |" in mixed[1].text
+
+
+def test_each_row_has_its_own_limit(spark):
+    df = spark.sql("""SELECT 'p' AS path, 'abcdef' AS text, map('split', 'characters', 'characters', '2') AS commands UNION ALL SELECT 'q', 'abcdef', map('split', 'characters', 'characters', '4')
+      UNION ALL SELECT 'r', 'a|b', map('split', 'custom', 'custom', '|') UNION ALL SELECT 's', 'abc', map('split', 'characters', 'characters', 'many') UNION ALL SELECT 't', 'abc', map('split', 'lines', 'lines', '0')""")
+    got = sorted((r.path, r.text) for r in route.split_as_asked(df).collect())
+    assert got == [("p#chars-1-2", "ab"), ("p#chars-3-4", "cd"), ("p#chars-5-6", "ef"), ("q#chars-1-4", "abcd"), ("q#chars-5-6", "ef"), ("r#custom-1", "a"), ("r#custom-2", "b"), ("s", "abc"), ("t", "abc")]
+
+
+def test_samples(spark, tmp_path):
+    from docloom.sources import samples
+
+    paths = [samples.sample_path(name, str(tmp_path)) for name in samples.sample_names()]
+    assert all(r.text and "could not be read" not in r.text.lower() for r in api.Context(spark, *paths))
+    with pytest.raises(KeyError):
+        samples.sample_path("none", str(tmp_path))
