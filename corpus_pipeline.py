@@ -1,7 +1,10 @@
 """A training corpus from raw documents: five stages, each an operator of docloom.llm.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one's rows and reads them again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents, and any others that the table has.
+
+Defined results: a null text counts as empty; null ids and rows that repeat an id are rows like others; of rows equal in
+text or near each other one stays, also where they repeat an id or have none; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -60,7 +63,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Language identification and packing are not expressible in SQL; tests hold every stage against brute force.
+#: Language identification and packing are not expressible in SQL; the tests hold each operator against brute force and the
+#: stages against planted rows and a plain restatement.
 ORACLE_SQL = None
 
 
