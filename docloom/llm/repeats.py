@@ -558,10 +558,12 @@ def across(kind: Kind, docs: DataFrame, found: DataFrame, place: Place) -> DataF
         if w:
             yield reduced(w, *np.array(rows, dtype=np.int64).T)
 
-    rows = written(_asked(docs, found).mapInArrow(windows, "w binary, rid1 long, rid2 long, x long, flags int, n long, sure boolean"), "across")
+    # Used twice, from one shuffle of the documents: the same as that of step 2.
+    rows = _asked(docs, found).mapInArrow(windows, "w binary, rid1 long, rid2 long, x long, flags int, n long, sure boolean")
     met = rows.filter("n > 0").groupBy("w").agg(F.sum("n").alias("times"), F.min("rid1").alias("least")).filter("times > 1")
     again = F.col("rid1") > F.col("least") if kind.words else F.col("times") > 1
-    hits = rows.filter(F.col("flags").bitwiseAND(ASKS) > 0).join(met, "w").filter(again).select("rid1", "rid2", "x").unionByName(rows.filter("sure").select("rid1", "rid2", "x"))
+    told = (F.col("flags").bitwiseAND(ASKS) > 0) & F.coalesce(again, F.lit(False))
+    hits = rows.join(met, "w", "left").filter(F.col("sure") | told).select("rid1", "rid2", "x")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
