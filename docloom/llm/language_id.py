@@ -2,8 +2,8 @@
 
 Bytes are embedded, convolved with filters of several widths, max-pooled over a window of fixed length and
 classified by softmax. It is fitted on the driver on at most ``FIT_DOCS`` labelled rows (the smallest by a hash of
-their id; from each, ``FIT_WINDOWS`` windows at places spread by hash over the whole text; both are parameters) and then
-applied to every window of every whole text, in Arrow batches, without a shuffle. A text's score is the length-weighted mean of its windows'
+their id; from each, one window of each length in ``FIT_LENGTHS``, at places spread by hash over the whole text; both are
+parameters). Short ones teach it texts, and ends of texts, that do not fill a window. It is then applied to every window of every whole text, in Arrow batches, without a shuffle. A text's score is the length-weighted mean of its windows'
 probabilities.
 
 Defined results: null texts, empty texts and texts without a letter are ``und`` with score 0; without labelled
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.common import small_batches, spread, table
 
-FIT_DOCS, FIT_WINDOWS = 3000, 4
+FIT_DOCS, FIT_LENGTHS = 3000, (128, 64, 32, 16)
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), (8, 12, 12), 8
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNKNOWN = "und"
@@ -121,10 +121,10 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> ByteNet | None:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, fit_lengths: tuple[int, ...] = FIT_LENGTHS) -> ByteNet | None:
     """Fit on a bounded sample: a hash threshold first, so that no task gathers more than about twice ``fit_docs``."""
-    room = F.greatest(F.length(text_col) - WINDOW + 1, F.lit(1))
-    pieces = [F.substring(F.col(text_col), (1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), room)).cast("int"), F.lit(WINDOW)) for k in range(fit_windows)]
+    place = lambda k, n: 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.length(text_col) - n + 1, F.lit(1)))
+    pieces = [F.substring(F.col(text_col), place(k, n).cast("int"), F.lit(n)) for k, n in enumerate(fit_lengths)]
     usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.xxhash64(id_col).alias("h"), F.array_distinct(F.array(*pieces)).alias("t"), F.col(lang_col).alias("y")
     )

@@ -32,6 +32,14 @@ def test_without_labels_or_rows(spark, tables):
     assert op8_language_id(spark, tables(documents=(schema, []))).count() == 0
 
 
+def test_short_texts_are_told_apart_too(spark, tables):
+    rows = [(i, (EN if i % 2 else FR)[i % 20 :] * 3, "en" if i % 2 else "fr") for i in range(300)]
+    net = language_id.fit(spark.read.parquet(tables(documents=("doc_id long, text string, lang string", rows)) + "/documents.parquet"))
+    cuts = [(t[at : at + 16], lang) for t, lang in ((EN, "en"), (FR, "fr")) for at in range(len(t) - 16)]
+    found = language_id.identify(spark.createDataFrame(cuts, "text string, known string"), net, keep=("known",)).collect()
+    assert sum(r.lang_pred == r.known for r in found) >= 0.95 * len(found)
+
+
 def plain_forward(net, window):
     """Byte by byte: embed, every filter at every place, the largest value, softmax."""
     pooled, at, last = [], 0, WINDOW - max(WIDTHS) + 1
