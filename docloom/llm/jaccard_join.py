@@ -10,8 +10,9 @@ chance it gains, until its recall, over all trees, reaches ``RECALL``. The trie
 below needs, so that the parts are disjoint and every node gets at least its recall. Nodes of one part are candidates,
 and every candidate pair is verified on the shingle sets.
 
-Distribution. Strings are range-partitioned and sorted, the node being part of the order, so a common prefix spreads over
-partitions; runs that touch a border are added up. Parts met once are dropped; parts with the same members are handled
+Distribution. Strings are shuffled once: range-partitioned and sorted, the node being part of the order, so a common
+prefix spreads over partitions; runs that touch a border are added up, and only the strings of runs go on. Parts met once
+are dropped; parts with the same members are handled
 once (order-free member checksums); large ones are dealt into tiles of at most ``TILE`` nodes or ``TILE_SHINGLES``
 shingles a side, so no task holds a whole part, and a pair counts only in the first tree where it meets. A tile
 returns one row per linked node (number of links, a spanning edge), never pairs. Classes are the connected components,
@@ -41,6 +42,8 @@ TREES, DEPTH, LEAST, RECALL = 24, 8, 3, 0.99999
 #: Nodes that share a shortest prefix before longer ones are used; sides of a tile at most.
 CROWD = 512
 TILE, TILE_SHINGLES = 512, 1 << 20
+#: Words of 64 bits that mark the identifiers whose texts are read again (``likely``), at most.
+MARKS = 1 << 18
 SEED = 77
 
 
@@ -109,10 +112,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, trees: int, more: tu
     return rows.mapInArrow(run, schema)
 
 
-def runs_of(strings: DataFrame, parts: int, crowd: int) -> DataFrame:
+def runs_of(strings: DataFrame, parts: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """The inner nodes of the tries that matter: tree, level, prefix, members, weight and two checksums of the members.
+    And node, tree, string of the members of the shortest prefixes.
 
-    Sorted neighbours with a common prefix are a run; levels below the shortest are given where a run may be crowded."""
+    Sorted neighbours with a common prefix are a run; levels below the shortest are given where a run may be crowded.
+    A string alone in its run is a member of nothing; only at a border, where its run may go on, it is given too."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -131,19 +136,27 @@ def runs_of(strings: DataFrame, parts: int, crowd: int) -> DataFrame:
             if level == LEAST:
                 take = border | (size > 1)
                 wide = np.repeat(border | (size > crowd), size)
+                inside = t.select(["tree", "string", "node"]).filter(pa.array(np.repeat(take, size)))
+                for batch in inside.to_batches(max_chunksize=1 << 16):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).cast(pa.int32()), pa.nulls(len(batch), pa.int32()), *batch.columns[1:], *[pa.nulls(len(batch), pa.int64())] * 4],
+                        names=["tree", "level", "key", "node", "members", "weight", "x", "y"],
+                    )
             else:
                 take = wide[s] & (border | (size > 1))
             if take.any():
                 at = s[take]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree[at].astype(np.int32)), pa.array(np.full(len(at), level, np.int32)), pa.array([text[k, :level].tobytes() for k in at], pa.binary()), pa.array(size[take].astype(np.int64))]
+                    [pa.array(tree[at].astype(np.int32)), pa.array(np.full(len(at), level, np.int32)), pa.array([text[k, :level].tobytes() for k in at], pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(size[take].astype(np.int64))]
                     + [pa.array(v) for v in (np.add.reduceat(n, s)[take], np.bitwise_xor.reduceat(node[:, 0], s)[take], np.bitwise_xor.reduceat(node[:, 1], s)[take])],
-                    names=["tree", "level", "key", "members", "weight", "x", "y"],
+                    names=["tree", "level", "key", "node", "members", "weight", "x", "y"],
                 )
 
     order = ("tree", "string", "node")
-    found = strings.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(scan, "tree int, level int, key binary, members long, weight long, x long, y long")
-    return found.groupBy("tree", "level", "key").agg(F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("members > 1")
+    schema = "tree int, level int, key binary, node binary, members long, weight long, x long, y long"
+    found = written(strings.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(scan, schema), "strings")
+    runs = found.filter("level IS NOT NULL").groupBy("tree", "level", "key").agg(F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("members > 1")
+    return written(runs, "runs"), found.filter("level IS NULL").select("node", "tree", F.col("key").alias("string"))
 
 
 def lengths_needed(sizes: np.ndarray, crowded: np.ndarray, recall: float) -> np.ndarray:
@@ -203,6 +216,14 @@ def crowded_parts(strings: DataFrame, runs: DataFrame, trees: int, recall: float
     return above.join(cuts, ["tree", "level", "key"]).groupBy("node", "tree").agg(F.min(F.struct("level", "key"))["key"].alias("key"))
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: str, words: int = MARKS) -> DataFrame:
+    """The rows whose ``key`` is in ``wanted``, and a few more, without a shuffle of the rows: every key sets one of
+    64 x ``words`` bits. The words are broadcast: at most ``words`` rows of 12 bytes, however many keys there are."""
+    word, bit = F.pmod(F.shiftrightunsigned(F.xxhash64(key), 6), F.lit(words)).cast("int"), F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 AS int))")
+    marks = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.withColumn("_word", word).join(F.broadcast(marks), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def _sets_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,12 +330,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     string = lambda t: F.substring("strings", 2 * DEPTH * t + 1, 2 * DEPTH)
     strings = nodes.select("node", "n", F.posexplode(F.array(*[string(t) for t in range(trees)])).alias("tree", "string"))
     parts = parts_for(docs.sparkSession, nodes.count() * trees * 64)
-    runs = written(runs_of(strings, parts, crowd), "runs")
+    runs, inside = runs_of(strings, parts, crowd)
     key = F.substring("string", 1, 2 * LEAST)
     met = runs.filter((F.col("level") == LEAST) & (F.col("members") <= crowd)).drop("level")
-    places, longer = strings.select("node", "tree", key.alias("key")), None
+    places, longer = inside.select("node", "tree", key.alias("key")), None
     if runs.filter((F.col("level") == LEAST) & (F.col("members") > crowd)).limit(1).count():
-        longer = written(crowded_parts(strings, runs, trees, recall, crowd), "parts")
+        longer = written(crowded_parts(inside, runs, trees, recall, crowd), "parts")
         half = lambda k: F.conv(F.hex(F.substring("node", 8 * k + 1, 8)), 16, -10).cast("long")
         sized = longer.join(nodes.select("node", "n"), "node").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), F.bit_xor(half(0)).alias("x"), F.bit_xor(half(1)).alias("y"))
         met = met.unionByName(sized.filter("members > 1"))
@@ -328,17 +349,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
         .select("node", "tree", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"))
     )
-    asked = members.select("node").distinct().join(nodes, "node")
-    own_key = lambda t: F.substring("strings", 2 * DEPTH * t + 1, 2 * LEAST)
+    short = F.concat(*[F.substring("strings", 2 * DEPTH * t + 1, 2 * LEAST) for t in range(trees)])
+    asked = members.select("node").distinct().join(nodes.select("node", "least", "n", "copies", short.alias("short")), "node")
+    own_key = lambda t: F.substring("short", 2 * LEAST * t + 1, 2 * LEAST)
     if longer is not None:
         asked = asked.join(longer.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("longer")), "node", "left")
-        own_key = lambda t: F.coalesce(F.try_element_at("longer", F.lit(t)), F.substring("strings", 2 * DEPTH * t + 1, 2 * LEAST))
-    asked = asked.select("node", "least", "n", "copies", F.array(*[F.xxhash64(own_key(t)) for t in range(trees)]).alias("keys"))
+        own_key = lambda t: F.coalesce(F.try_element_at("longer", F.lit(t)), F.substring("short", 2 * LEAST * t + 1, 2 * LEAST))
+    asked = written(asked.select("node", "least", "n", "copies", F.array(*[F.xxhash64(own_key(t)) for t in range(trees)]).alias("keys")), "asked")
     texts = docs.select(F.col(id_col).cast("long").alias("least"), F.col(text_col).alias("text"))
-    sets = _sets_of(texts.join(asked.filter("least IS NOT NULL").select("least").distinct(), "least", "left_semi").select("text"))
+    named = asked.filter("least IS NOT NULL").select("least").distinct()
+    # An inner join with distinct ids: a semi join would be moved below the marks, where it shuffles every text.
+    sets = _sets_of(likely(texts, named, "least").join(named, "least").select("text"))
     nameless = _sets_of(texts.filter("least IS NULL").select("text"))
     sets = sets.unionByName(nameless).groupBy("node").agg(F.max("shingles").alias("shingles"))
-    asked = written(asked.drop("least").join(sets, "node"), "sets")
+    asked = asked.drop("least").join(sets, "node")  # not written: both lie by node, as the join with the tiles needs them
     schema = "node binary, texts long, documents long, root binary"
     found = written(placed.join(asked, "node").groupBy("tree", "key", "a", "b").applyInArrow(lambda t: _verify(t, num, den), schema), "links")
     links = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))

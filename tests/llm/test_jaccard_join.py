@@ -4,7 +4,7 @@ import re
 import pytest
 
 from docloom.llm import jaccard_join
-from docloom.llm.jaccard_join import CROWD, DEPTH, LEAST, RECALL, TREES, lengths_needed, misses, near_duplicates, op7_jaccard_join
+from docloom.llm.jaccard_join import CROWD, DEPTH, LEAST, RECALL, TREES, lengths_needed, likely, misses, near_duplicates, op7_jaccard_join, runs_of
 
 
 def sets_of(rows):
@@ -107,3 +107,46 @@ def test_chains_form_one_class(spark, tables):
 def test_empty_table(spark, tables):
     assert op7_jaccard_join(spark, tables(documents=("doc_id long, text string", []))).count() == 0
     assert [tuple(r) for r in op7_jaccard_join(spark, tables(documents=("doc_id long, text string", [(1, None)]))).collect()] == [(1, 1, 0, 0)]
+
+
+def test_members_are_those_of_shared_prefixes(spark):
+    rng = random.Random(3)
+    strings = [(rng.randbytes(16), 1, t, bytes([rng.randrange(6)] * 4 + [0, rng.randrange(6)]) + rng.randbytes(10)) for t in range(2) for _ in range(120)]
+    shared = {}
+    for node, _, tree, string in strings:
+        shared.setdefault((tree, string[: 2 * LEAST]), set()).add((node, tree, string))
+    runs, members = runs_of(spark.createDataFrame(strings, "node binary, n long, tree int, string binary"), 7, 4)
+    found = {(r.tree, bytes(r.key)): r.members for r in runs.filter(f"level = {LEAST}").collect()}
+    assert found == {k: len(v) for k, v in shared.items() if len(v) > 1}
+    given = [(bytes(r.node), r.tree, bytes(r.string)) for r in members.collect()]
+    assert len(given) == len(set(given)) and set().union(*(v for v in shared.values() if len(v) > 1)) <= set(given)
+    assert len(given) <= sum(len(v) for v in shared.values() if len(v) > 1) + 2 * 7
+
+
+def test_marks_lose_no_key(spark):
+    rows, wanted = spark.range(-500, 3000), spark.range(-500, 3000, 7)
+    few, full = ({r.id for r in likely(rows, wanted, "id", words).collect()} for words in (1 << 10, 2))
+    assert set(range(-500, 3000, 7)) <= few & full and len(few) < 600
+
+
+def test_only_what_can_meet_is_shuffled(spark, tables):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"{rng.getrandbits(48):x}" for _ in range(n))
+    rows = [(i, text(3000)) for i in range(150)] + [(150 + i, t + " tail") for i, t in enumerate([text(300)] * 8)] + [(200, text(300))]
+    rows += [(201, rows[-1][1] + " tail")]
+    d = tables(documents=("doc_id long, text string", rows))
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    default = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where no side is small
+    try:
+        before = shuffled()
+        found = [tuple(r) for r in op7_jaccard_join(spark, d).collect()]
+        assert sorted(found, key=repr) == brute(rows)
+        assert 0 < shuffled() - before < 0.2 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", default)
