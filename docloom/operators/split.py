@@ -77,10 +77,11 @@ def characters(df: DataFrame, limit: int | Column = 1000, text: str = "text") ->
     return _spread(df, pieces, label, "characters", fields, False)
 
 
-def lines(df: DataFrame, per_chunk: int | Column = 50, text: str = "text") -> DataFrame:
+def lines(df: DataFrame, per_chunk: int | Column = 50, text: str = "text", keep_empty: bool = False) -> DataFrame:
+    """With ``keep_empty`` an empty text is one chunk of one empty line."""
     every, per_chunk = F.split(F.col(text), "\n", -1), _given(per_chunk)
     n = F.size(every)
-    pieces = F.when((F.length(text) > 0) & (per_chunk > 0), F.transform(F.sequence(F.lit(0), n - 1, F.greatest(per_chunk, F.lit(1))), lambda s: F.struct(
+    pieces = F.when((F.length(text) >= (0 if keep_empty else 1)) & (per_chunk > 0), F.transform(F.sequence(F.lit(0), n - 1, F.greatest(per_chunk, F.lit(1))), lambda s: F.struct(
         F.array_join(F.slice(every, s + 1, F.greatest(per_chunk, F.lit(1))), "\n").alias("text"), (s + 1).alias("first"), F.least(s + per_chunk, n).alias("last"))))
     fields = {"line_start": lambda p, i: p["first"], "line_end": lambda p, i: p["last"], "lines_per_chunk": lambda p, i: per_chunk}
     label = lambda p, i: F.concat(F.lit("lines-"), p["first"].cast("string"), F.lit("-"), p["last"].cast("string"))
