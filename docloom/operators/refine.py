@@ -36,30 +36,32 @@ def has_header(text: Column, path: Column) -> Column:
     return out
 
 
-def add_headers(df: DataFrame) -> DataFrame:
+def add_headers(df: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """A header where the text has none; an empty text stays empty, with ``keep_empty`` it gets its header too."""
     text, path = F.col("text"), F.col("path")
-    return df.withColumn("text", F.when((F.length(text) > 0) & ~has_header(text, path), F.concat(F.lit("# "), path, F.lit("\n\n"), text)).otherwise(text))
+    return df.withColumn("text", F.when((F.length(text) >= (0 if keep_empty else 1)) & ~has_header(text, path), F.concat(F.lit("# "), path, F.lit("\n\n"), text)).otherwise(text))
 
 
 def format_tables(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.replace(F.col("text"), F.lit("\t"), F.lit(" | ")))
 
 
-def add_repo_headers(df: DataFrame, rel_path: str = "relative_path", size: str = "length") -> DataFrame:
-    """Header and fence for files of a repository (rel_path not null), the plain header for the rest."""
+def add_repo_headers(df: DataFrame, rel_path: str = "relative_path", size: str = "length", keep_empty: bool = False) -> DataFrame:
+    """Header and fence for files of a repository (rel_path not null), the plain header for the rest; an empty text stays
+    empty, with ``keep_empty`` it gets them too."""
     rel, lang = F.col(rel_path), language(extension(F.col(rel_path)))
     size_text = F.coalesce(file_size(F.col(size)), F.lit("unknown"))
     framed = F.concat(
         F.lit("## File: `"), rel, F.lit("`\n\n"), F.when(lang != "", F.concat(F.lit("**Language**: "), lang, F.lit("  \n"))).otherwise(F.lit("")),
         F.lit("**Size**: "), size_text, F.lit("  \n**Path**: `"), rel, F.lit("`\n\n```"), F.lower(lang), F.lit("\n"), F.col("text"), F.lit("\n```\n\n"),
     )
-    return _repo(df, rel, framed)
+    return _repo(df, rel, framed, keep_empty)
 
 
-def _repo(df: DataFrame, rel: Column, framed: Column) -> DataFrame:
+def _repo(df: DataFrame, rel: Column, framed: Column, keep_empty: bool = False) -> DataFrame:
     text, path = F.col("text"), F.col("path")
     plain = F.when(has_header(text, path), text).otherwise(F.concat(F.lit("# "), path, F.lit("\n\n"), text))
-    return df.withColumn("text", F.when(F.length(text) == 0, text).when(rel.isNotNull(), framed).otherwise(plain))
+    return df.withColumn("text", F.when((F.length(text) == 0) & F.lit(not keep_empty), text).when(rel.isNotNull(), framed).otherwise(plain))
 
 
 def report_unused_commands(df: DataFrame, used: list[str]) -> DataFrame:
