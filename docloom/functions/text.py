@@ -49,6 +49,12 @@ LANGUAGES = {
 }
 
 
+def upper(s: str) -> str:
+    """Upper case letter for letter, as SQL has it: letters whose upper case is several stay as they are, or take their
+    title case where that is one letter."""
+    return "".join(u if len(u := c.upper()) == 1 else "\u1e9e" if c == "ß" else t if len(t := c.title()) == 1 else c for c in s)
+
+
 def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
