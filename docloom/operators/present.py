@@ -168,14 +168,22 @@ def _by(parts: DataFrame) -> list[str]:
     return [c for c in ("ord", "path") if c in parts.columns]
 
 
-def scanned(pages: DataFrame, order: str = "page_number") -> DataFrame:
-    """Per path: pages, pages with text, mean length, whether it looks scanned and the quality of the text."""
+def _measures() -> list[Column]:
     n = F.length(strip(F.coalesce("text", F.lit(""))))
-    g = pages.groupBy(*_by(pages)).agg(F.count(F.lit(1)).alias("total_pages"), F.count_if(n > 0).alias("pages_with_text"), F.sum(n).alias("_n"))
+    return [F.count(F.lit(1)).alias("total_pages"), F.count_if(n > 0).alias("pages_with_text"), F.sum(n).alias("_n")]
+
+
+def _judged(measured: DataFrame, keep: list[str]) -> DataFrame:
     mean = F.col("_n") / F.col("total_pages")
     bad = (F.col("pages_with_text") == 0) | (mean < 50) | (F.col("pages_with_text") / F.col("total_pages") < 0.3)
-    return g.select(*_by(pages), "total_pages", "pages_with_text", mean.alias("avg_text_per_page"), bad.alias("is_likely_scanned"),
-                    F.when(~bad, "good").when(mean < 20, "poor").otherwise("limited").alias("text_extraction_quality"))
+    return measured.select(*keep, "total_pages", "pages_with_text", mean.alias("avg_text_per_page"), bad.alias("is_likely_scanned"),
+                           F.when(~bad, "good").when(mean < 20, "poor").otherwise("limited").alias("text_extraction_quality"))
+
+
+def scanned(pages: DataFrame, order: str = "page_number") -> DataFrame:
+    """Per path: pages, pages with text, mean length, whether it looks scanned and the quality of the text."""
+    by = _by(pages)
+    return _judged(pages.groupBy(*by).agg(*_measures()), by)
 
 
 def pdf(pages: DataFrame, style: str = "markdown") -> DataFrame:
@@ -186,7 +194,8 @@ def pdf(pages: DataFrame, style: str = "markdown") -> DataFrame:
     body, blank = F.coalesce("text", F.lit("")), F.coalesce(is_blank(F.col("text")), F.lit(True))
     title, page, missing = ("# PDF Document: ", ("## Page ", "\n\n"), "*[No extractable text - likely scanned image]*") if md else ("PDF Document: ", ("[Page ", "]\n"), "[No extractable text - likely scanned image]")
     part = F.concat(F.lit(page[0]), no, F.lit(page[1]), F.when(blank, F.lit(missing)).otherwise(body), F.lit("\n\n"))
-    texts = pages.groupBy(*_by(pages)).agg(ordered_join(F.struct(order), part, "").alias("body"))
+    by = _by(pages)
+    texts = _judged(pages.groupBy(*by).agg(ordered_join(F.struct(order), part, "").alias("body"), *_measures()), [*by, "body"])
     say = REPORT[style if md else "text"]
     report = F.concat(
         F.lit(say["opening"]), F.lit(say["pages"]), F.col("total_pages").cast("string"), F.lit(say["with_text"]), F.col("pages_with_text").cast("string"),
@@ -195,7 +204,7 @@ def pdf(pages: DataFrame, style: str = "markdown") -> DataFrame:
     done = F.concat(F.lit("*Total pages processed: "), F.col("total_pages").cast("string"), F.lit("*\n\n")) if md else F.lit("")
     heading = F.concat(F.lit(title), "path")
     top = F.concat(heading, F.lit("\n\n")) if md else F.concat(heading, F.lit("\n"), F.repeat(F.lit("="), F.length(heading)), F.lit("\n\n"))
-    return texts.join(scanned(pages), _by(pages)).withColumn("text", F.concat(top, "body", F.when(F.col("is_likely_scanned"), report).otherwise(done))).drop("body")
+    return texts.withColumn("text", F.concat(top, "body", F.when(F.col("is_likely_scanned"), report).otherwise(done))).drop("body")
 
 
 def slides(rows: DataFrame, style: str = "markdown") -> DataFrame:
