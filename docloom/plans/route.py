@@ -37,9 +37,9 @@ def _by_style(df: DataFrame, render) -> DataFrame:
     return out
 
 
-def _paged(df: DataFrame, parts: DataFrame, number: str, total: str) -> DataFrame:
+def _paged(df: DataFrame, decode_parts, number: str, total: str) -> DataFrame:
     """Parts that the attachment's ``pages`` asks for (all without it), in its order."""
-    asked = parts.join(df.select("ord", "path", dsl.command("pages").alias("_spec")), ["ord", "path"])
+    asked = decode_parts(df.withColumn("_spec", dsl.command("pages"))).filter("error IS NULL")
     wanted = F.when(F.col("_spec").isNull(), F.array(F.col(number))).otherwise(F.coalesce(dsl.page_list(F.col("_spec"), F.col(total)), F.array(F.col(number))))
     hit = F.transform(F.filter(F.transform(wanted, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda e: e["p"] == F.col(number)), lambda e: e["i"])
     return asked.withColumn("_i", F.explode(hit)).withColumn("page_order", F.when(F.col("_spec").isNull(), F.col(number)).otherwise(F.col("_i"))).drop("_i", "_spec")
@@ -47,12 +47,12 @@ def _paged(df: DataFrame, parts: DataFrame, number: str, total: str) -> DataFram
 
 @verbs.processor
 def pdf_to_llm(df: DataFrame) -> DataFrame:
-    return _by_style(df, lambda mine, s: present.pdf(_paged(mine, decode.pdf(mine).filter("error IS NULL"), "page_number", "total_pages"), s))
+    return _by_style(df, lambda mine, s: present.pdf(_paged(mine, decode.pdf, "page_number", "total_pages"), s))
 
 
 @verbs.processor
 def pptx_to_llm(df: DataFrame) -> DataFrame:
-    return _by_style(df, lambda mine, s: present.slides(_paged(mine, decode.pptx(mine).filter("error IS NULL"), "slide_number", "total_slides"), s))
+    return _by_style(df, lambda mine, s: present.slides(_paged(mine, decode.pptx, "slide_number", "total_slides"), s))
 
 
 @verbs.processor
