@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,23 @@ def upper(s: str) -> str:
     return "".join(u if len(u := c.upper()) == 1 else "\u1e9e" if c == "ß" else t if len(t := c.title()) == 1 else c for c in s)
 
 
+#: Fixed value: characters of results that a worker gathers before it hands them on.
+SLICE = 1 << 20
+
+
+def in_slices(results: Iterable, array: Callable[[list], object], weight: Callable[[object], int]) -> Iterator:
+    """Results of one batch as several small arrays, so that a worker holds few of them at a time."""
+    held, size = [], 0
+    for r in results:
+        held.append(r)
+        size += 64 + weight(r)
+        if size >= SLICE:
+            yield array(held)
+            held, size = [], 0
+    if held:
+        yield array(held)
+
+
 def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 

@@ -7,12 +7,14 @@ Arrow batches. Nothing shuffles, so they also run on streams.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
+from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import W, strip
+from docloom.functions.text import W, in_slices, strip
 from docloom.functions.ordinal import with_ordinal
 
 #: Fixed value: where a token window may be cut.
@@ -103,13 +105,21 @@ def token_windows(text: str, limit: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def _window_array(rows: list[list[tuple[str, int, int]]]) -> pa.Array:
+    flat = [w for found in rows for w in found]
+    columns = [pa.array([w[k] for w in flat], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+    ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, ["text", "start", "end"]))
+
+
 def tokens(df: DataFrame, limit: int | Column = 500, text: str = "text") -> DataFrame:
     limit = _given(limit)
 
-    @F.pandas_udf("array<struct<text:string,start:int,end:int>>")
-    def windows(texts: pd.Series, limits: pd.Series) -> pd.Series:
-        given = ([] if t is None or not n > 0 else token_windows(t, int(n)) for t, n in zip(texts, limits))
-        return pd.Series([[{"text": c, "start": a, "end": b} for c, a, b in found] for found in given], dtype=object)
+    @F.arrow_udf("array<struct<text:string,start:int,end:int>>")
+    def windows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, limits in batches:
+            given = ((t.as_py(), n.as_py()) for t, n in zip(texts, limits))
+            yield from in_slices(([] if t is None or not (n or 0) > 0 else token_windows(t, n) for t, n in given), _window_array, lambda found: sum(len(c) for c, _, _ in found))
 
     fields = {
         "token_limit": lambda p, i: limit, "estimated_tokens": lambda p, i: (F.length(p["text"]) / 4).cast("int"),
